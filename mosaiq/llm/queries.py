@@ -37,5 +37,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint").alias("file_no"), "doc_no", "start", "n_tokens", "terminated")
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_token_orc, op10_token_counts)}
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.lm_scoring import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.decontamination import decontaminate
+
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_packing, op5_token_orc, op8_simhash, op9_decontamination, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
