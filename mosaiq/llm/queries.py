@@ -13,6 +13,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.substring_dedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaiq.llm.packing import pack_documents
 
@@ -64,5 +77,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op4_packing, op5_token_orc, op8_simhash, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_substring_dedup, op4_packing, op5_token_orc, op8_simhash, op9_decontamination, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
