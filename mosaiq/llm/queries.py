@@ -13,6 +13,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.common import held_out
+    from mosaiq.llm.toxicity import THRESHOLD, score_toxicity, train_network, training_sample
+
+    docs = _table(spark, sf_dir, "documents")
+    network = train_network(*training_sample(docs, _table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, network)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaiq.llm.substring_dedup import remove_repeats
 
@@ -77,5 +87,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_substring_dedup, op4_packing, op5_token_orc, op8_simhash, op9_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op8_simhash, op9_decontamination, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
