@@ -29,11 +29,12 @@ WINDOW, STRIDE = 48, 32
 WORD_BUCKETS, WORD_WIDTH = 1 << 13, 8
 GRAM_BUCKETS, GRAM_WIDTH = 1 << 14, 16
 HIDDEN, ATTENTION = 8, 8
-SAMPLE, SAMPLE_BYTES, SAMPLE_WINDOWS = 3000, 100_000, 10_000
+SAMPLE, SAMPLE_BYTES, SAMPLE_WINDOWS = 2000, 20_000, 8_000
 BATCH, RATE, SLOW_RATE, ROUNDS, PRIOR = 256, 6e-3, 3e-4, (3, 3), 6
 THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 200_000
+WINDOWS_AT_ONCE = 2048
 
 _SEPARATED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -221,51 +222,63 @@ class _Windows:
 
         number: dict[bytes, int] = {}
         sizes = np.array([len(d) for d in docs], np.int64)
-        flat = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int64, sizes.sum())
-        begins = np.cumsum(sizes) - sizes
+        self.flat = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int32, sizes.sum())
+        self.begins, self.sizes = np.cumsum(sizes) - sizes, sizes
         starts = [window_starts(n) for n in sizes.tolist()]
         self.owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
         self.start = np.array([s for own in starts for s in own], np.int64)
-        at = self.start[:, None] + np.arange(WINDOW)
-        self.mask = at < sizes[self.owner][:, None]
-        self.index = flat[np.where(self.mask, begins[self.owner][:, None] + at, begins[self.owner][:, None])] if len(flat) else np.empty((0, WINDOW), np.int64)
         self.words = list(number)
 
+    def cut(self, some):
+        """Words of some windows, their numbers by window, and which places have a word."""
+        import numpy as np
+
+        begin, at = self.begins[self.owner[some]][:, None], self.start[some][:, None] + np.arange(WINDOW)
+        mask = at < self.sizes[self.owner[some]][:, None]
+        distinct, index = np.unique(self.flat[np.where(mask, begin + at, begin)], return_inverse=True)
+        return [self.words[w] for w in distinct.tolist()], index.reshape(mask.shape), mask
+
     def logits(self, network: Network):
         import numpy as np
 
-        if not self.words:
-            return np.empty(0, np.float32)
-        _, projected = network.project(Inputs(self.words))
-        whole, out = self.mask.all(axis=1), np.empty(len(self.owner), np.float32)
-        out[whole] = network.logits(projected, self.index[whole])
-        out[~whole] = network.logits(projected, self.index[~whole], self.mask[~whole])
+        out = np.empty(len(self.owner), np.float32)
+        for k in range(0, len(out), WINDOWS_AT_ONCE):
+            words, index, mask = self.cut(some := np.arange(k, min(k + WINDOWS_AT_ONCE, len(out))))
+            _, projected = network.project(Inputs(words))
+            whole = mask.all(axis=1)
+            out[some[whole]] = network.logits(projected, index[whole])
+            out[some[~whole]] = network.logits(projected, index[~whole], mask[~whole])
         return out
 
 
-def _log_odds(inputs: Inputs, docs, labels, params: dict):
+def _log_odds(windows: _Windows, labels, params: dict):
     """Puts into the first components of the vectors how much likelier a text with that bucket is
-    toxic; rare buckets are drawn to the share of toxic texts. Returns the same of each word."""
+    toxic; rare buckets are drawn to the share of toxic texts."""
     import numpy as np
 
     share = (labels.sum() + 1) / (len(labels) + 2)
-    found = {}
-    for name, n, of_words in (("words", WORD_BUCKETS, lambda w: inputs.words[w]), ("grams", GRAM_BUCKETS, lambda w: _grams_of(inputs, w))):
-        seen = np.zeros((2, n))
-        for words, label in zip(docs, labels, strict=True):
-            seen[label, np.unique(of_words(words))] += 1
-        odds = (seen[1] + PRIOR * share) / (seen[0] + PRIOR * (1 - share))
-        found[name] = params[name][:, 0] = np.clip(np.log(odds * (1 - share) / share), -1, 5)
-    grams = np.add.reduceat(found["grams"][inputs.grams], inputs.first) / inputs.count
-    return found["words"][inputs.words] + grams
-
-
-def _grams_of(inputs: Inputs, words):
+    seen = {"words": np.zeros((2, WORD_BUCKETS)), "grams": np.zeros((2, GRAM_BUCKETS))}
+    for begin, size, label in zip(windows.begins.tolist(), windows.sizes.tolist(), labels.tolist(), strict=True):
+        if size:
+            inputs = Inputs([windows.words[w] for w in np.unique(windows.flat[begin : begin + size]).tolist()])
+            seen["words"][label, np.unique(inputs.words)] += 1
+            seen["grams"][label, np.unique(inputs.grams)] += 1
+    for name, counts in seen.items():
+        odds = (counts[1] + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
+        params[name][:, 0] = np.clip(np.log(odds * (1 - share) / share), -1, 5)
+
+
+def _first_ranks(windows: _Windows, params: dict):
+    """The highest log-odds of a word in each window."""
     import numpy as np
 
-    count = inputs.count[words].astype(np.int64)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(inputs.first[words], count)
-    return inputs.grams[at]
+    out = np.empty(len(windows.owner))
+    for k in range(0, len(out), WINDOWS_AT_ONCE):
+        words, index, mask = windows.cut(some := np.arange(k, min(k + WINDOWS_AT_ONCE, len(out))))
+        inputs = Inputs(words)
+        odds = params["words"][inputs.words, 0] + np.add.reduceat(params["grams"][inputs.grams, 0], inputs.first) / inputs.count
+        out[some] = np.where(mask, odds[index], -np.inf).max(axis=1)
+    return out
 
 
 def train_network(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
@@ -273,20 +286,17 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
     import numpy as np
 
     network = Network.start(seed)
-    docs = [words_of(t) for t in texts]
-    windows, rng = _Windows(docs), np.random.default_rng(seed)
+    windows, rng = _Windows([words_of(t) for t in texts]), np.random.default_rng(seed)
     if not windows.words:
         return network
-    everything = Inputs(windows.words)
     label = np.array(labels)
-    number = {w: k for k, w in enumerate(windows.words)}
-    odds = _log_odds(everything, [np.unique([number[w] for w in d]) if d else np.empty(0, np.int64) for d in docs], label, network.p)
+    _log_odds(windows, label, network.p)
     mine = label[windows.owner]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
     for stage, rounds in enumerate(ROUNDS):
-        rank = windows.logits(network) if stage else np.where(windows.mask, odds[windows.index], -np.inf).max(axis=1)
-        worst = np.full(len(docs), -np.inf)
+        rank = windows.logits(network) if stage else _first_ranks(windows, network.p)
+        worst = np.full(len(label), -np.inf)
         np.maximum.at(worst, windows.owner, rank)
         top = rank >= worst[windows.owner]
         toxic = np.flatnonzero((mine == 1) & top)
@@ -296,9 +306,8 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
             used = rng.permutation(used)
             for k in range(0, len(used), BATCH):
                 some = used[k : k + BATCH]
-                distinct, index = np.unique(windows.index[some], return_inverse=True)
-                inputs = Inputs([windows.words[w] for w in distinct.tolist()])
-                g = network.gradients(inputs, index.reshape(len(some), -1), windows.mask[some], mine[some])
+                words, index, mask = windows.cut(some)
+                g = network.gradients(Inputs(words), index, mask, mine[some])
                 step += 1
                 for name, value in g.items():
                     m, v = moments[name]
