@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,28 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which may be long after a lineage was cut.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def trim_memory() -> None:
+    """In a worker: give freed memory back to the system, which reused workers else keep."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        return
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """The fixed split of the contracts: crc32 of the id as text leaves 2. A null id learns."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus) == 2, F.lit(False))

@@ -26,12 +26,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise, total_bytes
+from mosaiq.llm.common import materialise, release_shuffles, total_bytes, trim_memory
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 4 << 20
-#: Text for each group of keys; a group then sorts a few hundred kB to a few MB of suffixes.
-GROUP_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Text for each group of keys; a group then sorts some hundred kB of suffixes.
+GROUP_BYTES = 1 << 20
 LEAST_GROUPS = 64
 KEY_BITS = 48
 #: Positions up to which two bucket pointers and a position fit into one 64-bit sort key.
@@ -98,7 +98,8 @@ class _Runs:
         usable = np.array([d is not None for d in doc_ids], bool) & (sizes >= length)
         if not usable.any():
             return
-        least = _window_minimum(_gram_hashes(data, gram), length - gram + 1) >> np.uint64(64 - KEY_BITS)
+        # minima crowd at the low end; the product spreads them evenly
+        least = _window_minimum(_gram_hashes(data, gram), length - gram + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KEY_BITS)
         n = len(least)
         new = np.empty(n, bool)
         new[0], new[1:] = True, least[1:] != least[:-1]
@@ -177,6 +178,7 @@ def _shared_keys(blocks: DataFrame, groups: int, length: int, gram: int) -> Data
                     planes = np.diff(keys[a:b], prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T
                     cells.append((int(owner[a]), row["block"], b - a, _squeeze(planes.tobytes()), np.packbits(several[a:b]).tobytes()))
                 yield _batch(types, cells)
+                trim_memory()
 
     def meet(table):
         import numpy as np
@@ -247,6 +249,8 @@ def _entries(blocks: DataFrame, masks: DataFrame, groups: int, length: int, gram
                     sizes = np.array([len(t) for t in texts], "<i8")
                     cells.append((row["block"], int(grp[mine[0]]), _squeeze(b"".join([len(mine).to_bytes(8, "little"), sizes.tobytes(), least[mine].astype("<i8").tobytes(), *texts]))))
                 yield _batch(types, cells)
+                del data, index, strings
+                trim_memory()
 
     return materialise(blocks.join(masks, "block").mapInArrow(cut, "block bigint, grp int, data binary"), "dedup-entries")
 
@@ -264,7 +268,7 @@ def sort_suffixes(text, ends, depth: int):
     code = np.zeros(n, np.uint64)
     for k in range(q):  # a byte counts from 1; what lies beyond the string is 0
         there = np.zeros(n, np.uint64)
-        inside = slice(0, n - k)
+        inside = slice(0, max(0, n - k))
         there[inside] = np.where(position[inside] + k < ends[inside], text[k:].astype(np.uint64) + np.uint64(1), 0)
         code = code * np.uint64(257) + there
     packed = n <= PACKED_POSITIONS
@@ -318,9 +322,37 @@ def sort_suffixes(text, ends, depth: int):
     return suffixes
 
 
-def smallest_owners(strings: list[bytes], owners, length: int):
+def _keys_of(strings: list[bytes], gram: int):
+    """The smallest gram hash of each string, which is the key of all its starts."""
+    import numpy as np
+
+    sizes = np.array([len(s) for s in strings], np.int64)
+    hashes = _gram_hashes(b"".join([*strings, bytes(gram - 1)]), gram)
+    begins = np.cumsum(sizes) - sizes
+    # from each string's first gram to its last; the hashes between belong to no string
+    edges = np.stack((begins, begins + sizes - gram + 1), axis=1).ravel()
+    return np.minimum.reduceat(hashes, edges)[::2]
+
+
+def smallest_owners(strings: list[bytes], owners, length: int, gram: int = GRAM):
     """For each start of ``length`` bytes in each string, laid end to end, the smallest owner
-    of a string that holds the same bytes."""
+    of a string that holds the same bytes; and the strings' sizes.
+
+    Keys are the first buckets. A string that is alone under its key holds no other's bytes.
+    """
+    import numpy as np
+
+    sizes = np.array([len(s) for s in strings], np.int64)
+    owners = np.asarray(owners, np.int64)
+    found = np.repeat(owners, sizes)
+    _, which, count = np.unique(_keys_of(strings, gram), return_inverse=True, return_counts=True)
+    crowded = np.flatnonzero(count[which] > 1)
+    if len(crowded):
+        found[np.repeat(count[which] > 1, sizes)] = _sorted_owners([strings[k] for k in crowded.tolist()], owners[crowded], length)
+    return found, sizes
+
+
+def _sorted_owners(strings: list[bytes], owners, length: int):
     import numpy as np
 
     sizes = np.array([len(s) for s in strings], np.int64)
@@ -338,14 +370,14 @@ def smallest_owners(strings: list[bytes], owners, length: int):
         at = words[suffixes + k]
         equal &= at[1:] == at[:-1]
     first = np.flatnonzero(np.concatenate(([True], ~equal)))
-    owner = np.repeat(np.asarray(owners, np.int64), sizes)[suffixes]
+    owner = np.repeat(owners, sizes)[suffixes]
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(suffixes))))
     found = np.empty(len(text), np.int64)
     found[suffixes] = least
-    return found, sizes
+    return found
 
 
-def _answers(entries: DataFrame, length: int) -> DataFrame:
+def _answers(entries: DataFrame, length: int, gram: int) -> DataFrame:
     """(block, replies: grp and a bit for each start of its entries, in order)."""
 
     def sort(table):
@@ -370,7 +402,10 @@ def _answers(entries: DataFrame, length: int) -> DataFrame:
                     owners[k] = owner
                 mine.append(k)
             told.append((block, grp, mine, least))
-        found, sizes = smallest_owners(list(index), owners, length)
+        strings = list(index)
+        del index
+        found, sizes = smallest_owners(strings, owners, length, gram)
+        del strings
         begins = np.cumsum(sizes) - sizes
         out = []
         for block, grp, mine, least in told:
@@ -378,6 +413,7 @@ def _answers(entries: DataFrame, length: int) -> DataFrame:
             count = sizes[mine] - length + 1
             at = np.repeat(begins[mine], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             out.append((block, grp, np.packbits(found[at] < np.repeat(least, count)).tobytes()))
+        trim_memory()
         return pa.Table.from_batches([_batch({"block": pa.int64(), "grp": pa.int32(), "bits": pa.binary()}, out)])
 
     sent = entries.filter("grp is not null")
@@ -442,6 +478,8 @@ def _apply(blocks: DataFrame, entries: DataFrame, answers: DataFrame, length: in
                     at += n_bytes
                 for k in range(0, len(cells), 500):
                     yield _batch(types, cells[k : k + 500])
+                del data, cells
+                trim_memory()
 
     joined = blocks.join(runs, "block", "left").join(answers, "block", "left")
     return joined.mapInArrow(remove, RESULT)
@@ -454,4 +492,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     groups = max(LEAST_GROUPS, -(-total_bytes(docs) // group_bytes))
     blocks = _blocks(docs, block_bytes)
     entries = _entries(blocks, _shared_keys(blocks, groups, length, gram), groups, length, gram)
-    return _apply(blocks, entries, _answers(entries, length), length)
+    release_shuffles(docs.sparkSession)
+    answers = materialise(_answers(entries, length, gram), "dedup-answers")
+    release_shuffles(docs.sparkSession)
+    return _apply(blocks, entries, answers, length)
