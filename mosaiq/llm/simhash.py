@@ -13,6 +13,13 @@ fingerprints within one bit, and those that name the same one are at most two bi
 construction, so a star to the smallest links them; nothing is capped or dropped, and work
 stays linear in the fingerprints. Components are found by alternating large and small stars.
 
+``similar_groups`` takes a similarity of shingle sets instead. Its fingerprints have 512 bits, cut into
+23-bit words; the fuzzy keys of two words make a key of 24 bits, and eight disjoint pairs of words
+give each fingerprint a few hundred. Fingerprints that share a key are ordered, and each is
+compared with the four before it and with the first, which is linear in a crowded key and
+complete in a small one. Candidates within ``SKETCH_BITS`` of their first 64 bits are verified by the
+angle of all 512. That search is probabilistic: the README gives its measured recall.
+
 A null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a
 null id get a fingerprint and a null component (they have no id to report, and lend theirs to
 none). Repeated rows give repeated results. Empty tables give no rows. Other columns are ignored.
@@ -20,7 +27,7 @@ none). Repeated rows give repeated results. Empty tables give no rows. Other col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import materialise
@@ -31,6 +38,10 @@ GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIR_BUCKET = 24
 SEED = 42
+#: Words of 64 bits of a wide fingerprint, pairs of 23-bit words that make keys, neighbours in a key.
+WIDE, WIDE_PAIRS, NEIGHBOURS = 8, 8, 4
+#: Bits of the first 64 in which candidates may differ: beyond the mean for 0.8 by 3.5 deviations.
+SKETCH_BITS = 20
 
 
 def _fingerprint(words: list[bytes], width: int):
@@ -164,8 +175,105 @@ def near_duplicates(docs: DataFrame, width: int = 3, pair_bucket: int = PAIR_BUC
     fps = materialise(fingerprints(docs, width), "fingerprints")
     owners = materialise(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("owner")), "owners")
     roots = connected_components(link_fingerprints(owners.select("fp"), 2, pair_bucket))
+    return _labelled(fps, owners, roots)
+
+
+def _labelled(fps: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
     placed = owners.join(roots, owners.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "owner")
     smallest = placed.groupBy("root").agg(F.min("owner").alias("component_id"))
     groups = placed.join(smallest, "root").select("fp", "component_id")
     joined = fps.join(groups, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _wide_fingerprint(words: list[bytes], width: int):
+    """``WIDE`` unsigned words; the first is that of ``_fingerprint``."""
+    import numpy as np
+    import xxhash
+
+    if not words:
+        return np.zeros(WIDE, np.uint64)
+    parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(p, SEED) for p in parts], np.uint64)
+    counts = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 12):
+        some = hashes[at : at + (1 << 12)]
+        grown = np.empty((len(some), WIDE), "<u8")
+        for k in range(WIDE):
+            grown[:, k] = some
+            if k:  # further bits by mixing
+                x = some + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+                x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                grown[:, k] = x ^ x >> np.uint64(31)
+        counts += np.unpackbits(grown.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    def compute(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            made = [_wide_fingerprint((t or "").encode().lower().split(), width) for t in batch["text"].to_pylist()]
+            flat = np.concatenate([*made, np.empty(0, np.uint64)]).view(np.int64)
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat[::WIDE].copy()), wide], ["doc_id", "fp", "wide"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(compute, "doc_id bigint, fp bigint, wide array<bigint>")
+
+
+def _wide_keys(nodes: DataFrame) -> DataFrame:
+    def keys(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        patterns = _error_patterns()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                fps = some["fp"].to_numpy()
+                bits = np.unpackbits(some["wide"].flatten().to_numpy().view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+                words = bits[:, : 23 * 2 * WIDE_PAIRS].reshape(len(fps), 2 * WIDE_PAIRS, 23).astype(np.int64) @ (1 << np.arange(23, dtype=np.int64))
+                for pair in range(WIDE_PAIRS):
+                    own = []
+                    for side in (0, 1):  # six keys at most, others repeat the first
+                        found = np.sort(golay_keys(words[:, 2 * pair + side], patterns), axis=1)
+                        fresh = np.concatenate((np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1]), axis=1)
+                        rank = np.cumsum(fresh, axis=1) - 1
+                        six = np.repeat(found[:, :1], 6, axis=1)
+                        rows, cols = np.nonzero(fresh)
+                        six[rows, rank[rows, cols]] = found[rows, cols]
+                        own.append(six)
+                    made = (own[0][:, :, None] << 12 | own[1][:, None, :]).reshape(len(fps), 36) << 3 | pair
+                    made.sort(axis=1)
+                    first = np.concatenate((np.ones((len(made), 1), bool), made[:, 1:] != made[:, :-1]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(made[first]), pa.array(np.repeat(fps, first.sum(axis=1)))], ["key", "fp"])
+
+    return nodes.select("fp", "wide").mapInArrow(keys, "key bigint, fp bigint")
+
+
+def most_bits_apart(similarity: float) -> int:
+    """Of a wide fingerprint, the expected differing bits of sets of equal size that similar."""
+    import math
+
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * WIDE * math.acos(cosine) / math.pi)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp and component_id of every row, as ``near_duplicates`` gives them."""
+    fps = materialise(_wide_fingerprints(docs, width), "wide-fingerprints")
+    known = fps.filter("doc_id is not null")
+    nodes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.min_by("wide", "doc_id").alias("wide")), "wide-nodes")
+    inside = Window.partitionBy("key").orderBy("fp")
+    before = [F.lag("fp", k).over(inside) for k in range(1, NEIGHBOURS + 1)]
+    first = F.first("fp").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = _wide_keys(nodes).select(F.col("fp").alias("b"), F.array(*before, first).alias("others"))
+    near = near.select("b", F.explode(F.filter("others", lambda a: a.isNotNull() & (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= SKETCH_BITS))).alias("a")).distinct()
+    a, b = nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a")), nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wide_b"))
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    links = near.join(a, "a").join(b, "b").filter(apart <= most_bits_apart(similarity)).select("a", "b")
+    return _labelled(fps.drop("wide"), nodes.select("fp", "owner"), connected_components(links))
