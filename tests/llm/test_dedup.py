@@ -143,6 +143,42 @@ def test_golay_keys_of_words_two_bits_apart_meet(word, i, j):
     assert len(set(keys[0].tolist())) in (1, 6)
 
 
+def test_similar_texts_are_grouped_and_others_are_not(make_docs):
+    rng = random.Random(6)
+    texts, ids, want = [], [], {}
+    for g in range(12):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+        for k in range(4):
+            mine = list(words)
+            for _ in range(2 * k):  # each changes five shingles: a similarity of 0.8 and more
+                mine[rng.randrange(300)] = "changed"
+            texts.append(" ".join(mine))
+            ids.append(10 * g + k + 1)
+            want[ids[-1]] = 10 * g + 1
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(texts, ids)).collect()}
+    assert all(got[i] // 10 == i // 10 for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 46
+
+
+def test_crowded_keys_stay_connected(make_docs):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        mine = list(words)
+        mine[rng.randrange(300)] = "".join(rng.choice("ijkl") for _ in range(6))
+        texts.append(" ".join(mine))
+    assert {r.component_id for r in simhash.similar_groups(make_docs(texts)).collect()} == {0}
+
+
+def test_similar_groups_take_awkward_texts(make_docs, awkward):
+    texts, ids = awkward
+    got = simhash.similar_groups(make_docs(texts, ids)).collect()
+    assert len(got) == len(texts) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
+    assert {r.component_id for r in got if r.doc_id in (5, 9)} == {5} and [r.component_id for r in got if r.doc_id is None] == [None]
+    assert simhash.similar_groups(make_docs([])).count() == 0
+
+
 def brute_hits(docs, items, window):
     split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
