@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/mosaiq/{tag}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; ``clear_shared`` removes what stands there."""
+    _WRITTEN.append(path := f"{shared_dir(spark)}/mosaiq/{tag}-{uuid.uuid4().hex}")
+    return path
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Removes all tables that this process has cut lineages with; their frames end with them."""
+    while _WRITTEN:
+        remove_path(spark, _WRITTEN.pop())
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

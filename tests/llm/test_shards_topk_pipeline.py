@@ -125,3 +125,18 @@ def test_duplicates_stage_leaves_one_of_each_group(spark, make_docs):
 def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_cut_lineages_can_be_cleared(spark, make_docs):
+    from pathlib import Path
+
+    from mosaiq.llm import common
+
+    kept = common._WRITTEN[:]
+    del common._WRITTEN[:]
+    materialise(make_docs(["a"]), "test-clear")
+    (path,) = common._WRITTEN
+    assert Path(path.removeprefix("file:")).exists()
+    common.clear_shared(spark)
+    assert not Path(path.removeprefix("file:")).exists() and common._WRITTEN == []
+    common._WRITTEN.extend(kept)
