@@ -16,8 +16,8 @@ stays linear in the fingerprints. Components are found by alternating large and
 ``similar_groups`` takes a similarity of shingle sets instead. Its fingerprints have 512 bits, cut into
 23-bit words; the fuzzy keys of two words make a key of 24 bits, and eight disjoint pairs of words
 give each fingerprint a few hundred. Fingerprints that share a key are ordered, and each is
-compared with the four before it and with the first, which is linear in a crowded key and
-complete in a small one. Candidates within ``SKETCH_BITS`` of their first 64 bits are verified by the
+compared with the one before it, so a crowded key costs no more for each than a small one.
+Candidates within ``SKETCH_BITS`` of their first 64 bits are verified by the
 angle of all 512. That search is probabilistic: the README gives its measured recall.
 
 A null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a
@@ -39,7 +39,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIR_BUCKET = 24
 SEED = 42
 #: Words of 64 bits of a wide fingerprint, pairs of 23-bit words that make keys, neighbours in a key.
-WIDE, WIDE_PAIRS, NEIGHBOURS = 8, 8, 4
+WIDE, WIDE_PAIRS, NEIGHBOURS = 8, 8, 1
 #: Bits of the first 64 in which candidates may differ: beyond the mean for 0.8 by 3.5 deviations.
 SKETCH_BITS = 20
 
@@ -270,8 +270,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     nodes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.min_by("wide", "doc_id").alias("wide")), "wide-nodes")
     inside = Window.partitionBy("key").orderBy("fp")
     before = [F.lag("fp", k).over(inside) for k in range(1, NEIGHBOURS + 1)]
-    first = F.first("fp").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = _wide_keys(nodes).select(F.col("fp").alias("b"), F.array(*before, first).alias("others"))
+    near = _wide_keys(nodes).select(F.col("fp").alias("b"), F.array(*before).alias("others"))
     near = near.select("b", F.explode(F.filter("others", lambda a: a.isNotNull() & (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= SKETCH_BITS))).alias("a")).distinct()
     a, b = nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a")), nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wide_b"))
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
