@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import materialise, release_shuffles, total_bytes, trim_memory
 
 LENGTH, GRAM = 50, 24
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 #: Text for each group of keys; a group then sorts some hundred kB of suffixes.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 LEAST_GROUPS = 64
 KEY_BITS = 48
 #: Positions up to which two bucket pointers and a position fit into one 64-bit sort key.
@@ -211,8 +211,36 @@ def _shared_keys(blocks: DataFrame, groups: int, length: int, gram: int) -> Data
     return met.groupBy("block").agg(F.collect_list(F.struct("grp", "bits")).alias("masks"))
 
 
+class _SharedRuns:
+    """The runs of a block under shared keys, and their distinct strings (entries)."""
+
+    def __init__(self, row: dict, groups: int, length: int, gram: int):
+        import numpy as np
+
+        data = _expand(row["payload"])
+        runs = _Runs(data, row["sizes"], row["doc_ids"], length, gram)
+        keys, _, which = _distinct_keys(runs, row["doc_ids"])
+        owner = _groups_of(keys, groups)
+        shared = np.zeros(len(keys), bool)
+        for mask in row["masks"]:
+            a, b = np.searchsorted(owner, [mask["grp"], mask["grp"] + 1])
+            shared[a:b] = np.unpackbits(np.frombuffer(mask["bits"], np.uint8), count=b - a)
+        kept = np.flatnonzero(shared[which])
+        self.data, self.start, self.size = data, runs.start[kept], runs.size[kept]
+        index: dict[bytes, int] = {}
+        stops = (self.start + self.size + length - 1).tolist()
+        self.entry = np.fromiter((index.setdefault(data[a:b], len(index)) for a, b in zip(self.start.tolist(), stops, strict=True)), np.int64, len(kept))
+        self.strings = list(index)
+        self.names = np.array([d or 0 for d in row["doc_ids"]], np.int64)[runs.doc[kept]]
+        self.least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.entry, self.names)
+        self.grp = np.empty(len(index), np.int64)
+        self.grp[self.entry] = owner[which[kept]]
+        self.order = np.argsort(self.grp, kind="stable")
+
+
 def _entries(blocks: DataFrame, masks: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
-    """Distinct strings of shared runs by (block, grp), and a row of runs a block (grp null)."""
+    """Distinct strings of the shared runs, a row for each block and group."""
 
     def cut(batches):
         import numpy as np
@@ -221,38 +249,19 @@ def _entries(blocks: DataFrame, masks: DataFrame, groups: int, length: int, gram
         types = {"block": pa.int64(), "grp": pa.int32(), "data": pa.binary()}
         for batch in batches:
             for row in batch.to_pylist():
-                data = _expand(row["payload"])
-                runs = _Runs(data, row["sizes"], row["doc_ids"], length, gram)
-                keys, _, which = _distinct_keys(runs, row["doc_ids"])
-                owner = _groups_of(keys, groups)
-                shared = np.zeros(len(keys), bool)
-                for mask in row["masks"]:
-                    a, b = np.searchsorted(owner, [mask["grp"], mask["grp"] + 1])
-                    shared[a:b] = np.unpackbits(np.frombuffer(mask["bits"], np.uint8), count=b - a)
-                kept = np.flatnonzero(shared[which])
-                start, size, doc = runs.start[kept], runs.size[kept], runs.doc[kept]
-                index: dict[bytes, int] = {}
-                stop = (start + size + length - 1).tolist()
-                entry = np.fromiter((index.setdefault(data[a:b], len(index)) for a, b in zip(start.tolist(), stop, strict=True)), np.int64, len(kept))
-                names = np.array([d or 0 for d in row["doc_ids"]], np.int64)[doc]
-                least = np.full(len(index), np.iinfo(np.int64).max)
-                np.minimum.at(least, entry, names)
-                grp = np.empty(len(index), np.int64)
-                grp[entry] = owner[which[kept]]
-                runs_data = [np.array([len(kept), len(index)], "<i8"), start.astype("<u4"), size.astype("<u4"), doc.astype("<u4"), entry.astype("<u4"), grp.astype("<u4"), least.astype("<i8")]
-                cells = [(row["block"], None, _squeeze(b"".join(x.tobytes() for x in runs_data)))]
-                strings, order = list(index), np.argsort(grp, kind="stable")
-                at = np.flatnonzero(np.concatenate(([True], grp[order][1:] != grp[order][:-1]))) if len(order) else order
+                found = _SharedRuns(row, groups, length, gram)
+                cells, order, grp = [], found.order, found.grp[found.order]
+                at = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(order) else order
                 for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
                     mine = order[a:b]
-                    texts = [strings[k] for k in mine.tolist()]
+                    texts = [found.strings[k] for k in mine.tolist()]
                     sizes = np.array([len(t) for t in texts], "<i8")
-                    cells.append((row["block"], int(grp[mine[0]]), _squeeze(b"".join([len(mine).to_bytes(8, "little"), sizes.tobytes(), least[mine].astype("<i8").tobytes(), *texts]))))
+                    cells.append((row["block"], int(grp[a]), _squeeze(b"".join([len(mine).to_bytes(8, "little"), sizes.tobytes(), found.least[mine].astype("<i8").tobytes(), *texts]))))
+                del found
                 yield _batch(types, cells)
-                del data, index, strings
                 trim_memory()
 
-    return materialise(blocks.join(masks, "block").mapInArrow(cut, "block bigint, grp int, data binary"), "dedup-entries")
+    return blocks.join(masks, "block").mapInArrow(cut, "block bigint, grp int, data binary")
 
 
 def sort_suffixes(text, ends, depth: int):
@@ -416,14 +425,11 @@ def _answers(entries: DataFrame, length: int, gram: int) -> DataFrame:
         trim_memory()
         return pa.Table.from_batches([_batch({"block": pa.int64(), "grp": pa.int32(), "bits": pa.binary()}, out)])
 
-    sent = entries.filter("grp is not null")
-    sorted_ = sent.groupBy("grp").applyInArrow(sort, "block bigint, grp int, bits binary")
+    sorted_ = entries.groupBy("grp").applyInArrow(sort, "block bigint, grp int, bits binary")
     return sorted_.groupBy("block").agg(F.collect_list(F.struct("grp", "bits")).alias("replies"))
 
 
-def _apply(blocks: DataFrame, entries: DataFrame, answers: DataFrame, length: int) -> DataFrame:
-    runs = entries.filter("grp is null").select("block", F.col("data").alias("runs"))
-
+def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
     def remove(batches):
         import numpy as np
         import pyarrow as pa
@@ -432,37 +438,32 @@ def _apply(blocks: DataFrame, entries: DataFrame, answers: DataFrame, length: in
         types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}
         for batch in batches:
             for row in batch.to_pylist():
-                data = _expand(row["payload"])
                 sizes = np.array(row["sizes"], np.int64)
-                starts = np.zeros(len(data) + length + 1, np.int32)  # differences, then removed starts
-                if row["runs"] is not None:
-                    raw = _expand(row["runs"])
-                    n, m = np.frombuffer(raw, "<i8", 2).tolist()
-                    start, size, doc, entry = np.frombuffer(raw, "<u4", 4 * n, 16).astype(np.int64).reshape(4, n)
-                    grp = np.frombuffer(raw, "<u4", m, 16 + 16 * n).astype(np.int64)
-                    least = np.frombuffer(raw, "<i8", m, 16 + 16 * n + 4 * m)
-                    names = np.array([d or 0 for d in row["doc_ids"]], np.int64)[doc]
-                    later = names > least[entry]
+                if row["masks"] is None:
+                    data = _expand(row["payload"])
+                    flags = np.zeros(len(data) + length + 1, bool)
+                else:
+                    found = _SharedRuns(row, groups, length, gram)
+                    data, start, size, entry = found.data, found.start, found.size, found.entry
+                    starts = np.zeros(len(data) + length + 1, np.int32)  # differences
+                    later = found.names > found.least[entry]
                     np.add.at(starts, start[later], 1)
                     np.add.at(starts, start[later] + size[later], -1)
-                    # entries in the order of the replies' bits
-                    count = np.zeros(m, np.int64)
+                    flags = np.cumsum(starts) > 0
+                    # the replies' bits follow the entries by group
+                    count = np.zeros(len(found.strings), np.int64)
                     count[entry] = size
-                    order = np.argsort(grp, kind="stable")
-                    begins = np.empty(m, np.int64)
-                    begins[order] = np.cumsum(count[order]) - count[order]
+                    begins = np.empty(len(count), np.int64)
+                    begins[found.order] = np.cumsum(count[found.order]) - count[found.order]
                     per_group = {r["grp"]: r["bits"] for r in row["replies"] or ()}
-                    totals = np.bincount(grp, count).astype(np.int64) if m else np.empty(0, np.int64)
-                    bits = [np.unpackbits(np.frombuffer(per_group[g], np.uint8), count=totals[g]) for g in np.unique(grp).tolist()]
+                    totals = np.bincount(found.grp, count).astype(np.int64) if len(count) else count
+                    bits = [np.unpackbits(np.frombuffer(per_group[g], np.uint8), count=totals[g]) for g in np.unique(found.grp).tolist()]
                     bits = np.concatenate([*bits, np.empty(0, np.uint8)])
                     own = np.flatnonzero(~later)
                     steps = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
                     hit = bits[np.repeat(begins[entry[own]], size[own]) + steps].astype(bool)
-                    places = (np.repeat(start[own], size[own]) + steps)[hit]
-                    flags = np.cumsum(starts) > 0
-                    flags[places] = True
-                else:
-                    flags = np.zeros(len(starts), bool)
+                    flags[(np.repeat(start[own], size[own]) + steps)[hit]] = True
+                    del found
                 reach = np.cumsum(flags, dtype=np.int64)
                 gone = np.concatenate((reach[:length], reach[length:] - reach[:-length]))[: len(data)] > 0
                 kept_all = np.frombuffer(data, np.uint8)
@@ -481,7 +482,7 @@ def _apply(blocks: DataFrame, entries: DataFrame, answers: DataFrame, length: in
                 del data, cells
                 trim_memory()
 
-    joined = blocks.join(runs, "block", "left").join(answers, "block", "left")
+    joined = blocks.join(masks, "block", "left").join(answers, "block", "left")
     return joined.mapInArrow(remove, RESULT)
 
 
@@ -491,8 +492,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         raise ValueError("the gram is a multiple of 8 bytes, within the length")
     groups = max(LEAST_GROUPS, -(-total_bytes(docs) // group_bytes))
     blocks = _blocks(docs, block_bytes)
-    entries = _entries(blocks, _shared_keys(blocks, groups, length, gram), groups, length, gram)
+    masks = materialise(_shared_keys(blocks, groups, length, gram), "dedup-masks")
     release_shuffles(docs.sparkSession)
-    answers = materialise(_answers(entries, length, gram), "dedup-answers")
+    answers = materialise(_answers(_entries(blocks, masks, groups, length, gram), length, gram), "dedup-answers")
     release_shuffles(docs.sparkSession)
-    return _apply(blocks, entries, answers, length)
+    return _apply(blocks, masks, answers, groups, length, gram)
