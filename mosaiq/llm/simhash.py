@@ -13,12 +13,13 @@ fingerprints within one bit, and those that name the same one are at most two bi
 construction, so a star to the smallest links them; nothing is capped or dropped, and work
 stays linear in the fingerprints. Components are found by alternating large and small stars.
 
-``similar_groups`` takes a similarity of shingle sets instead. Its fingerprints have 512 bits, cut into
-23-bit words; the fuzzy keys of two words make a key of 24 bits, and eight disjoint pairs of words
-give each fingerprint a few hundred. Fingerprints that share a key are ordered, and each is
-compared with the one before it, so a crowded key costs no more for each than a small one.
-Candidates within ``SKETCH_BITS`` of their first 64 bits are verified by the
-angle of all 512. That search is probabilistic: the README gives its measured recall.
+``similar_groups`` takes a similarity of shingle sets instead, and compares the sets themselves. Two
+sets of a similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order that is the
+same for both (prefix filtering), so these shingles are keys that miss no pair; an order with frequent
+shingles last keeps keys small, and no result depends on it. Texts with equal sets are one node.
+Stars go first: each node of a key is compared with the key's first. Nodes that are connected by then
+need no comparison; ``STARS`` such rounds leave a large group as few links. All other pairs of a key are
+compared by a bound on their difference that never exceeds it, and by their sets if it allows them.
 
 A null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a
 null id get a fingerprint and a null component (they have no id to report, and lend theirs to
@@ -38,10 +39,10 @@ GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIR_BUCKET = 24
 SEED = 42
-#: Words of 64 bits of a wide fingerprint, pairs of 23-bit words that make keys, neighbours in a key.
-WIDE, WIDE_PAIRS, NEIGHBOURS = 8, 8, 1
-#: Bits of the first 64 in which candidates may differ: beyond the mean for 0.8 by 3.5 deviations.
-SKETCH_BITS = 20
+#: Rounds of stars before all pairs that are left, words of 64 bits of a set's parities.
+STARS, PARITIES = 3, 8
+#: Texts that the order of shingles is learnt from, frequent shingles in it, texts that make one frequent.
+SAMPLE, FREQUENT, OFTEN = 10_000, 1 << 17, 3
 
 
 def _fingerprint(words: list[bytes], width: int):
@@ -186,93 +187,174 @@ def _labelled(fps: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def _wide_fingerprint(words: list[bytes], width: int):
-    """``WIDE`` unsigned words; the first is that of ``_fingerprint``."""
+def shingle_set(words: list[bytes], width: int):
+    """Sorted hashes of the distinct ``width``-word shingles."""
     import numpy as np
     import xxhash
 
     if not words:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in parts], np.uint64)
-    counts = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), 1 << 12):
-        some = hashes[at : at + (1 << 12)]
-        grown = np.empty((len(some), WIDE), "<u8")
-        for k in range(WIDE):
-            grown[:, k] = some
-            if k:  # further bits by mixing
-                x = some + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-                x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-                grown[:, k] = x ^ x >> np.uint64(31)
-        counts += np.unpackbits(grown.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
-
-
-def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    return np.unique(np.array([digest(p, SEED) for p in parts], np.uint64))
+
+
+def _of_text(text: str | None, width: int):
+    """The shingle set of a text, and a hash of the set."""
+    import xxhash
+
+    found = shingle_set((text or "").encode().lower().split(), width)
+    return found, xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` shares at least with any that similar."""
+    import math
+
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _prefix(found, often, counts, similarity: float):
+    """Of a sorted set, the shingles that make keys; ``often``: sorted frequent ones, with ``counts``."""
+    import numpy as np
+
+    wanted = len(found) - least_overlap(len(found), similarity) + 1 if len(found) else 0
+    place = np.minimum(np.searchsorted(often, found), max(0, len(often) - 1))
+    known = often[place] == found if len(often) else np.zeros(len(found), bool)
+    rare = found[~known][:wanted]
+    if len(rare) == wanted:
+        return rare
+    return np.concatenate((rare, found[known][np.argsort(counts[place[known]], kind="stable")][: wanted - len(rare)]))
+
+
+def _parities(found):
+    """``PARITIES`` words: whether the number of shingles of each of their bits is odd."""
+    import numpy as np
+
+    bits = 64 * PARITIES
+    return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").view("<i8")
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple:
+    """Shingles of several texts of a sample, sorted, and in how many they are."""
+    import numpy as np
+
+    def shingles(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_of_text(text, width)[0].view(np.int64))], ["shingle"])
+
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(shingles, "shingle bigint")
+    rows = some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    often, counts = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(often)
+    return often[order], counts[order]
+
+
+def _sets_with_keys(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set), n, parities and keys of every row."""
+    often, counts = _frequent(docs, width)
+    names = ["doc_id", "fp", "n", *[f"w{k}" for k in range(PARITIES)], "keys"]
+
     def compute(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            made = [_wide_fingerprint((t or "").encode().lower().split(), width) for t in batch["text"].to_pylist()]
-            flat = np.concatenate([*made, np.empty(0, np.uint64)]).view(np.int64)
-            wide = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDE, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(flat[::WIDE].copy()), wide], ["doc_id", "fp", "wide"])
+            fps, sizes, words, keys = [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for text in batch["text"].to_pylist():
+                found, fp = _of_text(text, width)
+                fps.append(fp)
+                sizes.append(len(found))
+                words.append(_parities(found))
+                keys.append(_prefix(found, often, counts, similarity))
+            ends = np.cumsum([len(k) for k in keys]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+            columns = np.concatenate(words).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(columns[:, k].copy()) for k in range(PARITIES)], lists], names)
+
+    schema = "doc_id bigint, fp bigint, n bigint, " + "".join(f"w{k} bigint, " for k in range(PARITIES)) + "keys array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(compute, schema)
+
+
+def _may_be_similar(similarity: float):
+    """A condition on frames x and y of nodes that all similar pairs meet.
+
+    Of sets with n and m shingles at most (n + m) (1 - t) / (1 + t) are in one only, and each parity
+    that differs needs one of these.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(PARITIES)), F.lit(0))
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (apart <= (n + m) * ((1 - similarity) / (1 + similarity)) + 1e-6)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(compute, "doc_id bigint, fp bigint, wide array<bigint>")
 
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of pairs a, b of nodes those whose shingle sets are that similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("owner").alias("doc_id")), "fp")
 
-def _wide_keys(nodes: DataFrame) -> DataFrame:
-    def keys(batches):
+    def compute(batches):
         import numpy as np
         import pyarrow as pa
 
-        patterns = _error_patterns()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.slice(at, 2000)
-                fps = some["fp"].to_numpy()
-                bits = np.unpackbits(some["wide"].flatten().to_numpy().view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
-                words = bits[:, : 23 * 2 * WIDE_PAIRS].reshape(len(fps), 2 * WIDE_PAIRS, 23).astype(np.int64) @ (1 << np.arange(23, dtype=np.int64))
-                for pair in range(WIDE_PAIRS):
-                    own = []
-                    for side in (0, 1):  # six keys at most, others repeat the first
-                        found = np.sort(golay_keys(words[:, 2 * pair + side], patterns), axis=1)
-                        fresh = np.concatenate((np.ones((len(found), 1), bool), found[:, 1:] != found[:, :-1]), axis=1)
-                        rank = np.cumsum(fresh, axis=1) - 1
-                        six = np.repeat(found[:, :1], 6, axis=1)
-                        rows, cols = np.nonzero(fresh)
-                        six[rows, rank[rows, cols]] = found[rows, cols]
-                        own.append(six)
-                    made = (own[0][:, :, None] << 12 | own[1][:, None, :]).reshape(len(fps), 36) << 3 | pair
-                    made.sort(axis=1)
-                    first = np.concatenate((np.ones((len(made), 1), bool), made[:, 1:] != made[:, :-1]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(made[first]), pa.array(np.repeat(fps, first.sum(axis=1)))], ["key", "fp"])
-
-    return nodes.select("fp", "wide").mapInArrow(keys, "key bigint, fp bigint")
-
-
-def most_bits_apart(similarity: float) -> int:
-    """Of a wide fingerprint, the expected differing bits of sets of equal size that similar."""
-    import math
-
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * WIDE * math.acos(cosine) / math.pi)
+            fps, sets = [], [np.empty(0, np.uint64)]
+            for text, fp in zip(batch["text"].to_pylist(), batch["fp"].to_pylist(), strict=True):
+                found, own = _of_text(text, width)
+                if own == fp % 2**64:  # else another text of a repeated id
+                    fps.append(fp)
+                    sets.append(found)
+            ends = np.cumsum([len(s) for s in sets]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists], ["fp", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id").select("fp", "text")
+    sets = materialise(texts.mapInArrow(compute, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    a, b = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    return pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-6).select("a", "b")
+
+
+def _all_links(docs: DataFrame, known: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links a, b of similar nodes that connect what all links of similar nodes connect."""
+    described = nodes.drop("owner")
+    possible = _may_be_similar(similarity)
+    inside = Window.partitionBy("key").orderBy("fp")
+    keys = known.select("fp", F.explode("keys").alias("key"))
+    rest = materialise(keys.withColumn("pivot", F.first("fp").over(inside)).filter("fp <> pivot").distinct(), "set-keys")
+    links = None
+    for star in range(STARS + 1):
+        if star == STARS:  # all pairs of a key that no links connect yet
+            found = rest.drop("pivot").join(described, "fp")
+            found = found.alias("x").join(found.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & possible)
+            pairs = found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+        else:
+            apart = rest.filter("root <> pivot_root") if star else rest
+            pairs = apart.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+            pairs = pairs.join(described.alias("x"), F.col("a") == F.col("x.fp")).join(described.alias("y"), (F.col("b") == F.col("y.fp")) & possible).select("a", "b")
+        pairs = materialise(pairs.distinct(), "set-pairs")
+        more = materialise(_similar(docs, nodes, pairs, width, similarity), "set-links")
+        links = more if links is None else links.unionByName(more)
+        if star == STARS:
+            break
+        roots = materialise(connected_components(links), "set-roots").select(F.col("node").alias("fp"), F.col("root"))
+        # a pivot has been compared with all of its key that it is not connected with
+        rooted = rest.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        unlike = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by("root", "fp").alias("pivot_root"), F.min("fp").alias("pivot")).filter("least < most")
+        left = rooted.join(unlike.select("key", "pivot", "pivot_root"), "key")
+        rest = materialise(left if star + 1 == STARS else left.filter("fp <> pivot"), "set-keys")
+        if rest.isEmpty():
+            break
+    return links
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp and component_id of every row, as ``near_duplicates`` gives them."""
-    fps = materialise(_wide_fingerprints(docs, width), "wide-fingerprints")
-    known = fps.filter("doc_id is not null")
-    nodes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.min_by("wide", "doc_id").alias("wide")), "wide-nodes")
-    inside = Window.partitionBy("key").orderBy("fp")
-    before = [F.lag("fp", k).over(inside) for k in range(1, NEIGHBOURS + 1)]
-    near = _wide_keys(nodes).select(F.col("fp").alias("b"), F.array(*before).alias("others"))
-    near = near.select("b", F.explode(F.filter("others", lambda a: a.isNotNull() & (a < F.col("b")) & (F.bit_count(a.bitwiseXOR(F.col("b"))) <= SKETCH_BITS))).alias("a")).distinct()
-    a, b = nodes.select(F.col("fp").alias("a"), F.col("wide").alias("wide_a")), nodes.select(F.col("fp").alias("b"), F.col("wide").alias("wide_b"))
-    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    links = near.join(a, "a").join(b, "b").filter(apart <= most_bits_apart(similarity)).select("a", "b")
-    return _labelled(fps.drop("wide"), nodes.select("fp", "owner"), connected_components(links))
+    """doc_id, fp (a hash of the shingle set) and component_id of every row, as ``near_duplicates`` gives it."""
+    found = materialise(_sets_with_keys(docs, width, similarity), "shingle-keys")
+    known = found.filter("doc_id is not null")
+    first = [F.first(c).alias(c) for c in ("n", *[f"w{k}" for k in range(PARITIES)])]
+    nodes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("owner"), *first), "set-nodes")
+    roots = connected_components(_all_links(docs, known, nodes, width, similarity))
+    return _labelled(found.select("doc_id", "fp"), nodes.select("fp", "owner"), roots)

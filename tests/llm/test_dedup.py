@@ -171,6 +171,55 @@ def test_crowded_keys_stay_connected(make_docs):
     assert {r.component_id for r in simhash.similar_groups(make_docs(texts)).collect()} == {0}
 
 
+def random_words(rng, n, letters="abcdefgh"):
+    return ["".join(rng.choice(letters) for _ in range(6)) for _ in range(n)]
+
+
+def brute_similar(texts, similarity=0.8, width=5):
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))})
+    roots = list(range(len(texts)))
+    find = lambda i: i if roots[i] == i else find(roots[i])
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]) - 1e-9:
+                low, high = sorted((find(i), find(j)))
+                roots[high] = low
+    return [find(i) for i in range(len(texts))]
+
+
+def test_every_similar_pair_is_found_among_strangers(make_docs):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(150):  # pairs of a similarity of about 0.86
+        words = random_words(rng, 400)
+        other = list(words)
+        for at in range(20, 400, 65):
+            other[at] = "other"
+        texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(texts)).collect()}
+    assert [got[i] for i in range(300)] == [i - i % 2 for i in range(300)]
+
+
+@pytest.mark.parametrize("often", [3, 10**9])
+def test_crowded_keys_of_unlike_texts_are_searched_whole(make_docs, monkeypatch, often):
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng = random.Random(13)
+    line, texts = random_words(rng, 60), []
+    for _ in range(50):  # one line opens all; the ends make pairs, some of them just similar enough
+        end = random_words(rng, 60)
+        for k in range(2):
+            mine = list(end)
+            for _ in range(k * rng.randrange(8)):
+                mine[rng.randrange(60)] = rng.choice("uvw")
+            texts.append(" ".join(line + mine))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(texts)).collect()}
+    want = brute_similar(texts)
+    assert [got[i] for i in range(100)] == want and len(set(want)) < 90
+
+
 def test_similar_groups_take_awkward_texts(make_docs, awkward):
     texts, ids = awkward
     got = simhash.similar_groups(make_docs(texts, ids)).collect()
