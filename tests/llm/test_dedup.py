@@ -220,6 +220,21 @@ def test_crowded_keys_of_unlike_texts_are_searched_whole(make_docs, monkeypatch,
     assert [got[i] for i in range(100)] == want and len(set(want)) < 90
 
 
+@pytest.mark.parametrize(("changed", "linked"), [(8, True), (10, False)])
+def test_texts_near_the_threshold_are_told_apart(make_docs, changed, linked):
+    rng, texts = random.Random(17), []
+    for _ in range(40):  # a change is of five shingles of 396: similarities of 356 / 436 and 346 / 446
+        words = random_words(rng, 400)
+        other = list(words)
+        for k in range(changed):
+            other[20 + 38 * k] = "other"
+        texts += [" ".join(words), " ".join(other)]
+    want = brute_similar(texts)
+    assert (want == [i - i % 2 for i in range(80)]) is linked and (want == list(range(80))) is not linked
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(texts)).collect()}
+    assert [got[i] for i in range(80)] == want
+
+
 def test_similar_groups_take_awkward_texts(make_docs, awkward):
     texts, ids = awkward
     got = simhash.similar_groups(make_docs(texts, ids)).collect()
