@@ -235,6 +235,14 @@ def test_texts_near_the_threshold_are_told_apart(make_docs, changed, linked):
     assert [got[i] for i in range(80)] == want
 
 
+def test_a_repeated_line_does_not_make_texts_similar(make_docs):
+    rng = random.Random(19)
+    line = random_words(rng, 9)
+    texts = [" ".join(line * 40 + random_words(rng, 150)) for _ in range(6)]
+    got = simhash.similar_groups(make_docs(texts)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len({r.fp for r in got}) == 6
+
+
 def test_similar_groups_take_awkward_texts(make_docs, awkward):
     texts, ids = awkward
     got = simhash.similar_groups(make_docs(texts, ids)).collect()
