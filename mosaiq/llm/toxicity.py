@@ -1,7 +1,8 @@
 """Operator 2: toxicity scores of a bidirectional gated recurrent network.
 
-A word's input is a hashed word vector beside the mean of its hashed vectors of three and four
-characters, ends of the word included. Two gated recurrent networks read a window of ``WINDOW``
+A word's input is a hashed word vector beside two means of hashed vectors of its characters: of its
+beginnings of ``HEADS`` bytes, and of all runs of three and four bytes, ends of the word included.
+Digits and signs within words are characters like letters; only sentence marks part words. Two gated recurrent networks read a window of ``WINDOW``
 words from either side; attention pools their states, and a logistic unit scores the window.
 All windows of a text are scored, each ``STRIDE`` words after the one before and the last at the
 text's end, so they overlap and cover every word; a text has the score of its worst window.
@@ -25,22 +26,27 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.common import held_out
 
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 WORD_BUCKETS, WORD_WIDTH = 1 << 13, 8
 GRAM_BUCKETS, GRAM_WIDTH = 1 << 14, 16
+HEADS, HEAD_BUCKETS, HEAD_WIDTH = (4, 5, 6), 1 << 14, 8
 HIDDEN, ATTENTION = 8, 8
 SAMPLE, SAMPLE_BYTES, SAMPLE_WINDOWS = 2000, 20_000, 8_000
 BATCH, RATE, SLOW_RATE, ROUNDS, PRIOR = 256, 6e-3, 3e-4, (3, 3), 6
+#: Steps of a round of training at least, so small samples are read again and again; how much of a bucket's
+#: toxic texts is left out of its log-odds.
+LEAST_STEPS, OWN = 40, 0.5
 THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
 BLOCK_WORDS = 200_000
 WINDOWS_AT_ONCE = 2048
 
-_SEPARATED = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_MARKS = b" \t\n\x0b\x0c\r.,;:!?()[]{}<>\"'`|/\\"
+_SEPARATED = bytes(32 if b in _MARKS or b < 32 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Runs of letters (and of anything beyond ASCII), A-Z lower-cased."""
+    """Runs of anything but white space and sentence marks, A-Z lower-cased."""
     return (text or "").encode().translate(_SEPARATED).split()
 
 
@@ -51,7 +57,7 @@ def window_starts(n_words: int) -> list[int]:
 
 
 class Inputs:
-    """Hashes of distinct words: a word bucket, and buckets of their character grams."""
+    """Hashes of distinct words: a word bucket, and buckets of their beginnings and character grams."""
 
     def __init__(self, words: list[bytes]):
         import numpy as np
@@ -65,6 +71,10 @@ class Inputs:
         powers = np.cumprod(np.full(max(sizes, default=1), 0x01000193, np.uint32), dtype=np.uint32)
         rolled = data * powers[weights]
         self.words = (mix(np.add.reduceat(rolled, begins)) % WORD_BUCKETS).astype(np.int64)
+        # a beginning has the mark of a word's start, and that of its end if the word is short
+        sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(rolled, dtype=np.uint32)))
+        stops = begins[:, None] + np.minimum(np.array(HEADS) + 1, sizes[:, None])
+        self.heads = (mix(sums[stops] - sums[begins][:, None]) % HEAD_BUCKETS).astype(np.int64)
         grams, owners = [], []
         for n in (3, 4):
             code = np.zeros(len(data) - n + 1 if len(data) >= n else 0, np.uint32)
@@ -81,12 +91,12 @@ class Inputs:
         self.count = np.bincount(self.owner, minlength=len(words)).astype(np.float32)
         self.first = np.searchsorted(self.owner, np.arange(len(words)))
 
-    def vectors(self, words, grams):
+    def vectors(self, words, heads, grams):
         """(n, width) inputs; each word has a gram, as its ends count."""
         import numpy as np
 
         mean = np.add.reduceat(grams[self.grams], self.first, axis=0) / self.count[:, None]
-        return np.concatenate((words[self.words], mean), axis=1)
+        return np.concatenate((words[self.words], heads[self.heads].mean(axis=1), mean), axis=1)
 
 
 def _sum_rows(index, rows, n):
@@ -113,8 +123,8 @@ class Network:
 
         rng = np.random.default_rng(seed)
         draw = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
-        width, h = WORD_WIDTH + GRAM_WIDTH, HIDDEN
-        p = {"words": draw(WORD_BUCKETS, WORD_WIDTH, scale=0.05), "grams": draw(GRAM_BUCKETS, GRAM_WIDTH, scale=0.05)}
+        width, h = WORD_WIDTH + HEAD_WIDTH + GRAM_WIDTH, HIDDEN
+        p = {"words": draw(WORD_BUCKETS, WORD_WIDTH, scale=0.05), "heads": draw(HEAD_BUCKETS, HEAD_WIDTH, scale=0.05), "grams": draw(GRAM_BUCKETS, GRAM_WIDTH, scale=0.05)}
         for side in "fb":
             p[f"in_{side}"] = draw(width, 3 * h, scale=0.3)
             p[f"bias_{side}"] = np.zeros(3 * h, np.float32)
@@ -123,7 +133,7 @@ class Network:
         return cls(p)
 
     def project(self, inputs: Inputs):
-        x = inputs.vectors(self.p["words"], self.p["grams"])
+        x = inputs.vectors(self.p["words"], self.p["heads"], self.p["grams"])
         return x, {s: x @ self.p[f"in_{s}"] + self.p[f"bias_{s}"] for s in "fb"}
 
     def states(self, projected, index, mask, keep=None):
@@ -209,7 +219,9 @@ class Network:
             g[f"state_{side}"], g[f"bias_{side}"], g[f"in_{side}"] = g_state, d_projected.sum(axis=0), x.T @ d_projected
             d_x += d_projected @ p[f"in_{side}"].T
         g["words"] = _sum_rows(inputs.words, d_x[:, :WORD_WIDTH], WORD_BUCKETS)
-        shared = d_x[:, WORD_WIDTH:] / inputs.count[:, None]
+        of_heads = np.repeat(d_x[:, WORD_WIDTH : WORD_WIDTH + HEAD_WIDTH] / len(HEADS), len(HEADS), axis=0)
+        g["heads"] = _sum_rows(inputs.heads.ravel(), of_heads, HEAD_BUCKETS)
+        shared = d_x[:, WORD_WIDTH + HEAD_WIDTH :] / inputs.count[:, None]
         g["grams"] = _sum_rows(inputs.grams, shared[inputs.owner], GRAM_BUCKETS)
         return g
 
@@ -257,14 +269,16 @@ def _log_odds(windows: _Windows, labels, params: dict):
     import numpy as np
 
     share = (labels.sum() + 1) / (len(labels) + 2)
-    seen = {"words": np.zeros((2, WORD_BUCKETS)), "grams": np.zeros((2, GRAM_BUCKETS))}
+    seen = {"words": np.zeros((2, WORD_BUCKETS)), "heads": np.zeros((2, HEAD_BUCKETS)), "grams": np.zeros((2, GRAM_BUCKETS))}
     for begin, size, label in zip(windows.begins.tolist(), windows.sizes.tolist(), labels.tolist(), strict=True):
         if size:
             inputs = Inputs([windows.words[w] for w in np.unique(windows.flat[begin : begin + size]).tolist()])
             seen["words"][label, np.unique(inputs.words)] += 1
+            seen["heads"][label, np.unique(inputs.heads)] += 1
             seen["grams"][label, np.unique(inputs.grams)] += 1
     for name, counts in seen.items():
-        odds = (counts[1] + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
+        # less a part: what a single toxic text holds tells nothing, least of all about that text
+        odds = (np.maximum(counts[1] - OWN, 0) + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
         params[name][:, 0] = np.clip(np.log(odds * (1 - share) / share), -1, 5)
 
 
@@ -276,7 +290,7 @@ def _first_ranks(windows: _Windows, params: dict):
     for k in range(0, len(out), WINDOWS_AT_ONCE):
         words, index, mask = windows.cut(some := np.arange(k, min(k + WINDOWS_AT_ONCE, len(out))))
         inputs = Inputs(words)
-        odds = params["words"][inputs.words, 0] + np.add.reduceat(params["grams"][inputs.grams, 0], inputs.first) / inputs.count
+        odds = params["words"][inputs.words, 0] + params["heads"][inputs.heads, 0].mean(axis=1) + np.add.reduceat(params["grams"][inputs.grams, 0], inputs.first) / inputs.count
         out[some] = np.where(mask, odds[index], -np.inf).max(axis=1)
     return out
 
@@ -302,7 +316,7 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
         toxic = np.flatnonzero((mine == 1) & top)
         clean = np.concatenate((np.flatnonzero((mine == 0) & top), rng.permutation(np.flatnonzero((mine == 0) & ~top))[:SAMPLE_WINDOWS]))
         used = np.concatenate((toxic, clean))
-        for _ in range(rounds):
+        for _ in range(max(rounds, -(-rounds * LEAST_STEPS * BATCH // len(used)))):
             used = rng.permutation(used)
             for k in range(0, len(used), BATCH):
                 some = used[k : k + BATCH]
@@ -313,7 +327,7 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
                     m, v = moments[name]
                     m += 0.1 * (value - m)
                     v += 0.01 * (value * value - v)
-                    network.p[name] -= (SLOW_RATE if name in ("words", "grams") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                    network.p[name] -= (SLOW_RATE if name in ("words", "heads", "grams") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
     return network
 
 

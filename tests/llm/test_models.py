@@ -132,6 +132,51 @@ def test_gradients_are_those_of_the_loss():
         assert math.isclose((high - low) / 2e-3, g[at], rel_tol=0.02, abs_tol=1e-6), name
 
 
+def test_scores_equal_a_plain_forward_pass(make_docs):
+    network, (texts, _) = toxicity.Network.start(5), _texts(12, 6)
+    p, h = {k: v.astype(np.float64) for k, v in network.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    mix = lambda x: ((x ^ x >> 15) * 0x2C1B3C6D) % 2**32
+    rolled = lambda data: sum(b * pow(0x01000193, k + 1, 2**32) for k, b in enumerate(data)) % 2**32
+
+    def vector(word):
+        data = b"<" + word + b">"
+        grams = []
+        for n in (3, 4):
+            for k in range(len(data) - n + 1):
+                code = 0
+                for b in data[k : k + n]:
+                    code = (code * 0x01000193 + b) % 2**32
+                grams.append(p["grams"][mix((code + n) % 2**32) % toxicity.GRAM_BUCKETS])
+        heads = [p["heads"][mix(rolled(data[: n + 1])) % toxicity.HEAD_BUCKETS] for n in toxicity.HEADS]
+        return np.concatenate((p["words"][mix(rolled(data)) % toxicity.WORD_BUCKETS], np.mean(heads, axis=0), np.mean(grams, axis=0)))
+
+    def window(words):
+        vectors, sides = [vector(w) for w in words], {}
+        for side in "fb":
+            state, seen = np.zeros(h), []
+            for x in vectors if side == "f" else vectors[::-1]:
+                given, told = x @ p[f"in_{side}"] + p[f"bias_{side}"], state @ p[f"state_{side}"]
+                z, r = sigmoid(given[:h] + told[:h]), sigmoid(given[h : 2 * h] + told[h : 2 * h])
+                state = (1 - z) * np.tanh(given[2 * h :] + r * told[2 * h :]) + z * state
+                seen.append(state)
+            sides[side] = seen if side == "f" else seen[::-1]
+        states = [np.concatenate(x) for x in zip(sides["f"], sides["b"], strict=True)]
+        weight = np.exp([np.tanh(s @ p["look"] + p["look_bias"]) @ p["weigh"] for s in states])
+        return sum(w * s for w, s in zip(weight / weight.sum(), states, strict=True)) @ p["out"] + p["out_bias"][0]
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(make_docs(texts), network).collect()}
+    for k, text in enumerate(texts):
+        words = text.encode().split()
+        n = max(1, len(words) - toxicity.WINDOW + 1)
+        starts = sorted({*range(0, n, toxicity.STRIDE), n - 1})
+        assert math.isclose(got[k], max(sigmoid(window(words[a : a + toxicity.WINDOW])) for a in starts), rel_tol=1e-4)
+
+
+def test_digits_and_signs_within_words_are_characters():
+    assert toxicity.words_of("You 1D10T, $h*t! (x-y) a.b\x00c") == [b"you", b"1d10t", b"$h*t", b"x-y", b"a", b"b", b"c"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 47, 48, 49, 80, 81, 500])
 def test_windows_overlap_and_cover(n):
     starts = toxicity.window_starts(n)
