@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that go to one file at most, unless a single text is longer.
-FILE_TEXT_BYTES = 32 << 20
+from mosaiq.llm.common import materialise
 
 
 def write_flat_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -45,13 +44,51 @@ def write_flat_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     rows.write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
+def _local(path: str) -> str:
+    """A path as Arrow takes it; Hadoop writes local ones with one slash."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def _reachable(path: str) -> bool:
+    import pyarrow as pa
+
+    from mosaiq.sources.files import open_fs
+
+    try:
+        open_fs(_local(path))
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
+    return True
+
+
+def _blocks(spark: SparkSession, path: str, block: int) -> DataFrame:
+    """path, block and tokens (its bytes) of all blocks of the files that are not empty."""
+    files = spark.read.format("binaryFile").load(path)
+    number = F.explode(F.expr(f"sequence(0L, (length - 1) div {block})")).alias("block")
+    if not _reachable(path):
+        content = files.where("length > 0").select("path", "content", number)
+        return content.select("path", "block", F.expr(f"substring(content, cast(1 + block * {block} as int), {block})").alias("tokens"))
+
+    def read(batches):
+        import pyarrow as pa
+
+        from mosaiq.sources.files import read_bytes
+
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                data = read_bytes(_local(one["path"][0].as_py()), one["block"][0].as_py() * block, block)
+                yield pa.RecordBatch.from_arrays([one["path"], one["block"], pa.array([data], pa.binary())], ["path", "block", "tokens"])
+
+    # names and lengths only: contents are not read here
+    spread = files.where("length > 0").select("path", number).repartition("path", "block")
+    return spread.mapInArrow(read, "path string, block bigint, tokens binary")
+
+
 def count_tokens(spark: SparkSession, path: str, end_id: int, block_bytes: int = 4 << 20) -> DataFrame:
     """Documents of flat 16-bit token files: path, doc_no and start (in tokens of the file,
     end ids included), n_tokens (without the end id), terminated."""
-    block = block_bytes - block_bytes % 2
-    files = spark.read.format("binaryFile").load(path).select("path", "content", F.octet_length("content").alias("bytes"))
-    blocks = files.select("path", "content", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block})")).alias("block")).where(F.octet_length("content") > 0)
-    cut = blocks.select("path", "block", F.expr(f"substring(content, cast(1 + block * {block} as int), {block})").alias("tokens"))
+    cut = _blocks(spark, path, block_bytes - block_bytes % 2)
 
     def search(batches):
         import numpy as np
@@ -68,20 +105,22 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, block_bytes: int =
             ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
             yield pa.RecordBatch.from_arrays([batch["path"], batch["block"], pa.array(sizes, pa.int64()), ends], ["path", "block", "n", "ends"])
 
-    searched = cut.mapInArrow(search, "path string, block bigint, n bigint, ends array<bigint>")
+    searched = materialise(cut.mapInArrow(search, "path string, block bigint, n bigint, ends array<bigint>"), "token-blocks")
     # prefix scan over the blocks of a file: tokens and separators before, and where the last document ended
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path").orderBy(F.desc("block"))
-    scanned = searched.select(
+    told = searched.select("path", "block", "n", F.size("ends").cast("bigint").alias("n_ends"), F.element_at("ends", -1).alias("last"))
+    whole = Window.partitionBy("path").orderBy("block")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    scanned = told.select(
         "path",
-        "n",
-        "ends",
+        "block",
+        "last",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs"),
-        (F.row_number().over(after) == 1).alias("final"),
+        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs"),
+        F.lead("block").over(whole).isNull().alias("final"),
     )
-    opened = Window.partitionBy("path").orderBy("base").rowsBetween(Window.unboundedPreceding, -1)
-    carried = scanned.withColumn("open", F.coalesce(F.max(F.col("base") + F.array_max("ends") + 1).over(opened), F.lit(0)))
+    opened = F.coalesce(F.max(F.col("base") + F.col("last") + 1).over(before), F.lit(0))
+    scanned = scanned.withColumn("open", opened).drop("last")
+    carried = searched.join(scanned, ["path", "block"])
     stitched = F.expr(
         "transform(ends, (e, i) -> struct(docs + i as doc_no, if(i = 0, open, base + ends[i - 1] + 1) as start,"
         " base + e - if(i = 0, open, base + ends[i - 1] + 1) as n_tokens, true as terminated))"
