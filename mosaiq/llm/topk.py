@@ -27,6 +27,8 @@ BUCKET, QUERY_BLOCK = 2048, 512
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM, FOCUS = 0.6, 6
 SEED_BUCKETS = 2
+#: Buckets that a block of queries meets together.
+CHUNK = 16
 
 PACKED = "bucket bigint, n bigint, width int, longest double, shortest double, ids binary, data binary"
 
@@ -150,6 +152,22 @@ def _candidates(queries: _Bucket, thresholds, bucket: _Bucket):
         yield some, candidates
 
 
+def _meetings(blocks: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Blocks of the stated queries beside the buckets that are long enough for one of their queries.
+
+    Buckets are dealt to chunks in the order of their lengths (one narrow row a bucket), and a block goes to
+    the chunks that it needs: joins by chunk, each of whose sides Spark may send out if it is small.
+    """
+    place = F.floor((F.row_number().over(Window.orderBy(F.desc("longest"), "bucket")) - 1) / CHUNK)
+    dealt = materialise(buckets.select("bucket", "longest", place.alias("chunk")), "bucket-chunks")
+    heads = dealt.groupBy("chunk").agg(F.max("longest").alias("reach"))
+    chunks = (dealt.agg(F.max("chunk")).first()[0] or 0) + 1
+    enough = F.col("reach") * (1 + 1e-9) >= F.col("need")
+    wanted = blocks.select("block", "need", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")).alias("chunk")).join(heads, "chunk").filter(enough)
+    asked = blocks.join(wanted.select("block", "chunk"), "block")
+    return asked.join(buckets.join(dealt.select("bucket", "chunk"), "bucket"), "chunk").filter(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+
+
 def top_products(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest products with other rows."""
     whole = _whole(vectors, id_column, vector, scale)
@@ -184,8 +202,7 @@ def top_products(vectors: DataFrame, is_query: Column, id_column: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["block", "q_n", "q_width", "q_ids", "q_data", "floors", "need"])
 
     seeded = blocks.mapInArrow(seed, "block bigint, q_n bigint, q_width int, q_ids binary, q_data binary, floors binary, need double")
-    # blocks of the stated queries against buckets; a block skips buckets that are too short for all of it
-    pairs = materialise(seeded, "query-blocks").crossJoin(buckets).filter(F.col("longest") * (1 + 1e-9) >= F.col("need"))
+    pairs = _meetings(materialise(seeded, "query-blocks"), buckets)
 
     def search(batches):
         import numpy as np
