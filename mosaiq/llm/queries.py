@@ -75,9 +75,7 @@ def op6_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     store = ShardStore(spark, new_path(spark, "shards"))
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
-    for k in range(ARRIVALS):
-        store.append(docs.filter(arrival == k))
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
     store.compact()
     kept = store.read()
     return kept.select("doc_id", "source", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("text_md5"))

@@ -13,14 +13,18 @@ system's rename has to be atomic, as on HDFS.) Files of older versions stay unti
 
 All work on rows is in Spark's own operators; the driver handles names and sizes of files, which
 it needs for planning a scan anyway. Rows pass unchanged, with nulls, repeats and any columns.
-An empty arrival commits a version without new shards; an empty store reads as no rows.
+An empty arrival commits a version without new shards; an empty store reads as no rows. ``append_each``
+writes several arrivals in one pass over their rows, and commits each. A merge that another
+writer's version overtakes is committed on top of it, if that version still holds all of its files.
+``vacuum`` leaves what is younger than a day, as a writer may be about to commit or to build on it.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTRY = "file string, rows bigint, bytes bigint, tier int, run string"
@@ -83,9 +87,9 @@ class ShardStore:
             raise
         return base + 1
 
-    def _described(self, run: str) -> DataFrame:
-        """``ENTRY`` of the shards of a run, from the files' own footers."""
-        shards = self.spark.read.parquet(f"{self.path}/data/{run}")
+    def _described(self, run: str, part: str = "") -> DataFrame:
+        """``ENTRY`` of the shards of a run (or of a folder in it), from the files' own footers."""
+        shards = self.spark.read.parquet(f"{self.path}/data/{run}{part}")
         about = shards.metadataColumn("_metadata")
         sized = shards.select(about["file_path"].alias("file"), about["file_size"].alias("bytes")).groupBy("file").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
         tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / self.least_bytes) / F.log(F.lit(float(self.fanout))))).cast("int")
@@ -93,24 +97,41 @@ class ShardStore:
 
     # operations
 
-    def append(self, df: DataFrame, tries: int = 10) -> int:
-        """Write an arrival as a run of shards and commit it; returns the version."""
-        fs = self._fs()
-        if not fs.exists(self._path("schema/_SUCCESS")):
+    def _checked(self, df: DataFrame) -> None:
+        if not self._fs().exists(self._path("schema/_SUCCESS")):
             df.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
         known = self.spark.read.parquet(f"{self.path}/schema").schema
         if [(f.name, f.dataType) for f in known] != [(f.name, f.dataType) for f in df.schema]:
             raise ValueError("the arrival's columns differ from the store's")
-        run = f"arrival-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/data/{run}")
+
+    def _added(self, entries: DataFrame, tries: int) -> int:
         for _ in range(tries):
             base = self.version()
             try:
-                return self._commit(base, self.entries(base).unionByName(self._described(run)))
+                return self._commit(base, self.entries(base).unionByName(entries))
             except ConcurrentCommit:
                 continue
         raise ConcurrentCommit("other writers were always first")
 
+    def append(self, df: DataFrame, tries: int = 10) -> int:
+        """Write an arrival as a run of shards and commit it; returns the version."""
+        self._checked(df)
+        run = f"arrival-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(f"{self.path}/data/{run}")
+        return self._added(self._described(run), tries)
+
+    def append_each(self, df: DataFrame, arrival: Column, tries: int = 10) -> int:
+        """Write the arrivals that ``arrival`` tells apart in one pass, and commit them in its order."""
+        self._checked(df)
+        run, name = f"arrival-{uuid.uuid4().hex}", "arrival_no"
+        while name in df.columns:
+            name += "_"
+        df.withColumn(name, arrival).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.path}/data/{run}")
+        found = [s.getPath().getName() for s in self._fs().listStatus(self._path(f"data/{run}")) if s.isDirectory()]
+        for part in sorted(found, key=lambda p: (len(p), p)):
+            self._added(self._described(run, f"/{part}"), tries)
+        return self.version()
+
     def read(self, version: int | None = None) -> DataFrame:
         files = [r.file for r in self.entries(version).select("file").collect()]
         schema = self.spark.read.parquet(f"{self.path}/schema").schema
@@ -129,32 +150,54 @@ class ShardStore:
         packing.read.schema(schema).parquet(*files).write.option("compression", "zstd").parquet(f"{self.path}/data/{run}")
         return run
 
-    def compact(self) -> int:
-        """Merge full tiers until there is none; each merge is a version. Returns the latest."""
-        base = self.version()
+    def compact(self, tries: int = 10) -> int:
+        """Merge full tiers until there is none; each merge is a version. Returns the latest.
+
+        A tier whose merge would not lessen its files is left, and larger ones go on.
+        """
+        idle: set[int] = set()
         while True:
+            base = self.version()
             small = self.entries(base).filter(F.col("bytes") < self.target_bytes / 2)
-            full = small.groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("total")).filter(F.col("n") >= self.fanout).orderBy("tier").first()
+            tiers = small.groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fanout).orderBy("tier").collect()
+            full = next((r.tier for r in tiers if r.tier not in idle), None)
             if full is None:
                 return base
-            files = [r.file for r in small.filter(F.col("tier") == full.tier).select("file").collect()]
+            files = [r.file for r in small.filter(F.col("tier") == full).select("file").collect()]
             run = self._merge(files)
             merged = self._described(run)
-            if merged.count() >= len(files):  # nothing to gain: already as large as splits get
+            if merged.count() >= len(files):  # already as large as splits get
                 self._fs().delete(self._path(f"data/{run}"), True)
-                return base
-            gone = self.spark.createDataFrame([(f,) for f in files], "file string")
-            base = self._commit(base, self.entries(base).join(gone, "file", "left_anti").unionByName(merged))
+                idle.add(full)
+            elif self._replaced(files, merged, base, tries):
+                idle.clear()
+            else:
+                self._fs().delete(self._path(f"data/{run}"), True)
+
+    def _replaced(self, files: list[str], merged: DataFrame, base: int, tries: int) -> bool:
+        """Commits a merge; False if another writer has taken one of its files out."""
+        gone = self.spark.createDataFrame([(f,) for f in files], "file string")
+        for _ in range(tries):
+            live = self.entries(base)
+            if live.join(gone, "file", "left_semi").count() < len(files):
+                return False
+            try:
+                self._commit(base, live.join(gone, "file", "left_anti").unionByName(merged))
+            except ConcurrentCommit:
+                base = self.version()
+            else:
+                return True
+        raise ConcurrentCommit("other writers were always first")
 
-    def vacuum(self) -> None:
-        """Delete runs that the latest version does not use, and older versions."""
+    def vacuum(self, older_than_seconds: float = 86_400) -> None:
+        """Delete older versions, and runs that the latest one does not use, if they are of that age."""
         fs, latest = self._fs(), self.version()
         live = {r.run for r in self.entries(latest).select("run").distinct().collect()}
+        before = (time.time() - older_than_seconds) * 1000
         for status in fs.listStatus(self._path("data")):
-            name = status.getPath().getName()
             # a run that is partly live keeps its other files
-            if name not in live:
+            if status.getPath().getName() not in live and status.getModificationTime() <= before:
                 fs.delete(status.getPath(), True)
         for status in fs.listStatus(self._path("manifest")):
-            if status.getPath().getName() != f"v{latest:08d}":
+            if status.getPath().getName() != f"v{latest:08d}" and status.getModificationTime() <= before:
                 fs.delete(status.getPath(), True)
