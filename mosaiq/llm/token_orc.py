@@ -15,6 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mosaiq.llm.common import materialise, release_shuffles
+
+BROADCAST_PARTS = 1 << 18
+
 STORED = "part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>"
 
 
@@ -48,18 +52,23 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     writer = ordered.select("doc_id", "text").mapInArrow(encode, STORED).write
     options = {"orc.bloom.filter.columns": "doc_id", "orc.row.index.stride": str(row_index_stride), "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
     writer.options(**options).orc(path)
+    del ordered, writer
+    release_shuffles(docs.sparkSession)  # the sorted texts
 
 
 def read_token_orc(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
     """Documents of ``write_token_orc`` with ``start`` over all files; ``where`` prunes stripes.
 
-    The base of a part comes from the two small columns of all files, whatever ``where`` keeps.
+    The base of a part comes from the two small columns of all files, whatever ``where`` keeps. Up to
+    ``BROADCAST_PARTS`` parts (16 bytes each) the bases go to the rows, so that no ids are shuffled.
     """
     stored = spark.read.schema(STORED).orc(path)
     sizes = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row a file part: a single task can order them
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = materialise(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "part-bases")
+    if bases.count() <= BROADCAST_PARTS:
+        bases = F.broadcast(bases)
     kept = stored if where is None else stored.filter(where)
     return kept.join(bases, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
