@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def clear_shared(spark: SparkSession) -> None:
         remove_path(spark, _WRITTEN.pop())
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """On leaving, removes the tables written within but those given to ``keep``; nothing may read them later."""
+    before, kept = len(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.__dict__["mosaiq_path"])
+        return df
+
+    yield keep
+    release_shuffles(spark)
+    inside, _WRITTEN[before:] = _WRITTEN[before:], [p for p in _WRITTEN[before:] if p in kept]
+    for path in inside:
+        if path not in kept:
+            remove_path(spark, path)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage.
 
@@ -46,7 +65,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.__dict__["mosaiq_path"] = path
+    return made
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -15,7 +15,7 @@ text, so what is sent to the executors at once is bounded; a single longer item
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm.common import materialise
@@ -23,8 +23,8 @@ from mosaiq.llm.common import materialise
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 8 << 20
 
-INDEX = "block bigint, doc_ids array<bigint>, n_words array<bigint>, terms binary, counts binary, postings binary"
-HITS = "row_key string, doc_id bigint, n_words bigint, spans array<struct<first:bigint,stop:bigint>>, items array<string>"
+INDEX = "block bigint, doc_ids array<bigint>, carried array<string>, n_words array<bigint>, terms binary, counts binary, postings binary"
+HITS = "row_key string, doc_id bigint, carried string, n_words bigint, spans array<struct<first:bigint,stop:bigint>>, items array<string>"
 
 #: Every byte that is no part of a word becomes a space; A to Z become a to z.
 WORD_BYTES = bytes(
@@ -41,11 +41,12 @@ class _Block:
     """Words of some documents, turned into one row of the index."""
 
     def __init__(self):
-        self.doc_ids, self.n_words, self.words, self.size = [], [], [], 0
+        self.doc_ids, self.carried, self.n_words, self.words, self.size = [], [], [], [], 0
 
-    def add(self, doc_id, text) -> None:
+    def add(self, doc_id, carried, text) -> None:
         words = words_of(text)
         self.doc_ids.append(doc_id)
+        self.carried.append(carried)
         self.n_words.append(len(words))
         self.words += words
         self.size += len(text or "") + 64
@@ -62,28 +63,29 @@ class _Block:
         gaps = np.repeat(np.arange(len(n)), n)  # one free position after each document
         positions = (order + gaps[order]).astype(np.uint32)
         deltas = np.diff(positions, prepend=np.uint32(0))  # wraps around where a term begins
-        cells = [block, self.doc_ids, self.n_words, b" ".join(terms), np.bincount(ids, minlength=len(terms)).astype(np.uint32).tobytes(), deltas.astype(np.uint32).tobytes()]
-        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["block", "doc_ids", "n_words", "terms", "counts", "postings"])
+        cells = [block, self.doc_ids, self.carried, self.n_words, b" ".join(terms), np.bincount(ids, minlength=len(terms)).astype(np.uint32).tobytes(), deltas.astype(np.uint32).tobytes()]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["block", "doc_ids", "carried", "n_words", "terms", "counts", "postings"])
 
 
-def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The stored positional index of all documents (``INDEX``)."""
+def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> DataFrame:
+    """The stored positional index of all documents (``INDEX``); ``carry``: a string kept for each."""
 
     def build(batches):
         from pyspark import TaskContext
 
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                block.add(doc_id, text)
+            for doc in zip(batch["doc_id"].to_pylist(), batch["carried"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                block.add(*doc)
                 if block.size >= block_bytes:
                     yield block.row(number)
                     number, block = number + 1, _Block()
         if block.doc_ids:
             yield block.row(number)
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(build, INDEX), "postings")
+    kept = F.lit(None) if carry is None else carry
+    return materialise(docs.select(F.col("doc_id").cast("bigint"), kept.cast("string").alias("carried"), "text").mapInArrow(build, INDEX), "postings")
 
 
 class Postings:
@@ -187,11 +189,12 @@ def _search(index: DataFrame, items: list[tuple], window: int | None, slop: int
                     [
                         pa.array([f"{row['block']}/{k}" for k in range(len(spans))]),
                         pa.array(row["doc_ids"], pa.int64()),
+                        pa.array(row["carried"], pa.string()),
                         pa.array(row["n_words"], pa.int64()),
                         pa.array([[{"first": a, "stop": b} for a, b in merge_spans(s)] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))),
                         pa.array([sorted(x) for x in hit_items], pa.list_(pa.string())),
                     ],
-                    ["row_key", "doc_id", "n_words", "spans", "items"],
+                    ["row_key", "doc_id", "carried", "n_words", "spans", "items"],
                 )
 
     return index.mapInArrow(search, HITS)
@@ -237,15 +240,15 @@ def search_index(index: DataFrame, items: DataFrame, window: int | None = 10, sl
     for more in made[1:]:
         whole = whole.unionByName(more)
     # a group holds one row a slice of one document
-    merged = whole.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = whole.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("carried").alias("carried"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     joined = F.expr(
         "aggregate(all, cast(array() as array<struct<first:bigint,stop:bigint>>), (a, x) -> if(size(a) > 0 and x.first <= a[size(a) - 1].stop,"
         " concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].first as first, greatest(a[size(a) - 1].stop, x.stop) as stop))), concat(a, array(x))))"
     )
-    return merged.select("row_key", "doc_id", "n_words", joined.alias("spans"), "items")
+    return merged.select("row_key", "doc_id", "carried", "n_words", joined.alias("spans"), "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, spans, items, n_hit of every row of ``docs``."""
-    hits = search_index(build_index(docs, block_bytes), items, window)
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, carry: Column | None = None) -> DataFrame:
+    """doc_id, carried, n_words, spans, items, n_hit of every row of ``docs``."""
+    hits = search_index(build_index(docs, block_bytes, carry), items, window)
     return hits.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.first)")).drop("row_key")

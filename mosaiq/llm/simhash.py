@@ -13,25 +13,30 @@ fingerprints within one bit, and those that name the same one are at most two bi
 construction, so a star to the smallest links them; nothing is capped or dropped, and work
 stays linear in the fingerprints. Components are found by alternating large and small stars.
 
-``similar_groups`` takes a similarity of shingle sets instead, and compares the sets themselves. Two
-sets of a similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order that is the
-same for both (prefix filtering), so these shingles are keys that miss no pair; an order with frequent
-shingles last keeps keys small, and no result depends on it. Texts with equal sets are one node.
-Stars go first: each node of a key is compared with the key's first. Nodes that are connected by then
-need no comparison; ``STARS`` such rounds leave a large group as few links. All other pairs of a key are
-compared by a bound on their difference that never exceeds it, and by their sets if it allows them.
+``similar_groups`` takes a similarity of shingle sets instead. Fingerprints of the distinct shingles go
+through the same Golay keys first, and the candidates are verified on the sets themselves. Fingerprints of
+sets that are just similar enough lie further apart than two bits, so an exact search follows: two sets of
+a similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order that is the same for
+both (prefix filtering), so these shingles are keys that miss no pair; an order with frequent shingles
+last keeps keys small, and no result depends on it. Texts with equal sets are one node.
+Each node of a key is compared with the key's first. Nodes that are connected need no comparison, so a large
+group is left as few links. Rounds of such stars go on while the pairs that are left outnumber the
+nodes ``EASY`` times, ``STARS`` rounds at most; then all of them are compared, by a bound on their difference
+that never exceeds it, and by their sets if it allows them. Nothing is capped, and no result depends on the rounds.
 
 A null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a
 null id get a fingerprint and a null component (they have no id to report, and lend theirs to
 none). Repeated rows give repeated results. Empty tables give no rows. Other columns are ignored.
+``similar_groups`` tells rows apart by id and text, those without an id too: of a group it keeps the
+smallest id, and a row without an id only if there is none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import materialise, scratch, trim_memory
 
 #: The generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -39,8 +44,10 @@ GOLAY_POLYNOMIAL = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIR_BUCKET = 24
 SEED = 42
-#: Rounds of stars before all pairs that are left, words of 64 bits of a set's parities.
-STARS, PARITIES = 3, 8
+#: Rounds of stars at most before all pairs that are left, their number a node that needs no more stars.
+STARS, EASY = 6, 1000
+#: Words of 64 bits of a set's parities, keys of rows (some hundred bytes each) that are sent to all at most.
+PARITIES, BROADCAST_KEYS = 8, 1 << 16
 #: Texts that the order of shingles is learnt from, frequent shingles in it, texts that make one frequent.
 SAMPLE, FREQUENT, OFTEN = 10_000, 1 << 17, 3
 
@@ -54,13 +61,18 @@ def _fingerprint(words: list[bytes], width: int):
         return 0
     parts = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*[words[k:] for k in range(width)], strict=False))
     digest = xxhash.xxh64_intdigest
-    counts, n = np.zeros(64, np.int64), 0
-    hashes = np.array([digest(p, SEED) for p in parts], "<u8")
+    return _majority(np.array([digest(p, SEED) for p in parts], "<u8"))
+
+
+def _majority(hashes) -> int:
+    """The bits that over half of the hashes have."""
+    import numpy as np
+
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         some = hashes[at : at + (1 << 15)]
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(some)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -180,13 +192,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, pair_bucket: int = PAIR_BUC
 
 
 def _labelled(fps: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
-    placed = owners.join(roots, owners.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "owner")
-    smallest = placed.groupBy("root").agg(F.min("owner").alias("component_id"))
-    groups = placed.join(smallest, "root").select("fp", "component_id")
+    groups = _owned(owners, roots).select("fp", F.col("first").alias("component_id"))
     joined = fps.join(groups, "fp", "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _owned(owners: DataFrame, roots: DataFrame) -> DataFrame:
+    """fp and the smallest ``owner`` in its component (``first``)."""
+    placed = owners.join(roots, owners.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "owner")
+    # written, so that the join can split the rows of a large component
+    first = materialise(placed.groupBy("root").agg(F.min("owner").alias("first")), "component-owners")
+    return placed.join(first, "root").select("fp", "first")
+
+
 def shingle_set(words: list[bytes], width: int):
     """Sorted hashes of the distinct ``width``-word shingles."""
     import numpy as np
@@ -227,14 +245,20 @@ def _prefix(found, often, counts, similarity: float):
     return np.concatenate((rare, found[known][np.argsort(counts[place[known]], kind="stable")][: wanted - len(rare)]))
 
 
-def _parities(found):
-    """``PARITIES`` words: whether the number of shingles of each of their bits is odd."""
+def _parities(found, words: int = PARITIES):
+    """That many words: whether the number of shingles of each of their bits is odd."""
     import numpy as np
 
-    bits = 64 * PARITIES
+    bits = 64 * words
     return np.packbits(np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").view("<i8")
 
 
+def _slices(batches, rows: int = 500):
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _frequent(docs: DataFrame, width: int) -> tuple:
     """Shingles of several texts of a sample, sorted, and in how many they are."""
     import numpy as np
@@ -243,8 +267,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple:
         import pyarrow as pa
 
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_of_text(text, width)[0].view(np.int64))], ["shingle"])
+            for text in batch["text"]:
+                yield pa.RecordBatch.from_arrays([pa.array(_of_text(text.as_py(), width)[0].view(np.int64))], ["shingle"])
 
     every = max(1, docs.count() // SAMPLE)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(shingles, "shingle bigint")
@@ -255,29 +279,38 @@ def _frequent(docs: DataFrame, width: int) -> tuple:
 
 
 def _sets_with_keys(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set), n, parities and keys of every row."""
+    """doc_id, row_key, fp (a hash of the shingle set), sim (its SimHash), n, parities and keys of every row."""
     often, counts = _frequent(docs, width)
-    names = ["doc_id", "fp", "n", *[f"w{k}" for k in range(PARITIES)], "keys"]
+    names = ["doc_id", "row_key", "fp", "sim", "n", *[f"w{k}" for k in range(PARITIES)], "keys"]
 
     def compute(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            fps, sizes, words, keys = [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        for batch in _slices(batches):
+            fps, sims, sizes, words, keys = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for text in batch["text"].to_pylist():
                 found, fp = _of_text(text, width)
                 fps.append(fp)
+                sims.append(_majority(found))
                 sizes.append(len(found))
                 words.append(_parities(found))
                 keys.append(_prefix(found, often, counts, similarity))
             ends = np.cumsum([len(k) for k in keys]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
             columns = np.concatenate(words).reshape(-1, PARITIES)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *[pa.array(columns[:, k].copy()) for k in range(PARITIES)], lists], names)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *longs, pa.array(sizes, pa.int64()), *[pa.array(columns[:, k].copy()) for k in range(PARITIES)], lists], names)
+        trim_memory()
+
+    schema = "doc_id bigint, row_key string, fp bigint, sim bigint, n bigint, " + "".join(f"w{k} bigint, " for k in range(PARITIES)) + "keys array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), row_key().alias("row_key"), "text").mapInArrow(compute, schema)
 
-    schema = "doc_id bigint, fp bigint, n bigint, " + "".join(f"w{k} bigint, " for k in range(PARITIES)) + "keys array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(compute, schema)
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows of different ids or texts apart: null is no empty text and no id."""
+    parts = (F.coalesce(F.col(doc_id).cast("bigint").cast("string"), F.lit("")), F.when(F.col(text).isNull(), "|").otherwise(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.md5(F.concat(*parts))
 
 
 def _may_be_similar(similarity: float):
@@ -293,68 +326,108 @@ def _may_be_similar(similarity: float):
 
 def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Of pairs a, b of nodes those whose shingle sets are that similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("owner").alias("doc_id")), "fp")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", F.col("owner.row_key").alias("row_key")), "fp")
+    wanted = materialise(wanted, "set-wanted")
+    if wanted.count() <= BROADCAST_KEYS:  # else texts are shuffled
+        wanted = F.broadcast(wanted)
 
     def compute(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            fps, sets = [], [np.empty(0, np.uint64)]
-            for text, fp in zip(batch["text"].to_pylist(), batch["fp"].to_pylist(), strict=True):
-                found, own = _of_text(text, width)
-                if own == fp % 2**64:  # else another text of a repeated id
-                    fps.append(fp)
-                    sets.append(found)
-            ends = np.cumsum([len(s) for s in sets]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), lists], ["fp", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id").select("fp", "text")
-    sets = materialise(texts.mapInArrow(compute, "fp bigint, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+        for batch in _slices(batches):
+            sets = [_of_text(text, width)[0] for text in batch["text"].to_pylist()]
+            wide = [_parities(s, max(PARITIES, 1 << (max(len(s), 1) - 1).bit_length() >> 6)) for s in sets]
+            lists = []
+            for cells, kind in ((sets, np.uint64), (wide, np.int64)):
+                ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*cells, np.empty(0, kind)]).view(np.int64))))
+            yield pa.RecordBatch.from_arrays([batch["fp"], *lists], ["fp", "shingles", "wide"])
+        trim_memory()
+
+    texts = docs.select(row_key().alias("row_key"), "text").join(wanted, "row_key").select("fp", "text")
+    sets = texts.mapInArrow(compute, "fp bigint, shingles array<bigint>, wide array<bigint>")
+    # of repeated rows any one serves
+    sets = materialise(sets.groupBy("fp").agg(F.first("shingles").alias("shingles"), F.first("wide").alias("wide")), "shingle-sets")
+    pairs = materialise(_still_possible(pairs, sets, similarity), "set-pairs")
     a, b = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     return pairs.join(a, "a").join(b, "b").filter(both >= similarity * (F.size("of_a") + F.size("of_b") - both) - 1e-6).select("a", "b")
 
 
-def _all_links(docs: DataFrame, known: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
+def _still_possible(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that parities in proportion to their sets allow, by the bound of ``_may_be_similar``.
+
+    Similar sets have parities of one length or of twice the other's, which fold to half.
+    """
+    about = lambda x: sets.select(F.col("fp").alias(x), F.size("shingles").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}"))
+    k = F.least(F.size("w_a"), F.size("w_b"))
+
+    def folded(w):
+        return F.when(F.size(w) > k, F.zip_with(F.slice(w, 1, k), F.slice(w, k + 1, k), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
+
+    unlike = F.zip_with(folded("w_a"), folded("w_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(unlike, F.lit(0), lambda n, c: n + c)
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return pairs.join(about("a"), "a").join(about("b"), "b").filter(apart <= most).select("a", "b")
+
+
+def _golay_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes whose SimHash fingerprints are equal or link."""
+    sims = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("a")), "set-fingerprints")
+    equal = nodes.select("sim", F.col("fp").alias("b")).join(sims, "sim").filter("a <> b").select("a", "b")
+    links = link_fingerprints(sims.select(F.col("sim").alias("fp")))
+    first, second = sims.select(F.col("sim").alias("a"), F.col("a").alias("x")), sims.select(F.col("sim").alias("b"), F.col("a").alias("y"))
+    near = links.join(first, "a").join(second, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return equal.unionByName(near)
+
+
+def _all_links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links a, b of similar nodes that connect what all links of similar nodes connect."""
-    described = nodes.drop("owner")
+    described = nodes.drop("owner", "sim")
     possible = _may_be_similar(similarity)
-    inside = Window.partitionBy("key").orderBy("fp")
-    keys = known.select("fp", F.explode("keys").alias("key"))
-    rest = materialise(keys.withColumn("pivot", F.first("fp").over(inside)).filter("fp <> pivot").distinct(), "set-keys")
-    links = None
-    for star in range(STARS + 1):
-        if star == STARS:  # all pairs of a key that no links connect yet
-            found = rest.drop("pivot").join(described, "fp")
-            found = found.alias("x").join(found.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & possible)
-            pairs = found.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-        else:
-            apart = rest.filter("root <> pivot_root") if star else rest
-            pairs = apart.select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
-            pairs = pairs.join(described.alias("x"), F.col("a") == F.col("x.fp")).join(described.alias("y"), (F.col("b") == F.col("y.fp")) & possible).select("a", "b")
-        pairs = materialise(pairs.distinct(), "set-pairs")
-        more = materialise(_similar(docs, nodes, pairs, width, similarity), "set-links")
-        links = more if links is None else links.unionByName(more)
-        if star == STARS:
-            break
-        roots = materialise(connected_components(links), "set-roots").select(F.col("node").alias("fp"), F.col("root"))
+    pivot = F.first("fp").over(Window.partitionBy("key").orderBy("fp"))
+
+    def verified(pairs):
+        pairs = pairs.join(described.alias("x"), F.col("a") == F.col("x.fp")).join(described.alias("y"), (F.col("b") == F.col("y.fp")) & possible)
+        with scratch(docs.sparkSession) as keep:
+            pairs = materialise(pairs.select("a", "b").distinct(), "set-pairs")
+            return keep(materialise(_similar(docs, nodes, pairs, width, similarity), "set-links"))
+
+    keys = found.select("fp", F.explode("keys").alias("key"))
+    rest = materialise(keys.withColumn("pivot", pivot).filter("fp <> pivot").distinct(), "set-keys")
+    with scratch(docs.sparkSession) as keep:
+        links = keep(verified(_golay_pairs(nodes).unionByName(rest.select(F.col("pivot").alias("a"), F.col("fp").alias("b"))).distinct()))
+    n_nodes = nodes.count()
+    for star in range(STARS):
+        roots = connected_components(links).select(F.col("node").alias("fp"), F.col("root"))
         # a pivot has been compared with all of its key that it is not connected with
-        rooted = rest.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        unlike = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min_by("root", "fp").alias("pivot_root"), F.min("fp").alias("pivot")).filter("least < most")
-        left = rooted.join(unlike.select("key", "pivot", "pivot_root"), "key")
-        rest = materialise(left if star + 1 == STARS else left.filter("fp <> pivot"), "set-keys")
-        if rest.isEmpty():
-            break
+        rooted = materialise(rest.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "set-roots")
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+        unlike = materialise(sizes.filter("roots > 1"), "set-unlike")
+        if not (left := unlike.agg(F.sum("pairs")).first()[0]):
+            return links
+        rest = rooted.join(unlike.select("key"), "key", "left_semi")
+        if left <= EASY * n_nodes or star + 1 == STARS:  # all pairs that no links connect yet
+            told = rest.join(described, "fp")
+            pairs = told.alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & possible)
+            return links.unionByName(verified(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))))
+        window = Window.partitionBy("key").orderBy("fp")
+        rest = materialise(rest.withColumn("pivot", F.first("fp").over(window)).withColumn("pivot_root", F.first("root").over(window)).filter("fp <> pivot"), "set-keys")
+        links = links.unionByName(verified(rest.filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))))
     return links
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set) and component_id of every row, as ``near_duplicates`` gives it."""
-    found = materialise(_sets_with_keys(docs, width, similarity), "shingle-keys")
-    known = found.filter("doc_id is not null")
-    first = [F.first(c).alias(c) for c in ("n", *[f"w{k}" for k in range(PARITIES)])]
-    nodes = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("owner"), *first), "set-nodes")
-    roots = connected_components(_all_links(docs, known, nodes, width, similarity))
-    return _labelled(found.select("doc_id", "fp"), nodes.select("fp", "owner"), roots)
+    """doc_id, row_key, fp (a hash of the shingle set), component_id (the smallest doc_id of the group)
+    and kept (the one row of its group that stays) of every row."""
+    with scratch(docs.sparkSession) as keep:
+        found = materialise(_sets_with_keys(docs, width, similarity), "shingle-keys")
+        first = [F.first(c).alias(c) for c in ("sim", "n", *[f"w{k}" for k in range(PARITIES)])]
+        # ids before none
+        owner = F.struct(F.col("doc_id").isNull().alias("alone"), "doc_id", "row_key")
+        nodes = materialise(found.groupBy("fp").agg(F.min(owner).alias("owner"), *first), "set-nodes")
+        roots = connected_components(_all_links(docs, found, nodes, width, similarity))
+        joined = found.select("doc_id", "row_key", "fp").join(_owned(nodes.select("fp", "owner"), roots), "fp")
+        group = F.when(F.col("doc_id").isNotNull(), F.col("first.doc_id")).alias("component_id")
+        return keep(materialise(joined.select("doc_id", "row_key", "fp", group, (F.col("row_key") == F.col("first.row_key")).alias("kept")), "similar-groups"))

@@ -18,11 +18,15 @@ written at once and used by the buckets refined after them, so depth at least do
 A hot passage costs one entry a block, however many documents hold it. Null text is empty.
 Documents shorter than ``length`` keep all. Rows with a null id neither lose nor take anything.
 Repeated ids are one document: equal ids are not smaller. Each input row gives one output row.
-An empty table gives no rows. Other columns are ignored.
+An empty table gives no rows. Other columns are ignored, unless ``carry`` names them: then they
+travel beside their own row's text. With ``whole_characters`` a span is drawn in to the
+characters that lie wholly within it, so the bytes left are UTF-8.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ KEY_BITS = 48
 #: Positions up to which two bucket pointers and a position fit into one 64-bit sort key.
 PACKED_POSITIONS = 1 << 21
 
-BLOCKS = "block bigint, doc_ids array<bigint>, sizes array<bigint>, payload binary"
+BLOCKS = "block bigint, doc_ids array<bigint>, sizes array<bigint>, payload binary, carried binary"
 RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<first:bigint,stop:bigint>>, kept binary"
 
 
@@ -60,29 +64,45 @@ def _batch(names_types: dict, cells: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, names_types.values(), strict=True)], list(names_types))
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def _to_ipc(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(docs: DataFrame, block_bytes: int, carry: tuple[str, ...]) -> DataFrame:
     def pack(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "payload": pa.binary()}
-        number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        types = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "payload": pa.binary(), "carried": pa.binary()}
+        number, ids, texts, parts, held = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def row():
-            return _batch(types, [(number, ids, [len(t) for t in texts], _squeeze(b"".join(texts)))])
+            carried = _squeeze(_to_ipc(pa.Table.from_batches(parts))) if carry else None
+            return _batch(types, [(number, ids, [len(t) for t in texts], _squeeze(b"".join(texts)), carried)])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            beside, begin = batch.select(list(carry)) if carry else None, 0
+            for k, (doc_id, text) in enumerate(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)):
                 ids.append(doc_id)
                 texts.append((text or "").encode())
                 held += len(texts[-1]) + 64
                 if held >= block_bytes:
+                    if carry:
+                        parts.append(beside[begin : k + 1])
+                    begin = k + 1
                     yield row()
-                    number, ids, texts, held = number + 1, [], [], 0
+                    number, ids, texts, parts, held = number + 1, [], [], [], 0
+            if carry and begin < len(batch):
+                parts.append(beside[begin:])
         if ids:
             yield row()
 
-    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(pack, BLOCKS), "dedup-blocks")
+    return materialise(docs.select(F.col("doc_id").cast("bigint"), "text", *carry).mapInArrow(pack, BLOCKS), "dedup-blocks")
 
 
 class _Runs:
@@ -429,7 +449,20 @@ def _answers(entries: DataFrame, length: int, gram: int) -> DataFrame:
     return sorted_.groupBy("block").agg(F.collect_list(F.struct("grp", "bits")).alias("replies"))
 
 
-def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int, length: int, gram: int) -> DataFrame:
+def _at_characters(gone, data):
+    """``gone`` (flags of bytes) but for the parts of characters that are not wholly in it."""
+    import numpy as np
+
+    inner = (data & 0xC0) == 0x80
+    starts = np.flatnonzero(~inner)
+    if not len(starts):
+        return gone
+    whole = np.minimum.reduceat(gone, starts)
+    out = np.repeat(whole, np.diff(np.append(starts, len(data))))
+    return np.concatenate((gone[: starts[0]], out))
+
+
+def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int, length: int, gram: int, carry: tuple[str, ...], kinds: dict[str, str], whole_characters: bool) -> DataFrame:
     def remove(batches):
         import numpy as np
         import pyarrow as pa
@@ -467,6 +500,8 @@ def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int,
                 reach = np.cumsum(flags, dtype=np.int64)
                 gone = np.concatenate((reach[:length], reach[length:] - reach[:-length]))[: len(data)] > 0
                 kept_all = np.frombuffer(data, np.uint8)
+                if whole_characters:
+                    gone = _at_characters(gone, kept_all)
                 cells, at = [], 0
                 for doc_id, n_bytes in zip(row["doc_ids"], sizes.tolist(), strict=True):
                     mine = gone[at : at + n_bytes]
@@ -477,23 +512,30 @@ def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int,
                     else:
                         cells.append((doc_id, n_bytes, [], data[at : at + n_bytes]))
                     at += n_bytes
+                beside = pa.ipc.open_stream(_expand(row["carried"])).read_all() if carry else None
                 for k in range(0, len(cells), 500):
-                    yield _batch(types, cells[k : k + 500])
+                    made = _batch(types, cells[k : k + 500])
+                    if carry:
+                        some = beside[k : k + 500].combine_chunks()
+                        made = pa.RecordBatch.from_arrays([*made.columns, *[some[c].chunk(0) for c in carry]], [*made.schema.names, *carry])
+                    yield made
                 del data, cells
                 trim_memory()
 
     joined = blocks.join(masks, "block", "left").join(answers, "block", "left")
-    return joined.mapInArrow(remove, RESULT)
+    return joined.mapInArrow(remove, ", ".join([RESULT, *[f"`{c}` {kinds[c]}" for c in carry]]))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """``RESULT`` of every row: its removed spans and its remaining bytes."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES, carry: Sequence[str] = (), whole_characters: bool = False) -> DataFrame:
+    """``RESULT`` of every row, and its columns ``carry``: its removed spans and its remaining bytes."""
     if gram % 8 or not gram <= length:
         raise ValueError("the gram is a multiple of 8 bytes, within the length")
     groups = max(LEAST_GROUPS, -(-total_bytes(docs) // group_bytes))
-    blocks = _blocks(docs, block_bytes)
+    carry = tuple(carry)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    blocks = _blocks(docs, block_bytes, carry)
     masks = materialise(_shared_keys(blocks, groups, length, gram), "dedup-masks")
     release_shuffles(docs.sparkSession)
     answers = materialise(_answers(_entries(blocks, masks, groups, length, gram), length, gram), "dedup-answers")
     release_shuffles(docs.sparkSession)
-    return _apply(blocks, masks, answers, groups, length, gram)
+    return _apply(blocks, masks, answers, groups, length, gram, carry, kinds, whole_characters)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import held_out
+from mosaiq.llm.common import held_out, trim_memory
 
 WINDOW, STRIDE = 48, 24
 WORD_BUCKETS, WORD_WIDTH = 1 << 13, 8
@@ -38,7 +38,7 @@ BATCH, RATE, SLOW_RATE, ROUNDS, PRIOR = 256, 6e-3, 3e-4, (3, 3), 6
 LEAST_STEPS, OWN = 40, 0.5
 THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 WINDOWS_AT_ONCE = 2048
 
 _MARKS = b" \t\n\x0b\x0c\r.,;:!?()[]{}<>\"'`|/\\"
@@ -380,6 +380,7 @@ def score_toxicity(docs: DataFrame, network: Network, carry: list[str] | None =
                     begin, held, texts = k + 1, 0, []
             if texts:
                 yield scored(batch.slice(begin, len(texts)), texts)
+        trim_memory()
 
     kept = docs.select(*dict.fromkeys([*carry, "text"]))
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}

@@ -243,6 +243,23 @@ def test_a_repeated_line_does_not_make_texts_similar(make_docs):
     assert all(r.component_id == r.doc_id for r in got) and len({r.fp for r in got}) == 6
 
 
+@pytest.mark.parametrize("easy", [0, 10**9])
+def test_rounds_of_stars_change_no_result(make_docs, monkeypatch, easy):
+    monkeypatch.setattr(simhash, "EASY", easy)
+    rng, texts = random.Random(23), []
+    line = random_words(rng, 40)
+    for _ in range(8):
+        base = random_words(rng, 60)
+        for _ in range(6):
+            mine = list(base)
+            for _ in range(rng.randrange(5)):
+                mine[rng.randrange(60)] = rng.choice("uvw")
+            texts.append(" ".join(line + mine))
+    got = {r.doc_id: r for r in simhash.similar_groups(make_docs(texts)).collect()}
+    assert [got[i].component_id for i in range(48)] == brute_similar(texts)
+    assert all(r.kept == (r.component_id == r.doc_id) for r in got.values())
+
+
 def test_similar_groups_take_awkward_texts(make_docs, awkward):
     texts, ids = awkward
     got = simhash.similar_groups(make_docs(texts, ids)).collect()

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mosaiq.llm import topk
+from mosaiq.llm import substring_dedup, topk
 from mosaiq.llm.common import materialise, new_path
 from mosaiq.llm.queries import ORACLE_SQL, QUERIES
 from mosaiq.llm.shards import ConcurrentCommit, ShardStore
@@ -26,7 +28,7 @@ def test_store_keeps_rows_and_merges_small_shards(spark, make_docs, awkward):
     assert key(store.read(1)) == key(docs)
     again = store.version()
     assert store.compact() == again
-    store.vacuum()
+    store.vacuum(0)
     assert key(store.read()) == key(docs.unionByName(docs).unionByName(docs))
 
 
@@ -41,6 +43,60 @@ def test_commits_are_atomic_and_never_overwrite(spark, make_docs):
         store.append(make_docs(["a"]).drop("lang"))
 
 
+def test_arrivals_of_one_pass_are_versions_of_their_own(spark, make_docs):
+    store = ShardStore(spark, new_path(spark, "test-shards"))
+    docs = make_docs(["a", "b", None, "d", "e"], [0, 1, 2, 3, None]).withColumn("arrival_no", F.lit("clash"))
+    assert store.append_each(docs, F.pmod("doc_id", F.lit(2))) == 3
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(store.read()) == key(docs) and store.read(1).count() < store.read(2).count() < 5
+    assert store.append_each(docs.limit(0), F.lit(1)) == 3
+
+
+def test_other_writers_lose_nothing(spark, make_docs, monkeypatch):
+    store = ShardStore(spark, new_path(spark, "test-shards"), target_bytes=1 << 20, least_bytes=1 << 10)
+    docs = make_docs([f"text {k}" for k in range(12)])
+    for _ in range(3):
+        store.append(docs)
+    merge = store._merge
+
+    def overtaken(files):
+        run = merge(files)
+        if store.version() == 3:
+            other = ShardStore(spark, store.path)
+            other.append(make_docs(["late"]))
+            other.vacuum()  # the merged run is not committed yet
+        return run
+
+    monkeypatch.setattr(store, "_merge", overtaken)
+    store.compact()
+    assert store.read().count() == 37 and store.version() == 5
+    base = store.version()
+    files = [r.file for r in store.entries(base).select("file").collect()]
+    assert not store._replaced([*files, "gone"], store.entries(base), base, 3) and store.version() == base
+
+
+def test_a_tier_without_gain_does_not_end_compaction(spark, make_docs, monkeypatch):
+    store = ShardStore(spark, new_path(spark, "test-shards"), target_bytes=1 << 20, least_bytes=1 << 10)
+    docs = make_docs([f"text {k}" for k in range(12)]).repartition(4)
+    store.append(docs)
+    big = make_docs([random.Random(k).randbytes(8000).hex() for k in range(8)]).repartitionByRange(4, "doc_id")
+    store.append(big)
+    tiers = {r.tier for r in store.entries().select("tier").distinct().collect()}
+    merge, seen = store._merge, []
+
+    def split(files):  # the smallest tier comes out of its merge as it went in
+        seen.append(len(files))
+        if len(seen) > 1:
+            return merge(files)
+        run = "merged-same"
+        spark.read.parquet(*files).repartition(len(files)).write.parquet(f"{store.path}/data/{run}")
+        return run
+
+    monkeypatch.setattr(store, "_merge", split)
+    store.compact()
+    assert len(tiers) == 2 and len(seen) == 2 and store.version() == 3 and store.read().count() == 20
+
+
 def test_an_empty_arrival_is_a_version(spark, make_docs):
     store = ShardStore(spark, new_path(spark, "test-shards"))
     store.append(make_docs([]))
@@ -68,6 +124,8 @@ def test_topk_equals_brute_force(spark, monkeypatch, kind):
     rows += [(1000 + k, [1.0] * 8) for k in range(50)] + [(1100, None), (1101, [None] * 8), (1150, [float("nan")] * 8), (1151, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (1200, [0.0] * 8), (1250, [-0.5, 2.0])]
     monkeypatch.setattr(topk, "BUCKET", 16)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CHUNK", 3)
+    rows += rows[50:53]  # repeated rows are rows
     frame = spark.createDataFrame([(i, v, "clash") for i, v in rows], "vec_id bigint, embedding array<float>, score string").repartition(3)
     got = topk.top_products(frame, F.col("vec_id") % 50 == 0).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows)
@@ -94,11 +152,59 @@ def test_topk_of_nothing(spark):
 
 
 def test_spans_are_cut_at_whole_characters():
-    text = "aé日b"  # a, 2 bytes, 3 bytes, b
-    assert corpus_pipeline.remove_spans(text, [(1, 3)]) == "a日b"
-    assert corpus_pipeline.remove_spans(text, [(2, 6)]) == "aéb"
-    assert corpus_pipeline.remove_spans(text, [(4, 5)]) == text
-    assert corpus_pipeline.remove_spans(text, [(0, 1), (6, 7)]) == "é日"
+    data = np.frombuffer("aé日b".encode(), np.uint8)  # a, 2 bytes, 3 bytes, b
+
+    def left(*spans):
+        gone = np.zeros(len(data), bool)
+        for a, b in spans:
+            gone[a:b] = True
+        return data[~substring_dedup._at_characters(gone, data)].tobytes().decode()
+
+    assert left((1, 3)) == "a日b" and left((2, 6)) == "aéb" and left((4, 5)) == "aé日b" and left((0, 1), (6, 7)) == "é日" and left() == "aé日b"
+
+
+def brute_stages(spark, docs, sf_dir):
+    """Rows after each filtering stage but the first, which is a network."""
+    words = lambda t: (t or "").lower().split()
+    rows = [tuple(r) for r in docs.collect()]
+    sets = [frozenset(tuple(words(r[1])[k : k + 5]) for k in range(max(1, len(words(r[1])) - 4))) for r in rows]
+    kept = []
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    groups: list[list[int]] = []
+    for i in order:
+        near = [g for g in groups if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in g)]
+        groups = [g for g in groups if g not in near] + [[j for g in near for j in g] + [i]]
+    kept = [rows[min(g, key=order.index)] for g in groups]
+    return sorted(kept, key=str)
+
+
+def test_stages_judge_rows_by_their_own_text(spark, make_docs, tmp_path):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three, four, item = text(60), text(60), text(60), text(60), text(24)
+    passage = text(30)
+    texts = [one, two, one, one + " " + text(2), None, None, three, f"{four} {item}", four, f"{passage} {text(9)}", f"{text(9)} {passage} {text(9)}"]
+    ids = [1, 1, 2, 2, 3, None, None, 5, 5, 6, 6]
+    docs = make_docs(texts, ids)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = materialise(corpus_pipeline.near_duplicates(spark, docs, ""), "test-near")
+    found = [r for r in near.collect()]
+    want = brute_stages(spark, docs.select(*corpus_pipeline.COLUMNS), "")
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in found if r.text is not None) == sorted((r[0] is None, r[0], r[1]) for r in want if r[1] is not None)
+    assert [r.doc_id for r in found if r.text is None] == [3] and len(found) == len(want)
+    cut = materialise(corpus_pipeline.substring_dedup(spark, near, ""), "test-cut")
+    assert cut.count() == near.count()
+    rows = {(r.doc_id, r.text) for r in cut.collect()}
+    # equal ids are one document, so the passage within id 6 stays; three has no id and stays whole
+    assert {(None, three), (3, None), (1, one), (1, two)} <= rows and {(r.doc_id, r.text) for r in near.collect() if r.doc_id == 6} <= rows
+    clean = corpus_pipeline.decontamination(spark, cut, str(tmp_path))
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {(i, t) for i, t in rows if item not in (t or "")} and clean.count() == cut.count() - 1
+
+
+def test_stages_take_an_empty_table(spark, make_docs, sf_dir):
+    docs = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
 
 
 def test_stages_keep_the_columns_and_clean_documents(spark, sf_dir):
