@@ -12,10 +12,11 @@ def build_description(header: Column, values: dict[str, Column]) -> Column:
 
 
 def parse_description(description: Column) -> Column:
-    """Map of the pairs in the last line; pieces without ``=`` are left out."""
+    """Map of the pairs in the last line; pieces without ``=`` are left out, and of a repeated key the last counts."""
     pieces = F.filter(F.split(F.substring_index(description, "\n", -1), r"\|"), lambda p: F.contains(p, F.lit("=")))
     pairs = F.transform(pieces, lambda p: F.struct(F.trim(F.split(p, "=")[0]).alias("k"), F.trim(F.split(p, "=")[1]).alias("v")))
-    return F.map_from_entries(pairs)
+    later = lambda i: F.slice(pairs, i + 2, F.size(pairs))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(later(i), lambda q: q["k"] == p["k"])))
 
 
 def description_mpp(pairs: Column) -> Column:

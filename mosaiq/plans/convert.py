@@ -42,6 +42,8 @@ def writer_of(path: str, writer: str | None = None) -> str:
             raise ValueError(f"unknown writer: {writer}")
         return writer
     lowered = path.lower().rstrip("/").rsplit("/", 1)[-1]
+    if lowered.endswith((".ome.tiff", ".ome.tif")):
+        raise ValueError("OME metadata cannot be written; name the output .tiff, or give the writer")
     for suffix in sorted(SUFFIXES, key=lambda s: -s.count(".")):
         if lowered.endswith(suffix):
             return SUFFIXES[suffix]

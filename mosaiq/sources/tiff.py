@@ -13,7 +13,7 @@ from mosaiq.sources import files
 from mosaiq.sources.slide import ENCODED, Slide
 
 # Tag numbers, and the bytes and formats of field types.
-TAGS = {"subfile": 254, "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "description": 270, "samples": 277, "x_res": 282, "y_res": 283, "planar": 284, "unit": 296, "tile_w": 322, "tile_h": 323, "offsets": 324, "counts": 325, "subs": 330, "jpeg_tables": 347}
+TAGS = {"subfile": 254, "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "description": 270, "samples": 277, "x_res": 282, "y_res": 283, "planar": 284, "unit": 296, "predictor": 317, "tile_w": 322, "tile_h": 323, "offsets": 324, "counts": 325, "subs": 330, "jpeg_tables": 347}
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 7: (1, "s"), 13: (4, "I"), 16: (8, "Q"), 18: (8, "Q")}
 CODES = {"None": 1, "LZW": 5, "JPEG": 7, "DEFLATE": 8, "PackBits": 32773, "JPEG 2000": 34712, "Zstd": 50000, "WebP": 50001, "JPEG XL": 50002}
 PHOTOMETRIC = {"Min is White": 0, "Grey": 1, "RGB": 2, "YCbCr": 6}
@@ -63,11 +63,19 @@ def _resolution(page: _Directory) -> tuple[float, float] | None:
     return units.to_mpp(y[0] / y[1], unit), units.to_mpp(x[0] / x[1], unit)
 
 
+def with_tables(tables: bytes | None, frame: bytes) -> bytes:
+    """A JPEG frame on its own: the tables that its file keeps apart, but for their end, then the frame, but for its start."""
+    return frame if not tables else tables[:-2] + frame[2:]
+
+
 def read_tiff(spark: SparkSession, path: str) -> Slide:
     pages = _open(path)
     page = pages[0]
     if not page.get("tile_w"):
         raise ValueError("only tiled files are read")
+    for p in pages:
+        if p.get("predictor", [1])[0] != 1 or set(p.get("bits", [8])) != {8} or p.get("planar", [1])[0] != 1:
+            raise ValueError("only 8-bit samples, pixel by pixel and without a predictor, are read")
     code = page.get("compression", [1])[0]
     codec = {v: k for k, v in CODES.items()}.get(code) or vocab.TIFF_CODECS.get(code)
     if codec is None:
@@ -76,16 +84,18 @@ def read_tiff(spark: SparkSession, path: str) -> Slide:
     h, w = page.get("height")[0], page.get("width")[0]
     slide = Slide(path, h, w, page.get("samples", [1])[0], page.get("tile_h")[0], page.get("tile_w")[0], codec, color, _resolution(page), kind=("tiff",))
     slide.downsamples = [max(1, round(h / p.get("height")[0])) for p in pages]
-    places = []
+    places, tables = [], {}
     for level, (p, d) in enumerate(zip(pages, slide.downsamples, strict=True)):
         across = -(-p.get("width")[0] // slide.tile_w)
+        if codec == "JPEG" and (found := p.get("jpeg_tables")):
+            tables[level] = found
         places += [(level, d, k // across, k % across, at, n) for k, (at, n) in enumerate(zip(p.get("offsets"), p.get("counts"), strict=True)) if n]
 
     def fetch(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(path, r["level"], r["downsample"], r["ty"], r["tx"], codec, files.read_bytes(path, r["at"], r["n"])) for r in batch.to_pylist()]
+            rows = [(path, r["level"], r["downsample"], r["ty"], r["tx"], codec, with_tables(tables.get(r["level"]), files.read_bytes(path, r["at"], r["n"]))) for r in batch.to_pylist()]
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])

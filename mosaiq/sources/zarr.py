@@ -23,6 +23,10 @@ from mosaiq.sources.slide import ENCODED, Slide
 STORES = ("dir", "ndir", "zip", "sqlite")
 
 
+# Microns in the format's usual units of space; a scale without one is taken for microns.
+SPACE_MICRONS = {"nanometer": 1e-3, "micrometer": 1.0, "millimeter": 1e3, "centimeter": 1e4, "meter": 1e6, "inch": 25400.0}
+
+
 def _array_meta(slide: Slide, downsample: int, codec_level: int | None) -> dict:
     h, w = slide.level_shape(downsample)
     compressor = None if slide.codec == "None" else chunk_codec(slide.codec, codec_level)
@@ -119,7 +123,8 @@ def read_zarr(spark: SparkSession, path: str) -> Slide:
         for step in scales["datasets"][0]["coordinateTransformations"]:
             if step["type"] == "scale":
                 names = [a["name"] for a in scales["axes"]]
-                mpp = (step["scale"][names.index("y")], step["scale"][names.index("x")])
+                per = [step["scale"][k] * SPACE_MICRONS.get(scales["axes"][k].get("unit"), 1.0) for k in map(names.index, "yx")]
+                mpp = (per[0], per[1])
     slide = Slide(path, meta["shape"][0], meta["shape"][1], meta["shape"][2] if len(meta["shape"]) == 3 else 1, meta["chunks"][0], meta["chunks"][1], codec, mpp=mpp, kind=("zarr",))
     slide.downsamples = [round(meta["shape"][0] / m["shape"][0]) for m in metas]
     separator = re.escape(meta.get("dimension_separator", "."))

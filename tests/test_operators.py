@@ -116,6 +116,8 @@ def test_each_signature_and_a_near_miss(spark):
 
 
 def test_descriptions_parse_back(spark):
+    twice = spark.range(1).select(svs.parse_description(F.lit("head\nA = 1|B = 2|A = 3|none")).alias("m")).first().m
+    assert twice == {"A": "3", "B": "2"}
     one = spark.range(1).select(svs.parse_description(svs.build_description(F.lit("head\nline"), {"MPP": F.lit(0.5), "None": F.lit(None).cast("int"), "App Mag": F.lit(20)})).alias("m")).first().m
     assert one == {"MPP": "0.5", "App Mag": "20"}
 

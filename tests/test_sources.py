@@ -104,6 +104,27 @@ def test_tiff_round_trip(spark, image, tmp_path, codec):
         tiff.write_tiff(slide_of(spark, image, 10, 32, codec), path, overwrite=True)
 
 
+def test_ome_is_refused(spark, image, tmp_path):
+    with pytest.raises(ValueError, match="OME"):
+        plans.writer_of("a.OME.tiff")
+
+
+def test_tables_join_a_frame():
+    assert tiff.with_tables(b"\xff\xd8TABLES\xff\xd9", b"\xff\xd8FRAME\xff\xd9") == b"\xff\xd8TABLESFRAME\xff\xd9"
+    assert tiff.with_tables(None, b"frame") == b"frame"
+
+
+def test_tiff_of_a_predictor_is_refused(spark, image, tmp_path):
+    path = tmp_path / "a.tiff"
+    tiff.write_tiff(slide_of(spark, image, 16, 32, "DEFLATE"), str(path))
+    data = bytearray(path.read_bytes())
+    at = data.index(b"\x1c\x01\x03\x00")  # the planar entry becomes a predictor of 2
+    data[at : at + 2], data[at + 12] = (317).to_bytes(2, "little"), 2
+    path.write_bytes(data)
+    with pytest.raises(ValueError, match="predictor"):
+        tiff.read_tiff(spark, str(path))
+
+
 @pytest.mark.parametrize("target", ["p.tiff", "p.zarr"])
 def test_convert_regrids_and_builds_levels(spark, image, tmp_path, target):
     first, second = str(tmp_path / "a.zarr"), str(tmp_path / target)
@@ -164,7 +185,7 @@ def test_thumbnail_is_a_png_near_the_area_mean(spark, image, tmp_path):
 
 
 def test_writers_by_suffix():
-    assert [plans.writer_of(p) for p in ("a.OME.tiff", "b.zarr.zip", "c.dcm", "d.ngff", "e/")[:4]] == ["tiff", "zarr", "dicom", "zarr"]
+    assert [plans.writer_of(p) for p in ("a.OME.zarr", "b.zarr.zip", "c.dcm", "d.ngff", "e/")[:4]] == ["zarr", "zarr", "dicom", "zarr"]
     with pytest.raises(ValueError, match="no writer"):
         plans.writer_of("a.jpg")
 
