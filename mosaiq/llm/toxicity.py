@@ -33,9 +33,9 @@ HEADS, HEAD_BUCKETS, HEAD_WIDTH = (4, 5, 6), 1 << 14, 8
 HIDDEN, ATTENTION = 8, 8
 SAMPLE, SAMPLE_BYTES, SAMPLE_WINDOWS = 2000, 20_000, 8_000
 BATCH, RATE, SLOW_RATE, ROUNDS, PRIOR = 256, 6e-3, 3e-4, (3, 3), 6
-#: Steps of a round of training at least, so small samples are read again and again; how much of a bucket's
-#: toxic texts is left out of its log-odds.
-LEAST_STEPS, OWN = 40, 0.5
+#: Steps of a round of training at least, so small samples are read again and again; how many of a bucket's
+#: toxic texts are left out of its log-odds.
+LEAST_STEPS, OWN = 40, 1
 THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
 BLOCK_WORDS = 100_000
@@ -277,7 +277,7 @@ def _log_odds(windows: _Windows, labels, params: dict):
             seen["heads"][label, np.unique(inputs.heads)] += 1
             seen["grams"][label, np.unique(inputs.grams)] += 1
     for name, counts in seen.items():
-        # less a part: what a single toxic text holds tells nothing, least of all about that text
+        # less one: what a single toxic text holds tells nothing, least of all about that text
         odds = (np.maximum(counts[1] - OWN, 0) + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
         params[name][:, 0] = np.clip(np.log(odds * (1 - share) / share), -1, 5)
 
@@ -316,7 +316,7 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
         toxic = np.flatnonzero((mine == 1) & top)
         clean = np.concatenate((np.flatnonzero((mine == 0) & top), rng.permutation(np.flatnonzero((mine == 0) & ~top))[:SAMPLE_WINDOWS]))
         used = np.concatenate((toxic, clean))
-        for _ in range(max(rounds, -(-rounds * LEAST_STEPS * BATCH // len(used)))):
+        for _ in range(max(rounds, -(-rounds * LEAST_STEPS * BATCH // max(len(used), BATCH)))):
             used = rng.permutation(used)
             for k in range(0, len(used), BATCH):
                 some = used[k : k + BATCH]
