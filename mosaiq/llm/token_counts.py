@@ -107,7 +107,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, block_bytes: int =
 
     searched = materialise(cut.mapInArrow(search, "path string, block bigint, n bigint, ends array<bigint>"), "token-blocks")
     # prefix scan over the blocks of a file: tokens and separators before, and where the last document ended
-    told = searched.select("path", "block", "n", F.size("ends").cast("bigint").alias("n_ends"), F.element_at("ends", -1).alias("last"))
+    told = searched.select("path", "block", "n", F.size("ends").cast("bigint").alias("n_ends"), F.array_max("ends").alias("last"))
     whole = Window.partitionBy("path").orderBy("block")
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     scanned = told.select(
