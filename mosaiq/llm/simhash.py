@@ -48,8 +48,9 @@ SEED = 42
 STARS, EASY = 6, 1000
 #: Words of 64 bits of a set's parities, keys of rows (some hundred bytes each) that are sent to all at most.
 PARITIES, BROADCAST_KEYS = 8, 1 << 16
-#: Texts that the order of shingles is learnt from, frequent shingles in it, texts that make one frequent.
-SAMPLE, FREQUENT, OFTEN = 10_000, 1 << 17, 3
+#: The order of shingles is learnt from one text in ``SHARE``, from more of them in tables of under ``SAMPLE`` times
+#: that many texts; frequent shingles sent to all at most (16 bytes each), texts of the sample that make one frequent.
+SHARE, SAMPLE, FREQUENT, OFTEN = 5, 10_000, 1 << 20, 3
 
 
 def _fingerprint(words: list[bytes], width: int):
@@ -260,7 +261,11 @@ def _slices(batches, rows: int = 500):
 
 
 def _frequent(docs: DataFrame, width: int) -> tuple:
-    """Shingles of several texts of a sample, sorted, and in how many they are."""
+    """Shingles of several texts of a sample, sorted, and in how many they are.
+
+    The sample grows with the table, so the texts that an unlisted shingle is likely to have do not. Beyond
+    ``FREQUENT`` shingles those of the fewest texts are left out: keys grow then, and no link is lost.
+    """
     import numpy as np
 
     def shingles(batches):
@@ -269,24 +274,36 @@ def _frequent(docs: DataFrame, width: int) -> tuple:
         for batch in batches:
             for text in batch["text"]:
                 yield pa.RecordBatch.from_arrays([pa.array(_of_text(text.as_py(), width)[0].view(np.int64))], ["shingle"])
+        trim_memory()
 
-    every = max(1, docs.count() // SAMPLE)
+    every = min(SHARE, max(1, docs.count() // SAMPLE))
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(shingles, "shingle bigint")
-    rows = some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    often, counts = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    listed = materialise(some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN), "frequent-shingles")
+    # a tally for each power of two, so that the least count to keep is found without a sort
+    power = F.floor(F.log2(F.col("n")) + F.lit(1e-9))
+    least, total = None, 0
+    for row in listed.groupBy(power.alias("power")).agg(F.count("*").alias("shingles")).orderBy(F.desc("power")).collect():
+        if (total := total + row.shingles) > FREQUENT:
+            break
+        least = row.power
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = listed.filter(power >= least).toArrow()
+    often, counts = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(often)
     return often[order], counts[order]
 
 
 def _sets_with_keys(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """doc_id, row_key, fp (a hash of the shingle set), sim (its SimHash), n, parities and keys of every row."""
-    often, counts = _frequent(docs, width)
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
     names = ["doc_id", "row_key", "fp", "sim", "n", *[f"w{k}" for k in range(PARITIES)], "keys"]
 
     def compute(batches):
         import numpy as np
         import pyarrow as pa
 
+        often, counts = sent.value
         for batch in _slices(batches):
             fps, sims, sizes, words, keys = [], [], [], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for text in batch["text"].to_pylist():
