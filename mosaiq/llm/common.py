@@ -19,11 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see (``spark.checkpoint.dir``).
 
     Where the setting is absent, as in local tests, a temporary folder of this process
-    stands in for it; that is only sound when all executors are on this machine.
+    stands in for it; as that is only sound within one process, a cluster without it is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="mosaiq-shared-")
     return _OWN["dir"]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -203,6 +204,21 @@ def test_every_similar_pair_is_found_among_strangers(make_docs):
     assert [got[i] for i in range(300)] == [i - i % 2 for i in range(300)]
 
 
+@pytest.mark.parametrize("most", [0, 7, 1 << 20])
+def test_listed_shingles_are_the_most_frequent(make_docs, monkeypatch, most):
+    monkeypatch.setattr(simhash, "FREQUENT", most)
+    texts = [f"{'all of these words open every text ' * 2} {'some of them go on like this' if k < 4 else 'x'} own{k}" for k in range(9)]
+    sets = [simhash.shingle_set(t.encode().split(), 5).tolist() for t in texts]
+    have = Counter(s for one in sets for s in one)
+    listed, counts = simhash._frequent(make_docs(texts), 5)
+    assert listed.tolist() == sorted(listed.tolist()) and len(listed) <= most
+    assert all(have[s] == n >= simhash.OFTEN for s, n in zip(listed.tolist(), counts.tolist(), strict=True))
+    if most > 100:
+        assert set(listed.tolist()) == {s for s, n in have.items() if n >= simhash.OFTEN}
+    elif len(listed):
+        assert min(counts) > 4
+
+
 @pytest.mark.parametrize("often", [3, 10**9])
 def test_crowded_keys_of_unlike_texts_are_searched_whole(make_docs, monkeypatch, often):
     monkeypatch.setattr(simhash, "OFTEN", often)
