@@ -38,6 +38,10 @@ BLOCK_BYTES = 4 << 20
 GROUP_BYTES = 2 << 20
 LEAST_GROUPS = 64
 KEY_BITS = 48
+#: Positions, or runs, of a block that are worked on at a time.
+CHUNK = 1 << 18
+#: Text for each task that applies the replies to its blocks.
+TASK_BYTES = 16 << 20
 #: Positions up to which two bucket pointers and a position fit into one 64-bit sort key.
 PACKED_POSITIONS = 1 << 21
 
@@ -57,6 +61,13 @@ def _expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _rows(batches):
+    """One row at a time, so that no second copy of a whole batch stands in memory."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _batch(names_types: dict, cells: list[tuple]):
     import pyarrow as pa
 
@@ -118,21 +129,25 @@ class _Runs:
         usable = np.array([d is not None for d in doc_ids], bool) & (sizes >= length)
         if not usable.any():
             return
-        # minima crowd at the low end; the product spreads them evenly
-        least = _window_minimum(_gram_hashes(data, gram), length - gram + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KEY_BITS)
-        n = len(least)
-        new = np.empty(n, bool)
-        new[0], new[1:] = True, least[1:] != least[:-1]
-        new[begins[usable]] = True
-        valid = np.zeros(n + 1, np.int32)
-        np.add.at(valid, begins[usable], 1)
-        np.add.at(valid, begins[usable] + sizes[usable] - length + 1, -1)
-        self.start = np.flatnonzero(new & (np.cumsum(valid[:n]) > 0))
+        n, previous, starts, keys = len(data) - length + 1, None, [], []
+        fresh = np.zeros(n, bool)
+        fresh[begins[usable]] = True
+        for at in range(0, n, CHUNK):
+            # minima crowd at the low end; the product spreads them evenly
+            least = _window_minimum(_gram_hashes(data[at : at + CHUNK + length - 1], gram), length - gram + 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - KEY_BITS)
+            new = fresh[at : at + CHUNK]
+            new[1:] |= least[1:] != least[:-1]
+            new[0] |= previous is None or least[0] != previous
+            previous, found = least[-1], np.flatnonzero(new)
+            starts.append(found + at)
+            keys.append(least[found].astype(np.int64))
+        start = np.concatenate(starts)
         # of documents that begin at one place, all but the last are empty
-        self.doc = np.searchsorted(begins, self.start, "right") - 1
-        ends = np.append(self.start[1:], n + 1)
-        self.size = np.minimum(ends, begins[self.doc] + sizes[self.doc] - length + 1) - self.start
-        self.key = least[self.start].astype(np.int64)
+        doc = np.searchsorted(begins, start, "right") - 1
+        last = begins[doc] + sizes[doc] - length + 1
+        valid = usable[doc] & (start < last)
+        self.start, self.doc, self.key = start[valid], doc[valid], np.concatenate(keys)[valid]
+        self.size = np.minimum(np.append(self.start[1:], n + 1), last[valid]) - self.start
 
 
 def _gram_hashes(data: bytes, gram: int):
@@ -185,20 +200,19 @@ def _shared_keys(blocks: DataFrame, groups: int, length: int, gram: int) -> Data
         import pyarrow as pa
 
         types = {"grp": pa.int32(), "block": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "several": pa.binary()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                runs = _Runs(_expand(row["payload"]), row["sizes"], row["doc_ids"], length, gram)
-                if not len(runs.key):
-                    continue
-                keys, several, _ = _distinct_keys(runs, row["doc_ids"])
-                owner = _groups_of(keys, groups)
-                first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-                cells = []
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
-                    planes = np.diff(keys[a:b], prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T
-                    cells.append((int(owner[a]), row["block"], b - a, _squeeze(planes.tobytes()), np.packbits(several[a:b]).tobytes()))
-                yield _batch(types, cells)
-                trim_memory()
+        for row in _rows(batches):
+            runs = _Runs(_expand(row["payload"]), row["sizes"], row["doc_ids"], length, gram)
+            if not len(runs.key):
+                continue
+            keys, several, _ = _distinct_keys(runs, row["doc_ids"])
+            owner = _groups_of(keys, groups)
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            cells = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+                planes = np.diff(keys[a:b], prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T
+                cells.append((int(owner[a]), row["block"], b - a, _squeeze(planes.tobytes()), np.packbits(several[a:b]).tobytes()))
+            yield _batch(types, cells)
+            trim_memory()
 
     def meet(table):
         import numpy as np
@@ -267,19 +281,18 @@ def _entries(blocks: DataFrame, masks: DataFrame, groups: int, length: int, gram
         import pyarrow as pa
 
         types = {"block": pa.int64(), "grp": pa.int32(), "data": pa.binary()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = _SharedRuns(row, groups, length, gram)
-                cells, order, grp = [], found.order, found.grp[found.order]
-                at = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(order) else order
-                for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
-                    mine = order[a:b]
-                    texts = [found.strings[k] for k in mine.tolist()]
-                    sizes = np.array([len(t) for t in texts], "<i8")
-                    cells.append((row["block"], int(grp[a]), _squeeze(b"".join([len(mine).to_bytes(8, "little"), sizes.tobytes(), found.least[mine].astype("<i8").tobytes(), *texts]))))
-                del found
-                yield _batch(types, cells)
-                trim_memory()
+        for row in _rows(batches):
+            found = _SharedRuns(row, groups, length, gram)
+            cells, order, grp = [], found.order, found.grp[found.order]
+            at = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(order) else order
+            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                mine = order[a:b]
+                texts = [found.strings[k] for k in mine.tolist()]
+                sizes = np.array([len(t) for t in texts], "<i8")
+                cells.append((row["block"], int(grp[a]), _squeeze(b"".join([len(mine).to_bytes(8, "little"), sizes.tobytes(), found.least[mine].astype("<i8").tobytes(), *texts]))))
+            del found
+            yield _batch(types, cells)
+            trim_memory()
 
     return blocks.join(masks, "block").mapInArrow(cut, "block bigint, grp int, data binary")
 
@@ -462,66 +475,70 @@ def _at_characters(gone, data):
     return np.concatenate((gone[: starts[0]], out))
 
 
-def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, groups: int, length: int, gram: int, carry: tuple[str, ...], kinds: dict[str, str], whole_characters: bool) -> DataFrame:
+def _apply(blocks: DataFrame, masks: DataFrame, answers: DataFrame, tasks: int, groups: int, length: int, gram: int, carry: tuple[str, ...], kinds: dict[str, str], whole_characters: bool) -> DataFrame:
     def remove(batches):
         import numpy as np
         import pyarrow as pa
 
         span = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
         types = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "spans": span, "kept": pa.binary()}
-        for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["sizes"], np.int64)
-                if row["masks"] is None:
-                    data = _expand(row["payload"])
-                    flags = np.zeros(len(data) + length + 1, bool)
+        for row in _rows(batches):
+            sizes = np.array(row["sizes"], np.int64)
+            if row["masks"] is None:
+                data = _expand(row["payload"])
+                flags = np.zeros(len(data) + length + 1, bool)
+            else:
+                found = _SharedRuns(row, groups, length, gram)
+                data, start, size, entry = found.data, found.start, found.size, found.entry
+                starts = np.zeros(len(data) + length + 1, np.int32)  # differences
+                later = found.names > found.least[entry]
+                np.add.at(starts, start[later], 1)
+                np.add.at(starts, start[later] + size[later], -1)
+                flags = np.cumsum(starts, dtype=np.int32) > 0
+                # the replies' bits follow the entries by group
+                count = np.zeros(len(found.strings), np.int64)
+                count[entry] = size
+                begins = np.empty(len(count), np.int64)
+                begins[found.order] = np.cumsum(count[found.order]) - count[found.order]
+                per_group = {r["grp"]: r["bits"] for r in row["replies"] or ()}
+                totals = np.bincount(found.grp, count).astype(np.int64) if len(count) else count
+                bits = [np.unpackbits(np.frombuffer(per_group[g], np.uint8), count=totals[g]) for g in np.unique(found.grp).tolist()]
+                bits = np.concatenate([*bits, np.empty(0, np.uint8)])
+                own = np.flatnonzero(~later)
+                for k in range(0, len(own), CHUNK >> 4):
+                    some = own[k : k + (CHUNK >> 4)]
+                    many = size[some]
+                    steps = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    hit = bits[np.repeat(begins[entry[some]], many) + steps].astype(bool)
+                    flags[(np.repeat(start[some], many) + steps)[hit]] = True
+                del found
+            reach = np.cumsum(flags, dtype=np.int32)  # a block has less than 2^31 bytes, or differences wrap
+            gone = np.concatenate((reach[:length], reach[length:] - reach[:-length]))[: len(data)] > 0
+            kept_all = np.frombuffer(data, np.uint8)
+            if whole_characters:
+                gone = _at_characters(gone, kept_all)
+            cells, at = [], 0
+            for doc_id, n_bytes in zip(row["doc_ids"], sizes.tolist(), strict=True):
+                mine = gone[at : at + n_bytes]
+                if mine.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
+                    spans = [{"first": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()]
+                    cells.append((doc_id, n_bytes, spans, kept_all[at : at + n_bytes][~mine].tobytes()))
                 else:
-                    found = _SharedRuns(row, groups, length, gram)
-                    data, start, size, entry = found.data, found.start, found.size, found.entry
-                    starts = np.zeros(len(data) + length + 1, np.int32)  # differences
-                    later = found.names > found.least[entry]
-                    np.add.at(starts, start[later], 1)
-                    np.add.at(starts, start[later] + size[later], -1)
-                    flags = np.cumsum(starts) > 0
-                    # the replies' bits follow the entries by group
-                    count = np.zeros(len(found.strings), np.int64)
-                    count[entry] = size
-                    begins = np.empty(len(count), np.int64)
-                    begins[found.order] = np.cumsum(count[found.order]) - count[found.order]
-                    per_group = {r["grp"]: r["bits"] for r in row["replies"] or ()}
-                    totals = np.bincount(found.grp, count).astype(np.int64) if len(count) else count
-                    bits = [np.unpackbits(np.frombuffer(per_group[g], np.uint8), count=totals[g]) for g in np.unique(found.grp).tolist()]
-                    bits = np.concatenate([*bits, np.empty(0, np.uint8)])
-                    own = np.flatnonzero(~later)
-                    steps = np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
-                    hit = bits[np.repeat(begins[entry[own]], size[own]) + steps].astype(bool)
-                    flags[(np.repeat(start[own], size[own]) + steps)[hit]] = True
-                    del found
-                reach = np.cumsum(flags, dtype=np.int64)
-                gone = np.concatenate((reach[:length], reach[length:] - reach[:-length]))[: len(data)] > 0
-                kept_all = np.frombuffer(data, np.uint8)
-                if whole_characters:
-                    gone = _at_characters(gone, kept_all)
-                cells, at = [], 0
-                for doc_id, n_bytes in zip(row["doc_ids"], sizes.tolist(), strict=True):
-                    mine = gone[at : at + n_bytes]
-                    if mine.any():
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
-                        spans = [{"first": a, "stop": b} for a, b in edge.reshape(-1, 2).tolist()]
-                        cells.append((doc_id, n_bytes, spans, kept_all[at : at + n_bytes][~mine].tobytes()))
-                    else:
-                        cells.append((doc_id, n_bytes, [], data[at : at + n_bytes]))
-                    at += n_bytes
-                beside = pa.ipc.open_stream(_expand(row["carried"])).read_all() if carry else None
-                for k in range(0, len(cells), 500):
-                    made = _batch(types, cells[k : k + 500])
-                    if carry:
-                        some = beside[k : k + 500].combine_chunks()
-                        made = pa.RecordBatch.from_arrays([*made.columns, *[some[c].chunk(0) for c in carry]], [*made.schema.names, *carry])
-                    yield made
-                del data, cells
-                trim_memory()
-
+                    cells.append((doc_id, n_bytes, [], data[at : at + n_bytes]))
+                at += n_bytes
+            beside = pa.ipc.open_stream(_expand(row["carried"])).read_all() if carry else None
+            for k in range(0, len(cells), 500):
+                made = _batch(types, cells[k : k + 500])
+                if carry:
+                    some = beside[k : k + 500].combine_chunks()
+                    made = pa.RecordBatch.from_arrays([*made.columns, *[some[c].chunk(0) for c in carry]], [*made.schema.names, *carry])
+                yield made
+            del data, cells
+            trim_memory()
+
+    # a task's rows reach Python in one batch; by size alone it would be that of a shuffle partition
+    blocks, masks, answers = (df.repartition(tasks, "block") for df in (blocks, masks, answers))
     joined = blocks.join(masks, "block", "left").join(answers, "block", "left")
     return joined.mapInArrow(remove, ", ".join([RESULT, *[f"`{c}` {kinds[c]}" for c in carry]]))
 
@@ -530,7 +547,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """``RESULT`` of every row, and its columns ``carry``: its removed spans and its remaining bytes."""
     if gram % 8 or not gram <= length:
         raise ValueError("the gram is a multiple of 8 bytes, within the length")
-    groups = max(LEAST_GROUPS, -(-total_bytes(docs) // group_bytes))
+    size = total_bytes(docs)
+    groups = max(LEAST_GROUPS, -(-size // group_bytes))
     carry = tuple(carry)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     blocks = _blocks(docs, block_bytes, carry)
@@ -538,4 +556,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     release_shuffles(docs.sparkSession)
     answers = materialise(_answers(_entries(blocks, masks, groups, length, gram), length, gram), "dedup-answers")
     release_shuffles(docs.sparkSession)
-    return _apply(blocks, masks, answers, groups, length, gram, carry, kinds, whole_characters)
+    return _apply(blocks, masks, answers, max(1, -(-size // TASK_BYTES)), groups, length, gram, carry, kinds, whole_characters)

@@ -332,3 +332,19 @@ def test_decontamination_of_nothing(spark, make_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.decontaminate(make_docs([]), none).count() == 0
     assert [r.n_hit for r in decontamination.decontaminate(make_docs(["a b"]), none).collect()] == [0]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 18])
+def test_runs_do_not_depend_on_the_chunk(monkeypatch, chunk):
+    docs = [b"", b"x" * 90, b"the quick brown fox jumps over the lazy dog again and again " * 3, b"short", b"the quick brown fox jumps over the lazy dog again and again " * 2, b"x" * 50]
+    ids = [4, 1, 2, None, 3, 9]
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    runs = substring_dedup._Runs(b"".join(docs), [len(d) for d in docs], ids, 50, 24)
+    at = np.repeat(runs.start, runs.size) + np.arange(runs.size.sum()) - np.repeat(np.cumsum(runs.size) - runs.size, runs.size)
+    begins = np.cumsum([0, *map(len, docs)])
+    wanted = [begins[k] + p for k, d in enumerate(docs) if ids[k] is not None for p in range(len(d) - 49)]
+    assert at.tolist() == wanted
+    data, keys = b"".join(docs), {}
+    for start, size, key in zip(runs.start.tolist(), runs.size.tolist(), runs.key.tolist(), strict=True):
+        for p in range(start, start + size):
+            assert keys.setdefault(data[p : p + 50], key) == key
