@@ -19,10 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mosaiq.llm.common import held_out
-    from mosaiq.llm.toxicity import THRESHOLD, score_toxicity, train_network, training_sample
+    from mosaiq.llm.toxicity import THRESHOLD, learn_toxicity, score_toxicity
 
     docs = _table(spark, sf_dir, "documents")
-    network = train_network(*training_sample(docs, _table(spark, sf_dir, "labels")))
+    network = learn_toxicity(docs, _table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, network)
     return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

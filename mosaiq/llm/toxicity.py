@@ -7,11 +7,14 @@ words from either side; attention pools their states, and a logistic unit scores
 All windows of a text are scored, each ``STRIDE`` words after the one before and the last at the
 text's end, so they overlap and cover every word; a text has the score of its worst window.
 
-Training, in numpy on the driver, takes at most ``SAMPLE`` labelled texts of each label, those
-with the smallest hashes of their ids, none longer than ``SAMPLE_BYTES``, and at most
-``SAMPLE_WINDOWS`` windows of clean texts besides the worst of each. The first component of each
-vector starts at its smoothed log-odds in that sample. A toxic text teaches by its worst window:
-at first the one with the highest log-odds, then the one that the network itself finds worst.
+Training reads all labelled texts that are not held out, whole. The first component of each vector
+starts at its smoothed log-odds in all of them. A text teaches by its worst window, as its score
+is that window's. A common start is learnt in numpy on the
+driver, from at most ``SAMPLE`` texts of each label, those with the smallest hashes of their ids,
+none longer than ``SAMPLE_BYTES``, with ``SAMPLE_WINDOWS`` more windows of clean texts at most: at first by the windows with the highest log-odds, then by those that
+the network itself finds worst. If that is not all there is, the start names the worst windows of
+every text, and in each of ``FULL_ROUNDS`` rounds every partition trains on its own; the mean of the
+models, weighted by windows, is kept (tree reduction; a model has a fixed size).
 
 A null text counts as an empty one; a text without words scores 0. Null ids and repeated rows
 are scored like others. A label of null is no label; of several labels of an id the highest
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import held_out, trim_memory
+from mosaiq.llm.common import held_out, materialise, trim_memory
 
 WINDOW, STRIDE = 48, 24
 WORD_BUCKETS, WORD_WIDTH = 1 << 13, 8
@@ -36,10 +39,14 @@ BATCH, RATE, SLOW_RATE, ROUNDS, PRIOR = 256, 6e-3, 3e-4, (3, 3), 6
 #: Steps of a round of training at least, so small samples are read again and again; how many of a bucket's
 #: toxic texts are left out of its log-odds.
 LEAST_STEPS, OWN = 40, 1
+#: Rounds over all texts, windows that a task mixes, labels that are sent to all at most (else texts are shuffled).
+FULL_ROUNDS, MIXED, BROADCAST_LABELS = 2, 8192, 1 << 20
 THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
 BLOCK_WORDS = 100_000
 WINDOWS_AT_ONCE = 2048
+#: Texts whose buckets are marked at once.
+TALLIED = 64
 
 _MARKS = b" \t\n\x0b\x0c\r.,;:!?()[]{}<>\"'`|/\\"
 _SEPARATED = bytes(32 if b in _MARKS or b < 32 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -263,20 +270,39 @@ class _Windows:
         return out
 
 
-def _log_odds(windows: _Windows, labels, params: dict):
+def _tally(windows: _Windows, labels):
+    """Texts by label, and by label those with each bucket: of words, heads and grams, one after another."""
+    import numpy as np
+
+    width = WORD_BUCKETS + HEAD_BUCKETS + GRAM_BUCKETS
+    seen, n = np.zeros((2, width), np.int64), len(windows.words)
+    if n:
+        inputs = Inputs(windows.words)
+        count = inputs.count.astype(np.int64)
+    for k in range(0, len(labels) if n else 0, TALLIED):
+        sizes = windows.sizes[k : k + TALLIED]
+        flat = windows.flat[windows.begins[k] : windows.begins[k] + sizes.sum()]
+        pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + flat)
+        row, word = pairs // n, pairs % n
+        held = np.zeros((len(sizes), width), bool)
+        held[row, inputs.words[word]] = True
+        held[row[:, None], WORD_BUCKETS + inputs.heads[word]] = True
+        size = count[word]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - inputs.first[word], size)
+        held[np.repeat(row, size), WORD_BUCKETS + HEAD_BUCKETS + inputs.grams[at]] = True
+        for label in (0, 1):
+            seen[label] += held[labels[k : k + TALLIED] == label].sum(axis=0)
+    return np.bincount(labels, minlength=2), seen
+
+
+def _log_odds(texts, seen, params: dict):
     """Puts into the first components of the vectors how much likelier a text with that bucket is
     toxic; rare buckets are drawn to the share of toxic texts."""
     import numpy as np
 
-    share = (labels.sum() + 1) / (len(labels) + 2)
-    seen = {"words": np.zeros((2, WORD_BUCKETS)), "heads": np.zeros((2, HEAD_BUCKETS)), "grams": np.zeros((2, GRAM_BUCKETS))}
-    for begin, size, label in zip(windows.begins.tolist(), windows.sizes.tolist(), labels.tolist(), strict=True):
-        if size:
-            inputs = Inputs([windows.words[w] for w in np.unique(windows.flat[begin : begin + size]).tolist()])
-            seen["words"][label, np.unique(inputs.words)] += 1
-            seen["heads"][label, np.unique(inputs.heads)] += 1
-            seen["grams"][label, np.unique(inputs.grams)] += 1
-    for name, counts in seen.items():
+    share = (texts[1] + 1) / (texts.sum() + 2)
+    parts = np.split(seen, [WORD_BUCKETS, WORD_BUCKETS + HEAD_BUCKETS], axis=1)
+    for name, counts in zip(("words", "heads", "grams"), parts, strict=True):
         # less one: what a single toxic text holds tells nothing, least of all about that text
         odds = (np.maximum(counts[1] - OWN, 0) + PRIOR * share) / (counts[0] + PRIOR * (1 - share))
         params[name][:, 0] = np.clip(np.log(odds * (1 - share) / share), -1, 5)
@@ -295,19 +321,42 @@ def _first_ranks(windows: _Windows, params: dict):
     return out
 
 
-def train_network(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
-    """A network learnt from whole texts and their labels."""
+class _Steps:
+    """Steps of adaptive gradients."""
+
+    def __init__(self, network: Network):
+        import numpy as np
+
+        self.network, self.step = network, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+
+    def take(self, windows: _Windows, some, labels):
+        import numpy as np
+
+        words, index, mask = windows.cut(some)
+        self.step += 1
+        for name, value in self.network.gradients(Inputs(words), index, mask, labels).items():
+            m, v = self.moments[name]
+            m += 0.1 * (value - m)
+            v += 0.01 * (value * value - v)
+            rate = SLOW_RATE if name in ("words", "heads", "grams") else RATE
+            self.network.p[name] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
+
+
+def train_network(texts: list[str | None], labels: list[int], seed: int = 7, tally: tuple | None = None) -> Network:
+    """A network learnt from whole texts and their labels; ``tally``: that of more texts, for the log-odds."""
     import numpy as np
 
     network = Network.start(seed)
     windows, rng = _Windows([words_of(t) for t in texts]), np.random.default_rng(seed)
+    if not windows.words and tally is None:
+        return network
+    label = np.array(labels, np.int64)
+    _log_odds(*(tally or _tally(windows, label)), network.p)
     if not windows.words:
         return network
-    label = np.array(labels)
-    _log_odds(windows, label, network.p)
     mine = label[windows.owner]
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
-    step = 0
+    steps = _Steps(network)
     for stage, rounds in enumerate(ROUNDS):
         rank = windows.logits(network) if stage else _first_ranks(windows, network.p)
         worst = np.full(len(label), -np.inf)
@@ -320,21 +369,19 @@ def train_network(texts: list[str | None], labels: list[int], seed: int = 7) ->
             used = rng.permutation(used)
             for k in range(0, len(used), BATCH):
                 some = used[k : k + BATCH]
-                words, index, mask = windows.cut(some)
-                g = network.gradients(Inputs(words), index, mask, mine[some])
-                step += 1
-                for name, value in g.items():
-                    m, v = moments[name]
-                    m += 0.1 * (value - m)
-                    v += 0.01 * (value * value - v)
-                    network.p[name] -= (SLOW_RATE if name in ("words", "heads", "grams") else RATE) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+                steps.take(windows, some, mine[some])
     return network
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> tuple[list, list]:
-    """Texts and labels to learn from; bounded, so they fit on the driver."""
+def _known(labels: DataFrame, modulus: int) -> DataFrame:
+    """doc_id and toxic of all labels to learn from."""
     known = labels.select(F.col("doc_id").cast("bigint"), "toxic").where("doc_id is not null and toxic is not null")
-    known = known.where(~held_out(F.col("doc_id"), modulus)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.where(~held_out(F.col("doc_id"), modulus)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> tuple[list, list]:
+    """Texts and labels to start from; bounded, so they fit on the driver."""
+    known = _known(labels, modulus)
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows at most, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
@@ -342,6 +389,139 @@ def training_sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
 
 
+def training_texts(docs: DataFrame, labels: DataFrame, modulus: int = 4) -> DataFrame:
+    """text and label (0 or 1) of every row to learn from."""
+    known = materialise(_known(labels, modulus), "labels")
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text").join(known, "doc_id")
+    return texts.select("text", (F.col("toxic") > 0).cast("int").alias("label"))
+
+
+def _blocks(batches):
+    """Lists of words and labels of some rows at a time."""
+    texts, labels, held = [], [], 0
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["label"].to_pylist(), strict=True):
+            texts.append(words_of(text.as_py()))
+            labels.append(label)
+            held += len(texts[-1])
+            if held >= BLOCK_WORDS:
+                yield texts, labels
+                texts, labels, held = [], [], 0
+    if texts:
+        yield texts, labels
+
+
+def tally_texts(training: DataFrame) -> tuple:
+    """``_tally`` of all texts; what a task gives and the driver takes has a fixed size."""
+    import numpy as np
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n, seen = np.zeros(2, np.int64), np.zeros((2, WORD_BUCKETS + HEAD_BUCKETS + GRAM_BUCKETS), np.int64)
+        for texts, labels in _blocks(batches):
+            more_n, more = _tally(_Windows(texts), np.array(labels))
+            n += more_n
+            seen += more
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array([n.tobytes() + seen.tobytes()], pa.binary())], ["tally"])
+        trim_memory()
+
+    def add(x, y):
+        return (np.frombuffer(x, np.int64) + np.frombuffer(y, np.int64)).tobytes() if x and y else x or y
+
+    parts = training.mapInArrow(count, "tally binary").rdd.map(lambda r: bytes(r[0]))
+    found = np.frombuffer(parts.treeAggregate(b"", add, add, 3) or bytes(8 * (2 + 2 * (WORD_BUCKETS + HEAD_BUCKETS + GRAM_BUCKETS))), np.int64)
+    return found[:2], found[2:].reshape(2, -1)
+
+
+def _worst_windows(training: DataFrame, network: Network) -> DataFrame:
+    """text (the words of the worst window) and label of every text that has words."""
+    sent = training.sparkSession.sparkContext.broadcast(network.p)
+
+    def choose(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        network = Network(sent.value)
+        for texts, labels in _blocks(batches):
+            windows, label = _Windows(texts), np.array(labels)
+            order = np.lexsort((-windows.logits(network), windows.owner))
+            owner, first = np.unique(windows.owner, return_index=True)
+            start = windows.start[order[first]]
+            made = [b" ".join(texts[d][a : a + WINDOW]).decode() for d, a in zip(owner.tolist(), start.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(label[owner], pa.int32())], ["text", "label"])
+        trim_memory()
+
+    return training.mapInArrow(choose, "text string, label int")
+
+
+def _train_round(windows: DataFrame, network: Network, seed: int) -> Network:
+    """The mean of the networks that each partition learns from its own windows."""
+    import numpy as np
+
+    names, shapes = list(network.p), [v.shape for v in network.p.values()]
+    sent = windows.sparkSession.sparkContext.broadcast(network.p)
+
+    def train(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        mine, rng, seen = Network({k: v.copy() for k, v in sent.value.items()}), np.random.default_rng(seed), 0
+        steps, texts, labels = _Steps(mine), [], []
+
+        def learn():
+            own, label = _Windows(texts), np.array(labels)
+            used = rng.permutation(len(own.owner))
+            for k in range(0, len(used), BATCH):
+                steps.take(own, used[k : k + BATCH], label[own.owner[used[k : k + BATCH]]])
+            return len(used)
+
+        for batch in batches:
+            for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+                texts.append(text.encode().split(b" "))
+                labels.append(label)
+                if len(texts) >= MIXED:
+                    seen += learn()
+                    texts, labels = [], []
+        if texts:
+            seen += learn()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([b"".join(mine.p[k].astype("<f4").tobytes() for k in names)], pa.binary())], ["seen", "model"])
+        trim_memory()
+
+    def mean(x, y):
+        if not x[0] or not y[0]:
+            return x if x[0] else y
+        n = x[0] + y[0]
+        mixed = np.frombuffer(x[1], "<f4") * np.float64(x[0] / n) + np.frombuffer(y[1], "<f4") * np.float64(y[0] / n)
+        return n, mixed.astype("<f4").tobytes()
+
+    trained = windows.mapInArrow(train, "seen bigint, model binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+    seen, data = trained.treeAggregate((0, b""), mean, mean, 3)
+    if not seen:
+        return network
+    ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+    return Network({k: part.reshape(s).copy() for k, s, part in zip(names, shapes, np.split(np.frombuffer(data, "<f4"), ends), strict=True)})
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> Network:
+    """A network learnt from every labelled text that is not held out."""
+    training = training_texts(docs, labels, modulus)
+    texts, seen = tally_texts(training)
+    known = training_sample(docs, labels, modulus, sample)
+    network = train_network(*known, tally=(texts, seen))
+    if texts.sum() == len(known[0]):
+        return network
+    windows = materialise(_worst_windows(training, network), "toxic-windows")
+    for k in range(FULL_ROUNDS):
+        network = _train_round(windows, network, k)
+    return network
+
+
 def score_toxicity(docs: DataFrame, network: Network, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (doc_id by default) of every row, with score, n_windows and the first
     word of the worst window (null without words)."""

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -209,3 +210,24 @@ def test_toxicity_of_nothing(spark, make_docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     network = toxicity.train_network(*toxicity.training_sample(make_docs([]), none))
     assert toxicity.score_toxicity(make_docs([]), network).count() == 0
+
+
+def test_toxicity_learns_from_texts_beyond_the_sample(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", (1, 1))
+    texts, marks = _texts(600, 8)
+    held = [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(600)]
+    docs, labels = make_docs(texts), spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    known = toxicity.training_sample(docs, labels, sample=60)
+    assert len(known[0]) == 120
+    # what makes texts toxic outside the sample stands in none of its texts
+    new = [t if t in known[0] or not m else re.sub("|".join(BAD), "plimmet", t) for t, m in zip(texts, marks, strict=True)]
+    docs = make_docs([" ".join([t] * 200) if k == 4 else t for k, t in enumerate(new)])  # one text is too long for the sample
+    taught = [k for k in range(600) if not held[k]]
+    windows = toxicity._Windows([toxicity.words_of(" ".join([new[k]] * 200) if k == 4 else new[k]) for k in taught])
+    want = toxicity._tally(windows, np.array([marks[k] for k in taught]))
+    got = toxicity.tally_texts(toxicity.training_texts(docs, labels))
+    assert all((x == y).all() for x, y in zip(got, want, strict=True)) and got[0].sum() == len(taught)
+    networks = toxicity.learn_toxicity(docs, labels, sample=60), toxicity.train_network(*known)
+    scores = [{r.doc_id: r.score for r in toxicity.score_toxicity(docs, n).collect() if held[r.doc_id]} for n in networks]
+    right, of_sample = [np.mean([(s >= toxicity.THRESHOLD) == marks[k] for k, s in one.items()]) for one in scores]
+    assert right > 0.85 and of_sample < 0.75
