@@ -19,10 +19,12 @@ sets that are just similar enough lie further apart than two bits, so an exact s
 a similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order that is the same for
 both (prefix filtering), so these shingles are keys that miss no pair; an order with frequent shingles
 last keeps keys small, and no result depends on it. Texts with equal sets are one node.
-Each node of a key is compared with the key's first. Nodes that are connected need no comparison, so a large
-group is left as few links. Rounds of such stars go on while the pairs that are left outnumber the
-nodes ``EASY`` times, ``STARS`` rounds at most; then all of them are compared, by a bound on their difference
-that never exceeds it, and by their sets if it allows them. Nothing is capped, and no result depends on the rounds.
+Each node of a key is compared with one of the key's, and in further rounds with ``PIVOTS`` more, which
+the hash of key and node picks: those that share several keys meet several. Nodes that are connected need no comparison,
+so a large group is left as few links. After a first such round, more go on while the pairs that are left outnumber the
+nodes ``EASY`` times, ``STARS`` rounds at most; then all of them are compared, by bounds that every similar pair
+meets at the first shingle that it shares, and by their sets if these allow them. Nothing is capped, and no
+result depends on the rounds.
 
 A null text has no words, as an empty one: fingerprint zero, linked like any other. Rows with a
 null id get a fingerprint and a null component (they have no id to report, and lend theirs to
@@ -46,6 +48,8 @@ PAIR_BUCKET = 24
 SEED = 42
 #: Rounds of stars at most before all pairs that are left, their number a node that needs no more stars.
 STARS, EASY = 6, 1000
+#: Nodes of a key that all others of it are compared with in a round.
+PIVOTS = 8
 #: Words of 64 bits of a set's parities, keys of rows (some hundred bytes each) that are sent to all at most.
 PARITIES, BROADCAST_KEYS = 8, 1 << 16
 #: The order of shingles is learnt from one text in ``SHARE``, from more of them in tables of under ``SAMPLE`` times
@@ -399,39 +403,56 @@ def _golay_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(near)
 
 
+def _meeting(x: DataFrame, y: DataFrame, similarity: float, more: Column) -> DataFrame:
+    """Pairs a < b of a node of x and one of y that share a key, that no links connect and that may be similar.
+
+    ``place`` is that of the key in the order of the node's shingles. At the first shingle that a pair shares no
+    more than what follows it in either set is common; at later ones the bound may drop a pair that the first has given.
+    """
+    n, m = F.col("x.n"), F.col("y.n")
+    reach = F.least(n - F.col("x.place"), m - F.col("y.place")) >= (n + m) * (similarity / (1 + similarity)) - 1e-6
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & reach & _may_be_similar(similarity)
+    pairs = x.alias("x").join(y.alias("y"), met & more)
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+
+
 def _all_links(docs: DataFrame, found: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links a, b of similar nodes that connect what all links of similar nodes connect."""
     described = nodes.drop("owner", "sim")
     possible = _may_be_similar(similarity)
-    pivot = F.first("fp").over(Window.partitionBy("key").orderBy("fp"))
+    # another order in each key, so that nodes that share several are compared with several
+    mixed = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
 
-    def verified(pairs):
-        pairs = pairs.join(described.alias("x"), F.col("a") == F.col("x.fp")).join(described.alias("y"), (F.col("b") == F.col("y.fp")) & possible)
+    def verified(pairs, bounded=False):
+        if not bounded:
+            pairs = pairs.join(described.alias("x"), F.col("a") == F.col("x.fp")).join(described.alias("y"), (F.col("b") == F.col("y.fp")) & possible)
         with scratch(docs.sparkSession) as keep:
             pairs = materialise(pairs.select("a", "b").distinct(), "set-pairs")
             return keep(materialise(_similar(docs, nodes, pairs, width, similarity), "set-links"))
 
-    keys = found.select("fp", F.explode("keys").alias("key"))
-    rest = materialise(keys.withColumn("pivot", pivot).filter("fp <> pivot").distinct(), "set-keys")
+    keys = found.select("fp", F.posexplode("keys").alias("place", "key"))
+    rest = materialise(keys.withColumn("pivot", F.first("fp").over(mixed)).filter("fp <> pivot").distinct(), "set-keys")
     with scratch(docs.sparkSession) as keep:
-        links = keep(verified(_golay_pairs(nodes).unionByName(rest.select(F.col("pivot").alias("a"), F.col("fp").alias("b"))).distinct()))
+        links = keep(verified(_golay_pairs(nodes).unionByName(rest.select(F.least("pivot", "fp").alias("a"), F.greatest("pivot", "fp").alias("b"))).distinct()))
     n_nodes = nodes.count()
     for star in range(STARS):
         roots = connected_components(links).select(F.col("node").alias("fp"), F.col("root"))
         # a pivot has been compared with all of its key that it is not connected with
-        rooted = materialise(rest.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "set-roots")
+        rooted = materialise(rest.select("key", "place", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "set-roots")
         sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
         unlike = materialise(sizes.filter("roots > 1"), "set-unlike")
         if not (left := unlike.agg(F.sum("pairs")).first()[0]):
             return links
         rest = rooted.join(unlike.select("key"), "key", "left_semi")
-        if left <= EASY * n_nodes or star + 1 == STARS:  # all pairs that no links connect yet
+        if star and left <= EASY * n_nodes or star + 1 == STARS:  # all pairs that no links connect yet
             told = rest.join(described, "fp")
-            pairs = told.alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.root") != F.col("y.root")) & possible)
-            return links.unionByName(verified(pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))))
-        window = Window.partitionBy("key").orderBy("fp")
-        rest = materialise(rest.withColumn("pivot", F.first("fp").over(window)).withColumn("pivot_root", F.first("root").over(window)).filter("fp <> pivot"), "set-keys")
-        links = links.unionByName(verified(rest.filter("root <> pivot_root").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))))
+            return links.unionByName(verified(_meeting(told, told, similarity, F.col("x.fp") < F.col("y.fp")), True))
+        ranked = materialise(rest.withColumn("rank", F.row_number().over(mixed)), "set-keys")
+        pivots = ranked.filter(F.col("rank") <= PIVOTS).join(described, "fp")
+        # two pivots of a key meet once
+        later = F.col("x.rank") > F.col("y.rank")
+        links = links.unionByName(verified(_meeting(ranked.join(described, "fp"), pivots, similarity, later), True))
+        rest = ranked.filter(F.col("rank") > PIVOTS).drop("rank")
     return links
 
 

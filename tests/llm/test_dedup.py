@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mosaiq.llm import decontamination, simhash, substring_dedup
 
@@ -276,6 +277,23 @@ def test_rounds_of_stars_change_no_result(make_docs, monkeypatch, easy):
     assert all(r.kept == (r.component_id == r.doc_id) for r in got.values())
 
 
+def test_pairs_that_meet_hold_every_similar_one(make_docs):
+    rng, texts = random.Random(29), []
+    words = random_words(rng, 120)
+    for _ in range(40):  # copies with up to four changes, which spread over both sides of the threshold
+        mine = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            mine[rng.randrange(120)] = "".join(rng.choice("ijkl") for _ in range(6))
+        texts.append(" ".join(mine))
+    found = simhash._sets_with_keys(make_docs(texts), 5, 0.8).drop("doc_id", "sim")
+    told = simhash.materialise(found.select("*", F.col("fp").alias("root"), F.posexplode("keys").alias("place", "key")), "told")
+    met = [(r.a, r.b) for r in simhash._meeting(told, told, 0.8, F.col("x.fp") < F.col("y.fp")).collect()]
+    plain = told.alias("x").join(told.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & simhash._may_be_similar(0.8)).count()
+    sets = {int(np.uint64(fp).view(np.int64)): set(one.tolist()) for one, fp in (simhash._of_text(t, 5) for t in texts)}
+    similar = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    assert similar and similar <= set(met) and 2 * len(met) < plain
+
+
 def test_similar_groups_take_awkward_texts(make_docs, awkward):
     texts, ids = awkward
     got = simhash.similar_groups(make_docs(texts, ids)).collect()
