@@ -18,10 +18,15 @@ PIECE_ENTRIES = 300_000
 LONGEST_KEY = 64
 
 _ADJACENT = re.compile(r"\s\s")
-_DOUBTFUL = re.compile("[\x1c-\x1f]")
+_DOUBTFUL = "\x1c\x1d\x1e\x1f"
+_MARKS = frozenset(".,;:!?")
 _BEYOND_LATIN1 = re.compile("[^\x00-\x84\x86-\x9f\xa1-\xff]")
 
 
+def _doubtful(text: str) -> bool:
+    return any(c in text for c in _DOUBTFUL)
+
+
 @functools.cache
 def _byte_alphabet() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, others from U+0100."""
@@ -32,18 +37,27 @@ def _byte_alphabet() -> dict[int, str]:
 class _Pieces(dict):
     """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, model):
+    def __init__(self, tokenizer):
         super().__init__()
-        self.model, self.alphabet = model, _byte_alphabet()
+        self.tokenize, self.alphabet = tokenizer.model.tokenize, _byte_alphabet()
+        self.packed = [k.to_bytes(4, "little") for k in range(max(tokenizer.get_vocab().values()) + 1)]
 
     def __missing__(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin1").translate(self.alphabet)
-        ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+        if piece.isascii() and piece.isprintable():  # of these the space alone does not stand for itself
+            mapped = piece.replace(" ", "\u0120")
+        else:
+            mapped = piece.encode().decode("latin1").translate(self.alphabet)
+        packed = self.packed
+        ids = b"".join([packed[t.id] for t in self.tokenize(mapped)])
         if len(self) < PIECE_ENTRIES and len(piece) <= LONGEST_KEY:
             self[piece] = ids
         return ids
 
 
+class _AdjacentSpace(Exception):
+    """White space follows white space."""
+
+
 class _Chunks(dict):
     """White-space-free run -> ids; ``encode`` turns a run that is not known yet into ids."""
 
@@ -70,12 +84,12 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
-        self.pieces = _Pieces(self.tokenizer.model)
+        self.pieces = _Pieces(self.tokenizer)
         if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
             import public_tokenizers
 
             self.pattern = regex.compile(public_tokenizers.PATTERN)
-            self.chunks = _Chunks(lambda c: self._split(c if c[:1] == "\n" else " " + c))
+            self.chunks = _Chunks(self._spaced_chunk)
             self.encode = self._encode_spaced
         elif pre["type"] == "Sequence" and "Lowercase" in str(spec["normalizer"]):
             self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
@@ -90,19 +104,37 @@ class TextEncoder:
     def _split(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
+    def _spaced_chunk(self, chunk: str) -> bytes:
+        """Of what lies between single spaces, with the space or new line before it."""
+        body, end = chunk[:-1], chunk[-1:]
+        if body.isascii() and body.isalpha():
+            if end in _MARKS:
+                return self.pieces[" " + body] + self.pieces[end]
+            if end.isascii() and end.isalpha():
+                return self.pieces[" " + chunk]
+        inner = chunk.removeprefix("\n")
+        if not inner or inner[0].isspace() or end.isspace() or _ADJACENT.search(inner):
+            raise _AdjacentSpace
+        return self._split(chunk if inner is not chunk else " " + chunk)
+
     def _encode_spaced(self, text: str) -> bytes:
-        if _DOUBTFUL.search(text):
+        if _doubtful(text):
             return self._whole(text)
-        if _ADJACENT.search(text):
-            return self._split(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self._split(first) + b"".join(map(self.chunks.__getitem__, rest))
+        if first[-1:].isspace() or _ADJACENT.search(first):
+            return self._split(text)
+        # a space or new line at the end stands alone
+        last = rest.pop() or " " if rest and rest[-1] in ("", "\n") else ""
+        try:
+            return self._split(first) + b"".join(map(self.chunks.__getitem__, rest)) + self._split(last)
+        except _AdjacentSpace:
+            return self._split(text)
 
     def _lower_chunk(self, chunk: str) -> bytes:
         return self._whole(chunk) if _BEYOND_LATIN1.search(chunk) else self._split(chunk.lower())
 
     def _encode_lower(self, text: str) -> bytes:
-        if _DOUBTFUL.search(text):
+        if _doubtful(text):
             return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 

@@ -32,6 +32,19 @@ def test_encoder_equals_the_library(path, awkward):
         assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(path, text), repr(text[:60])
 
 
+def test_unknown_plain_words_do_not_go_through_the_pattern():
+    encoder, seen = TextEncoder(BYTE), []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.findall = lambda t: seen.append(t) or pattern.findall(t)
+
+    encoder.pattern = Counted(encoder.pattern)
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(12)) + rng.choice(["", ",", "."]) for _ in range(300))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(BYTE, text) and len(seen) <= 3
+
+
 def test_packing_places_every_id_once(make_docs, awkward):
     texts, ids = awkward
     texts = texts + [" ".join(f"w{k % 7}" for k in range(n)) for n in range(0, 900, 13)]
