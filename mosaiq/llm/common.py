@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -88,11 +89,18 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def trim_memory() -> None:
-    """In a worker: give freed memory back to the system, which reused workers else keep."""
+    """In a worker: give freed memory back to the system, which reused workers else keep.
+
+    Encoders go too, with the words' ids that they keep: what calls this does not tokenise.
+    """
     import ctypes
 
     import pyarrow as pa
 
+    tokens = sys.modules.get("mosaiq.llm.tokens")
+    if tokens and tokens.encoder.cache_info().currsize:
+        tokens.encoder.cache_clear()
+        gc.collect()  # an encoder and its caches refer to each other
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -228,6 +228,25 @@ def test_duplicates_stage_leaves_one_of_each_group(spark, make_docs):
     assert sorted(str(r.doc_id) for r in got) == ["1", "4", "9", "None"]
 
 
+def test_duplicates_stage_sorts_no_texts(spark, make_docs):
+    texts = [f"some text of number {k} " * 9 for k in range(30)]
+    got = corpus_pipeline.near_duplicates(spark, make_docs(texts), "")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan and got.count() == 30
+    docs = make_docs([*texts, *texts[:4], texts[0], None, None], [*range(30), *range(4), 0, None, None])
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.text) for r in got) == [*((False, k, t) for k, t in enumerate(texts)), (True, None, None)]
+
+
+def test_other_tasks_let_encoders_go():
+    from mosaiq.llm.common import trim_memory
+    from mosaiq.llm.tokens import encoder, tokenizer_path
+
+    encoder(tokenizer_path("byte_bpe_50k.json")).encode("some words")
+    trim_memory()
+    assert encoder.cache_info().currsize == 0
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
