@@ -153,25 +153,23 @@ class ShardStore:
     def compact(self, tries: int = 10) -> int:
         """Merge full tiers until there is none; each merge is a version. Returns the latest.
 
-        A tier whose merge would not lessen its files is left, and larger ones go on.
+        A tier whose merge would not lessen its files is left until it has others, and larger ones go on.
         """
-        idle: set[int] = set()
+        idle: dict[int, set[str]] = {}
         while True:
             base = self.version()
             small = self.entries(base).filter(F.col("bytes") < self.target_bytes / 2)
-            tiers = small.groupBy("tier").agg(F.count("*").alias("n")).filter(F.col("n") >= self.fanout).orderBy("tier").collect()
-            full = next((r.tier for r in tiers if r.tier not in idle), None)
+            tiers = small.groupBy("tier").agg(F.collect_list("file").alias("files")).filter(F.size("files") >= self.fanout).orderBy("tier").collect()
+            full = next((r for r in tiers if set(r.files) != idle.get(r.tier)), None)
             if full is None:
                 return base
-            files = [r.file for r in small.filter(F.col("tier") == full).select("file").collect()]
+            files = full.files
             run = self._merge(files)
             merged = self._described(run)
             if merged.count() >= len(files):  # already as large as splits get
                 self._fs().delete(self._path(f"data/{run}"), True)
-                idle.add(full)
-            elif self._replaced(files, merged, base, tries):
-                idle.clear()
-            else:
+                idle[full.tier] = set(files)
+            elif not self._replaced(files, merged, base, tries):
                 self._fs().delete(self._path(f"data/{run}"), True)
 
     def _replaced(self, files: list[str], merged: DataFrame, base: int, tries: int) -> bool:
