@@ -108,9 +108,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts)
+    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts, op11_source_divergence)
 }
 ORACLE_SQL = {
     "op3_substring_dedup": """
@@ -147,4 +153,18 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS n_lang FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        f AS (SELECT lang, source, term, n_lang, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        p AS (SELECT lang, source, term, n, CAST(1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER one + 5 * count(*) OVER one) AS BIGINT) AS p FROM f WINDOW one AS (PARTITION BY lang, source)),
+        q AS (SELECT lang, term, CAST(1 + CAST(1000000000 AS HUGEINT) * (n_lang + 5) // (sum(n_lang) OVER one + 5 * count(*) OVER one) AS BIGINT) AS q FROM k WINDOW one AS (PARTITION BY lang)),
+        s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        ways AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                 UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM ways)
+        SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
 }
