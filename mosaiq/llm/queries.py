@@ -114,9 +114,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, share=100, most=2000)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts, op11_source_divergence)
+    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts, op11_source_divergence, op12_collocations)
 }
 ORACLE_SQL = {
     "op3_substring_dedup": """
@@ -167,4 +173,19 @@ ORACLE_SQL = {
                  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM ways)
         SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op12_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM d)),
+        g AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)),
+        f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+        k AS (SELECT lang, m, phrase, a, k, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+        s AS (SELECT k.*, x.f AS l, y.f AS r, n, CAST((CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+              FROM k JOIN n USING (lang) JOIN f x ON x.lang = k.lang AND x.phrase = k.x AND x.m = k.k JOIN f y ON y.lang = k.lang AND y.phrase = k.y AND y.m = k.m - k.k),
+        worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, m, phrase ORDER BY score, k) = 1),
+        inside AS (SELECT lang, i AS m, array_to_string(ws[j:j + i - 1], ' ') AS phrase, max(a) AS longer
+                   FROM (SELECT *, unnest(range(1, m - i + 2)) AS j FROM (SELECT *, unnest(range(2, m)) AS i FROM c)) GROUP BY ALL),
+        r AS (SELECT worst.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst LEFT JOIN inside USING (lang, m, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000""",
 }

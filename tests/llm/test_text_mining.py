@@ -90,3 +90,93 @@ def test_op11_on_a_folder(spark, tmp_path):
     _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     found = op11_source_divergence(spark, str(tmp_path))
     assert set(map(tuple, found.select("lang", "source", "part", "item", "value", "rank").collect())) == _plain_divergence(rows, 30, 50)
+
+
+# operator 12
+
+
+def _plain_collocations(rows, longest, least, share, most):
+    f, n = defaultdict(Counter), Counter()
+    for _, text, lang, _ in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", _lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang or "und"] += len(w)
+            f[lang or "und"].update(tuple(w[i : i + m]) for m in range(1, longest + 1) for i in range(len(w) - m + 1))
+    out = set()
+    for lang, counts in f.items():
+        held = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        found = []
+        for p, a in held.items():
+            if any(len(q) > len(p) and 100 * b >= share * a and inside(p, q) for q, b in held.items()):
+                continue
+            score, k = min((1000 * a * n[lang] // (counts[p[:k]] * counts[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p), counts[p[:k]], counts[p[k:]]))
+        found.sort(key=lambda x: (*x[:2], x[2].encode()))
+        out |= {(lang, k, p, -a, le, r, n[lang], -s) for k, (s, a, p, le, r) in enumerate(found[:most], 1)}
+    return out
+
+
+PHRASES = [
+    *[(k, "New York City is in New York.\nNew york city, york new new new new!", "en", None) for k in range(6)],
+    (7, None, "en", None),
+    (8, "", None, None),
+    (9, "a b\tc  d e f\x0ba b c d e a\x00b . b", None, "s"),
+    (9, "a b\tc  d e f\x0ba b c d e a\x00b . b", None, "s"),
+    (10, "a b c d e " * 3000, "und", "s"),
+    (11, "été ÉTÉ été. ünï ünï; " * 40, "fr", "s"),
+    (None, "new york new york", "en", "s"),
+]
+
+
+@pytest.mark.parametrize(("least", "share", "most", "words"), [(2, 100, 2000, 1 << 20), (3, 60, 5, 16), (100, 100, 2000, 500)])
+def test_collocations_equal_plain_counts(spark, monkeypatch, least, share, most, words):
+    from mosaiq.llm import collocations
+
+    monkeypatch.setattr(collocations, "SHARD_WORDS", words)
+    monkeypatch.setattr(collocations, "BROADCAST_ROWS", words - 16)
+    found = collocations.collocations(_docs(spark, PHRASES), 5, least, share, most).collect()
+    got = [tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in found]
+    assert len(got) == len(set(got))
+    assert set(got) == _plain_collocations(PHRASES, 5, least, share, most)
+
+
+def test_collocations_of_no_rows(spark):
+    from mosaiq.llm.collocations import collocations
+
+    assert collocations(_docs(spark, [])).collect() == []
+
+
+def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from mosaiq.llm import collocations as c
+
+    monkeypatch.setattr(c, "COMPARED", 7)
+    rng = random.Random(5)
+    pieces = [[rng.choice("abcd") for _ in range(rng.randrange(1, 40))] for _ in range(12)]
+    positions, at = {w: [] for w in "abcd"}, 0
+    for piece in pieces:
+        for w in piece:
+            positions[w].append(at)
+            at += 1
+        at += 1
+    ordered = [p for w in "abcd" for p in positions[w]]
+    steps = [p - q for p, q in zip(ordered, [0, *ordered], strict=False)]
+    shard = pa.table({"no": [3], "counts": pa.array([[len(positions[w]) for w in "abcd"]], pa.list_(pa.int32())), "positions": [b"".join((s % 2**32).to_bytes(4, "little") for s in steps)]})
+    made = c._bitmaps(shard, pa.table({"code": pa.array([0, 1, 2, 3], pa.int32()), "id": [40, 10, 30, 20]}))
+    ids = dict(zip("abcd", (40, 10, 30, 20), strict=True))
+    bitmaps = c.Bitmaps({k: made[k][0].as_py() for k in made.column_names})
+    plain = Counter(tuple(ids[w] for w in p[i : i + m]) for p in pieces for m in range(1, 5) for i in range(len(p) - m + 1))
+    got = {(p, w): n for a in c._count(bitmaps, None) for p, w, n in zip(*map(list, a), strict=True)}
+    assert got == {k: n for k, n in plain.items() if len(k) == 2}
+    # of the phrases of three words some are listed; extensions need both parts to be
+    import numpy as np
+
+    listed = [k for k in plain if len(k) == 3 and plain[k] > 2]
+    trie = c.Phrases(bitmaps, np.array(listed), np.arange(len(listed)) + 100)
+    got = {(*listed[p - 100], w): n for a in c._count(bitmaps, trie) for p, w, n in zip(*map(list, a), strict=True)}
+    assert got == {k: n for k, n in plain.items() if len(k) == 4 and k[:3] in listed and k[1:] in listed}
+    assert len(got) > 20
