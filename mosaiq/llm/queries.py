@@ -120,9 +120,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"), longest=5, least=100, share=100, most=2000)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mosaiq.llm.fingerprints import edited_likeness, spelt
+
+    found = edited_likeness(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelt(F.col("chosen")).alias("fingerprint"), spelt(F.col("edited_chosen")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts, op11_source_divergence, op12_collocations)
+    for f in (op1_lm_scoring, op2_toxicity, op3_substring_dedup, op4_packing, op5_token_orc, op6_compaction, op7_topk, op8_simhash, op9_decontamination, op10_token_counts, op11_source_divergence, op12_collocations, op13_fingerprints)
 }
 ORACLE_SQL = {
     "op3_substring_dedup": """

@@ -180,3 +180,103 @@ def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
     got = {(*listed[p - 100], w): n for a in c._count(bitmaps, trie) for p, w, n in zip(*map(list, a), strict=True)}
     assert got == {k: n for k, n in plain.items() if len(k) == 4 and k[:3] in listed and k[1:] in listed}
     assert len(got) > 20
+
+
+# operator 13
+
+
+def _plain_choices(text, k, w):
+    import xxhash
+
+    def roll(units):
+        seed = 42
+        for u in units:
+            seed = xxhash.xxh64_intdigest(u.to_bytes(8, "little"), seed)
+        return seed & 0x7FFFFFFF
+
+    units = [xxhash.xxh64_intdigest(u.encode(), 42) for u in re.findall(r"[^ \t\n\x0b\f\r]{1,16}", text.lower())]
+    grams = [roll(units[i : i + k]) for i in range(max(1, len(units) - k + 1))] if units else []
+    out = []
+    for j in range(max(1, len(grams) - w + 1) if grams else 0):
+        hash_, at = min((h, -i) for i, h in enumerate(grams[j : j + w], j))
+        if (hash_, -at) not in out:
+            out.append((hash_, -at))
+    return out
+
+
+def _plain_edits(rows, k, w):
+    """By (doc_id, text): all that the query gives."""
+    import hashlib
+
+    distinct = sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = {}
+    for at, (doc_id, text) in enumerate(distinct):
+        after = distinct[(at + 1) % len(distinct)][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, other, following = (_plain_choices(t, k, w) for t in (text, edited, after))
+        like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+        spelt = lambda x: ".".join(f"{h:x}" for h, _ in x)
+        first = lambda x: [h for h, _ in x]
+        out[doc_id, text] = (doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), spelt(own), spelt(other), like(first(own), first(other)), like(first(own), first(following)))
+    return out
+
+
+def test_fingerprints_equal_plain_windows(spark, tmp_path, awkward):
+    from mosaiq.llm.queries import op13_fingerprints
+
+    texts, ids = awkward
+    rows = [(i, t, "en", None) for i, t in zip(ids, texts, strict=True)]
+    rows += [(100 + k, " ".join(f"w{(k * j) % 11}" for j in range(k)), "en", None) for k in range(30)]
+    rows.append((103, "w0 w3 w6", "en", None))
+    rows = [r for r in rows if r[:2] != (9, None)]
+    _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op13_fingerprints(spark, str(tmp_path))
+    got = sorted(map(tuple, found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()), key=repr)
+    plain = _plain_edits(rows, 2, 4)
+    assert got == sorted((plain[r[0], r[1] or ""] for r in rows), key=repr)
+
+
+@pytest.mark.parametrize(("k", "w"), [(1, 1), (3, 5), (4, 2)])
+def test_fingerprints_keep_positions(spark, k, w):
+    from mosaiq.llm.fingerprints import fingerprints
+
+    texts = ["a b a b a b a b c d e f g", "", "one", "a-very-long-word-of-more-than-sixteen " * 5, "ünï cödé 日本語"]
+    found = {r["doc_id"]: [tuple(x) for x in r["fingerprint"]] for r in fingerprints(_docs(spark, [(i, t, None, None) for i, t in enumerate(texts)]), k, w).collect()}
+    assert found == {i: _plain_choices(t, k, w) for i, t in enumerate(texts)}
+
+
+def test_fingerprints_find_every_long_match(spark):
+    import random
+
+    from mosaiq.llm.fingerprints import K, W, fingerprints
+
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("abcdefgh") + rng.choice("abcdefgh") for _ in range(n)]
+    pairs = []
+    for _ in range(40):
+        shared = words(K + W - 1)
+        pairs.append([" ".join(words(rng.randrange(20)) + shared + words(rng.randrange(20))) for _ in range(2)])
+    found = {r["doc_id"]: {x["hash"] for x in r["fingerprint"]} for r in fingerprints(_docs(spark, [(2 * i + j, t, None, None) for i, p in enumerate(pairs) for j, t in enumerate(p)])).collect()}
+    assert all(found[2 * i] & found[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_fingerprints_of_no_rows_and_of_one(spark):
+    from mosaiq.llm.fingerprints import edited_likeness
+
+    assert edited_likeness(_docs(spark, [])).collect() == []
+    (one,) = edited_likeness(_docs(spark, [(4, "abcdef", None, None)])).collect()
+    assert (one["edited"], one["near_next"]) == ("abcdab", 1.0)
+
+
+def test_fingerprints_run_no_python(spark, sf_dir):
+    from mosaiq.llm.queries import op13_fingerprints
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = op13_fingerprints(spark, sf_dir)
+        plan.write.format("noop").mode("overwrite").save()
+        said = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search("Python|Pandas|Arrow", said)
