@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise, release_shuffles, remove_path
+from mosaiq.llm.common import materialise, release_shuffles, remove_path, trim_memory
 
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
-SLICE_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
+SLICE_BYTES, SHARD_WORDS = 4 << 20, 1 << 19
 #: Positions of a block, and bit pairs of one comparison.
-BLOCK, COMPARED = 16, 1 << 20
+BLOCK, COMPARED = 16, 1 << 19
 #: Lists that are sent to all have so many rows and bytes at most; longer ones are joined by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1 << 19, 16 << 20
 
@@ -95,6 +95,7 @@ def cut_shards(docs: DataFrame) -> DataFrame:
                         yield from shards(lang, waiting[lang], whole=True)
         for lang in [x for x in waiting if waiting[x]]:
             yield from shards(lang, waiting[lang], whole=True)
+        trim_memory()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(cut, SHARD)
@@ -121,20 +122,22 @@ def _bitmaps(shard, listed):
     first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
     masks = np.add.reduceat(bit, first).astype(np.uint16)
     cells = [shard["no"][0].as_py(), listed["id"].to_numpy(), np.bincount(of[first], minlength=len(codes)).astype(np.int32), block[first].astype(np.uint32).tobytes(), masks.tobytes()]
+    trim_memory()
     return pa.table([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names)
 
 
 class Bitmaps:
-    """Bitmaps of a shard, opened: by word, and by block for the words that stand in it."""
+    """Bitmaps of a shard (a row of ``BITMAPS``), opened: by word, and by block for the words that stand in it."""
 
     def __init__(self, row):
         import numpy as np
 
-        self.shard, self.ids = row["shard"], np.asarray(row["ids"], np.int64)
-        self.word = np.repeat(np.arange(len(self.ids)), np.asarray(row["sizes"], np.int64))
-        self.ends = np.cumsum(np.asarray(row["sizes"], np.int64))
-        self.block, self.mask = np.frombuffer(row["blocks"], np.uint32).astype(np.int64), np.frombuffer(row["masks"], np.uint16).astype(np.uint32)
-        self.by_block = np.argsort(self.block, kind="stable")
+        self.shard, self.ids = row["shard"][0].as_py(), row["ids"][0].values.to_numpy()
+        sizes = row["sizes"][0].values.to_numpy()
+        self.word = np.repeat(np.arange(len(self.ids), dtype=np.int32), sizes)
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.block, self.mask = np.frombuffer(row["blocks"][0].as_py(), np.uint32).astype(np.int32), np.frombuffer(row["masks"][0].as_py(), np.uint16)
+        self.by_block = np.argsort(self.block, kind="stable").astype(np.int32)
         n = int(self.block.max()) + 3 if len(self.block) else 3
         self.begins = np.searchsorted(self.block[self.by_block], np.arange(n))
 
@@ -147,7 +150,7 @@ class Bitmaps:
         """(phrase, word, block, mask) of all words that follow the ends of phrases, some at a time."""
         import numpy as np
 
-        within, carried = (mask << 1) & ((1 << BLOCK) - 1), mask >> (BLOCK - 1)
+        within, carried = (mask.astype(np.uint32) << 1).astype(np.uint16), mask >> (BLOCK - 1)
         a, b = np.flatnonzero(within), np.flatnonzero(carried)
         phrase, block, mask = np.concatenate((phrase[a], phrase[b])), np.concatenate((block[a], block[b] + 1)), np.concatenate((within[a], carried[b]))
         begin = self.begins[block]
@@ -216,6 +219,7 @@ def _count(bitmaps: Bitmaps, trie: Phrases | None):
         """Counts of the extensions of phrases of ``k`` words that lead to a leaf."""
         for parts in bitmaps.extend(phrase, block, mask):
             node, word, at, both = parts
+            node = node.astype(np.int64)  # a key is of two of them
             if k < depth:
                 child, found = trie.child(k, node, word)
                 yield from follow(k + 1, child[found], at[found], both[found])
@@ -244,8 +248,9 @@ def _found(bitmaps: Bitmaps, trie: Phrases | None):
 
 def _pairs(batches):
     for batch in batches:
-        for row in batch.to_pylist():
-            yield from _found(Bitmaps(row), None)
+        for at in range(batch.num_rows):
+            yield from _found(Bitmaps(batch.slice(at, 1)), None)
+    trim_memory()
 
 
 def _longer(shard, listed):
@@ -256,8 +261,10 @@ def _longer(shard, listed):
     if not shard.num_rows or not listed.num_rows:
         return empty
     phrases = listed["ws"].combine_chunks().flatten().to_numpy().reshape(listed.num_rows, -1)
-    bitmaps = Bitmaps({c: shard[c][0].as_py() for c in shard.column_names})
-    return pa.Table.from_batches([*empty.to_batches(), *_found(bitmaps, Phrases(bitmaps, phrases, listed["id"].to_numpy()))], empty.schema)
+    bitmaps = Bitmaps(shard)
+    made = pa.Table.from_batches([*empty.to_batches(), *_found(bitmaps, Phrases(bitmaps, phrases, listed["id"].to_numpy()))], empty.schema)
+    trim_memory()
+    return made
 
 
 def _sent(df: DataFrame, size) -> DataFrame:

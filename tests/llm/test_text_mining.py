@@ -168,7 +168,7 @@ def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
     shard = pa.table({"no": [3], "counts": pa.array([[len(positions[w]) for w in "abcd"]], pa.list_(pa.int32())), "positions": [b"".join((s % 2**32).to_bytes(4, "little") for s in steps)]})
     made = c._bitmaps(shard, pa.table({"code": pa.array([0, 1, 2, 3], pa.int32()), "id": [40, 10, 30, 20]}))
     ids = dict(zip("abcd", (40, 10, 30, 20), strict=True))
-    bitmaps = c.Bitmaps({k: made[k][0].as_py() for k in made.column_names})
+    bitmaps = c.Bitmaps(made)
     plain = Counter(tuple(ids[w] for w in p[i : i + m]) for p in pieces for m in range(1, 5) for i in range(len(p) - m + 1))
     got = {(p, w): n for a in c._count(bitmaps, None) for p, w, n in zip(*map(list, a), strict=True)}
     assert got == {k: n for k, n in plain.items() if len(k) == 2}
