@@ -57,6 +57,18 @@ def wrap(y: Column, x: Column, h: ColumnOrInt, w: ColumnOrInt) -> tuple[Column,
     return carried % _col(h), _col(x) % _col(w), whole_div(carried, h)
 
 
+def _spread(x: Column) -> Column:
+    """The 31 low bits of a bigint, each with a zero bit after it."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(y: ColumnOrInt, x: ColumnOrInt) -> Column:
+    """The place of a tile along the Z-order curve; indices below 2^31."""
+    return F.shiftleft(_spread(_col(y)), 1).bitwiseOR(_spread(_col(x)))
+
+
 def increasing(values: Column) -> Column:
     """Whether an array increases strictly; true up to one element."""
     return F.forall(F.zip_with(F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 2, F.size(values)), lambda a, b: a < b), lambda ok: ok)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from mosaiq.functions import grid, magic, svs, units, vocab
 from mosaiq.operators import cells as cell_ops
 from mosaiq.operators import frames as frame_ops
-from mosaiq.operators import order, pyramid, reduce, regrid, resample
+from mosaiq.operators import coverage, order, pyramid, reduce, regrid, resample
 from mosaiq.plans import fixtures as fx
+from mosaiq.sources import chunks, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -368,8 +369,77 @@ def in_order_release(spark, sf_dir):
 
 @query("SELECT doc_id AS i, md5(text) AS before_md5, md5(text) AS after_md5, CAST(octet_length(encode(text)) AS BIGINT) AS len FROM documents")
 def transcode_passthrough(spark, sf_dir):
-    sent = fx.frames(spark, sf_dir)
-    return sent.select("i", F.md5("payload").alias("before_md5"), F.md5(F.col("payload")).alias("after_md5"), "len")
+    """Encoded frames as they are into packs and back; the sum of what was sent rides as the slide's name."""
+    sent = fx.frames(spark, sf_dir).withColumn("slide_id", F.md5("payload"))
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    tiles = sent.select("slide_id", F.lit(0).alias("level"), F.col("i").alias("ty"), none.alias("tx"), F.col("i").alias("y0"), none.alias("x0"), one.alias("h"), F.col("len").alias("w"), one.alias("c"), "payload")
+    path = files.shared_path(spark, "frames")
+    chunks.write_chunks(tiles, path)
+    back = chunks.read_chunks(spark, path)
+    return back.select(F.col("ty").alias("i"), F.col("slide_id").alias("before_md5"), F.md5("payload").alias("after_md5"), F.octet_length("payload").cast("bigint").alias("len"))
+
+
+# the table source and sink
+
+
+def _tiles_e(spark, sf_dir, level: int = 0):
+    """Raster E in packed tiles."""
+    cells = fx.raster_e(spark, sf_dir).withColumns({"slide_id": F.lit("e"), "c": F.lit(0).cast("bigint")})
+    tiles = cell_ops.cells_to_tiles(cells, TILE_H, TILE_W, fx.height_e(spark, sf_dir), WIDTH, 1)
+    return tiles.withColumn("level", F.lit(level))
+
+
+def _stored_e(spark, sf_dir) -> str:
+    path = files.shared_path(spark, "tiles")
+    chunks.write_chunks(_tiles_e(spark, sf_dir), path, pack_bytes=1 << 13)
+    return path
+
+
+@query(f"WITH {E} SELECT y, x, v FROM e")
+def tile_source_scan(spark, sf_dir):
+    return cell_ops.tiles_to_cells(chunks.read_chunks(spark, _stored_e(spark, sf_dir))).select("y", "x", "v")
+
+
+@query(f"WITH {E} SELECT y, x, v FROM e WHERE y >= 17 AND y < 130 AND x >= 5 AND x < 40")
+def region_source_scan(spark, sf_dir):
+    tiles = chunks.read_region(spark, _stored_e(spark, sf_dir), 0, slice(17, 130), slice(5, 40), TILE_H, TILE_W, task_bytes=1 << 13)
+    return cell_ops.tiles_to_cells(tiles).select("y", "x", "v")
+
+
+@query(f"WITH {E} SELECT y, x, CASE WHEN (y // {TILE_H} + x // {TILE_W}) % 3 = 0 THEN 255 - v ELSE v END AS v FROM e")
+def chunk_overwrite(spark, sf_dir):
+    """Every third tile is written again, with its complement; the others are as they were."""
+    path = _stored_e(spark, sf_dir)
+    cells = fx.raster_e(spark, sf_dir).filter((grid.whole_div(F.col("y"), TILE_H) + grid.whole_div(F.col("x"), TILE_W)) % 3 == 0)
+    cells = cells.select(F.lit("e").alias("slide_id"), "y", "x", F.lit(0).cast("bigint").alias("c"), (255 - F.col("v")).alias("v"))
+    changed = cell_ops.cells_to_tiles(cells, TILE_H, TILE_W, fx.height_e(spark, sf_dir), WIDTH, 1)
+    chunks.write_chunks(changed.withColumn("level", F.lit(0)), path, "append")
+    return cell_ops.tiles_to_cells(chunks.read_chunks(spark, path)).select("y", "x", "v")
+
+
+SPARSE = """n AS (SELECT CAST(ceil(h / 2) AS BIGINT) AS down, CAST(ceil(w / 2) AS BIGINT) AS across FROM size),
+    have AS (SELECT DISTINCT y // 2 * across + x // 2 AS idx FROM l, n),
+    lack AS (SELECT idx, idx - row_number() OVER (ORDER BY idx) AS run FROM (SELECT unnest(range(0, down * across)) AS idx FROM n) WHERE idx NOT IN (SELECT idx FROM have)),
+    runs AS (SELECT min(idx) AS first, max(idx) AS last FROM lack GROUP BY run)"""
+
+
+def _sparse_l(spark, sf_dir):
+    """The tiles of two by two cells that raster L has, and its extents."""
+    cells = fx.raster_l(spark, sf_dir).filter("c = 0")
+    tiles = cells.select(F.lit("l").alias("slide_id"), F.lit(0).alias("level"), grid.whole_div(F.col("y"), 2).alias("ty"), grid.whole_div(F.col("x"), 2).alias("tx")).distinct()
+    return tiles, *fx.extent_l(spark, sf_dir)
+
+
+@query(f"WITH {L}, {SPARSE} SELECT 'l' AS slide_id, CAST(0 AS INTEGER) AS level, down * across AS n_tiles, (SELECT count(*) FROM have) AS n_present, (SELECT count(*) FROM runs) AS n_runs, (SELECT count(*) FROM have) = down * across AS whole FROM n")
+def layout_coverage(spark, sf_dir):
+    tiles, h, w = _sparse_l(spark, sf_dir)
+    return coverage.layout_summary(tiles, h, w, 2, 2)
+
+
+@query(f"WITH {L}, {SPARSE} SELECT first, last FROM runs")
+def layout_missing_runs(spark, sf_dir):
+    tiles, h, w = _sparse_l(spark, sf_dir)
+    return coverage.missing_runs(tiles, h, w, 2, 2).select("first", "last")
 
 
 @query()

@@ -24,6 +24,13 @@ def write_bytes(path: str, data: bytes) -> None:
         f.write(data)
 
 
+def publish_bytes(path: str, data: bytes) -> None:
+    """Write a file that readers see whole or not at all."""
+    system, name = open_fs(path)
+    write_bytes(f"{path}.part", data)
+    system.move(f"{name}.part", name)
+
+
 def exists(path: str) -> bool:
     from pyarrow import fs
 
@@ -48,3 +55,23 @@ def claim(path: str, overwrite: bool) -> None:
         if not overwrite:
             raise FileExistsError(path)
         remove(path)
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_path(spark, tag: str) -> str:
+    """A path of its own in the folder that the driver and all executors see (``spark.checkpoint.dir``).
+
+    Where that is unset a temporary folder stands in, which only one machine's processes share.
+    """
+    import tempfile
+    import uuid
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="mosaiq-rasters-")
+        _OWN["dir"] = found
+    return f"{found.rstrip('/')}/mosaiq/{tag}-{uuid.uuid4().hex}"
