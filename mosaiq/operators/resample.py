@@ -1,10 +1,15 @@
-"""Resampling to another shape: nearest by a join on the sampled index, kernels in Arrow batches."""
+"""Resampling to another shape: nearest by a join on the sampled index, kernels by weights of each axis, splines by halos of tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions.grid import whole_div
+from mosaiq.operators.cells import TILE
+
 
 def sample_index(spark, size: int, target: int, name: str) -> DataFrame:
     """For each target index the source index, halves to even and clamped: name, s_name."""
@@ -27,37 +32,175 @@ def stride(cells: DataFrame, step: int) -> DataFrame:
     return kept.withColumn("y", (F.col("y") / step).cast("bigint")).withColumn("x", (F.col("x") / step).cast("bigint"))
 
 
-def resize(image, to_h: int, to_w: int, kernel: str = "nearest"):
-    """One array resized on the driver or in a UDF: nearest, bilinear, bicubic, box, area or lanczos.
+#: Index tables of an image's side are sent to all up to this many rows; longer ones are joined by shuffle.
+BROADCAST_WEIGHTS = 1 << 20
+
+# half widths of the kernels, in source cells or, where the image shrinks, in target cells
+REACH = {"box": 0.5, "bilinear": 1.0, "bicubic": 2.0, "lanczos": 3.0}
+KERNELS = ("nearest", "area", *REACH)
+
 
-    Weights are of a separable kernel, widened when the image shrinks, and normalised.
+def axis_weights(spark: SparkSession, size: int, target: int, kernel: str) -> DataFrame:
+    """(o, s, weight) of each target index ``o`` and source index ``s``, one row a pair that counts.
+
+    Weights of area, box and bilinear are whole numbers, whose quotient by their sum is exact; the others are doubles.
+    Kernels widen where the image shrinks, and are cut off at its edges.
     """
-    import numpy as np
+    if kernel not in KERNELS or kernel == "nearest":
+        raise KeyError(kernel)
+    o, s = F.col("o"), F.col("s")
+    at = spark.range(target).select(F.col("id").alias("o"))
+    if kernel == "area":
+        # in units of 1 / target of a source cell
+        first, last = whole_div(o * size, target), whole_div((o + 1) * size - 1, target)
+        weight = F.least((s + 1) * target, (o + 1) * size) - F.greatest(s * target, o * size)
+    else:
+        wide = max(size, target)
+        # distance of the cells' centres, of which 2 * wide make one of the kernel
+        far = F.abs(2 * target * s - (2 * o + 1) * size + target)
+        near = lambda k: F.floor(((2 * o + 1) * size - target + k) / (2 * target))
+        reach = int(2 * REACH[kernel] * wide)
+        first, last = F.greatest(F.lit(0).cast("bigint"), near(-reach)), F.least(F.lit(size - 1).cast("bigint"), near(reach) + 1)
+        t = far / F.lit(2.0 * wide)
+        cubic = F.when(t < 1, 1.5 * t * t * t - 2.5 * t * t + 1).when(t < 2, -0.5 * t * t * t + 2.5 * t * t - 4 * t + 2).otherwise(0.0)
+        sinc = lambda u: F.when(u == 0, 1.0).otherwise(F.sin(u * math.pi) / (u * math.pi))
+        weight = {
+            "box": (far <= wide).cast("bigint"),
+            "bilinear": F.greatest(F.lit(0).cast("bigint"), 2 * wide - far),
+            "bicubic": cubic,
+            "lanczos": F.when(t < 3, sinc(t) * sinc(t / 3)).otherwise(0.0),
+        }[kernel]
+    return at.select("o", F.explode(F.sequence(first, last)).alias("s")).select("o", "s", weight.alias("weight")).filter("weight <> 0")
+
 
-    image = np.asarray(image)
+def resize(cells: DataFrame, h: int, w: int, to_h: int, to_w: int, kernel: str = "area") -> DataFrame:
+    """Cells (y, x, v and others that tell rasters apart, such as c) of another shape, as unsigned bytes.
+
+    Two products with sparse weight matrices, one an axis, each joined by index and summed before its
+    shuffle; the axis that shrinks more comes first. Halves are rounded up. Cells that are missing are 0.
+    """
     if kernel == "nearest":
-        pick = lambda n, m: np.minimum(np.round(np.arange(m) * n / m).astype(int), n - 1)
-        return image[pick(image.shape[0], to_h)][:, pick(image.shape[1], to_w)]
-    kernels = {
-        "box": (0.5, lambda t: (np.abs(t) <= 0.5) * 1.0),
-        "bilinear": (1.0, lambda t: np.maximum(0, 1 - np.abs(t))),
-        "bicubic": (2.0, lambda t: np.where(np.abs(t) < 1, 1.5 * np.abs(t) ** 3 - 2.5 * t**2 + 1, np.where(np.abs(t) < 2, -0.5 * np.abs(t) ** 3 + 2.5 * t**2 - 4 * np.abs(t) + 2, 0))),
-        "lanczos": (3.0, lambda t: np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0)),
-    }
-    if kernel != "area" and kernel not in kernels:
-        raise KeyError(kernel)
+        return nearest(cells, h, w, to_h, to_w)
+    if min(h, w, to_h, to_w) < 1:
+        raise ValueError(f"no resize of {h} by {w} to {to_h} by {to_w}")
+    keys = [c for c in cells.columns if c not in ("y", "x", "v")]
+    held = cells.select(*keys, "y", "x", F.col("v").cast("bigint" if kernel in ("area", "box", "bilinear") else "double").alias("v"))
+    axes = sorted((("y", h, to_h), ("x", w, to_w)), key=lambda a: a[2] / a[1])
+    for name, size, target in axes:
+        weights = axis_weights(cells.sparkSession, size, target, kernel).withColumnsRenamed({"s": name, "o": f"to_{name}"})
+        if (2 * REACH.get(kernel, 0.5) + 1) * max(size, target) <= BROADCAST_WEIGHTS:
+            weights = F.broadcast(weights)
+        other = "x" if name == "y" else "y"
+        summed = held.join(weights, name).groupBy(*keys, f"to_{name}", other).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+        held = summed.withColumnRenamed(f"to_{name}", name)
+    for name, size, target in axes:
+        total = axis_weights(cells.sparkSession, size, target, kernel).groupBy(F.col("o").alias(name)).agg(F.sum("weight").alias(f"total_{name}"))
+        held = held.join(F.broadcast(total) if target <= BROADCAST_WEIGHTS else total, name)
+    total = F.col("total_y") * F.col("total_x")
+    if kernel in ("area", "box", "bilinear"):
+        v = F.expr("(2 * v + total_y * total_x) div (2 * total_y * total_x)")
+    else:
+        v = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.col("v") / total + 0.5)))
+    return held.select("y", "x", *keys, v.cast("bigint").alias("v"))
+
+
+def spline_zoom(tiles: DataFrame, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
+    """Order-1 spline zoom of packed tiles: rectangles of the new raster, which together cover it.
+
+    Target corners lie on source corners. A tile makes all cells that need only its own; the cells
+    between tiles are made from strips: every tile sends its last row and column to itself and its first
+    ones to the tiles before it, and these strips are all that is shuffled. Halves are rounded up.
+    """
+    kind = f"{TILE}, own boolean"
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    def record(rows):
+        import pyarrow as pa
+
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        types = [pa.string(), *[pa.int64()] * 7, pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def targets(a: int, z: int, size: int, target: int) -> tuple[int, int]:
+        """Target indices whose source place, rounded down, is from ``a`` on and before ``z``."""
+        if target == 1 or size == 1:
+            return (0, target) if a <= 0 < z else (0, 0)
+        return -(-a * (target - 1) // (size - 1)), min(target, -(-z * (target - 1) // (size - 1)))
+
+    def zoomed(pixels, y0: int, x0: int, rows: tuple[int, int], cols: tuple[int, int]):
+        """Cells of the target's rows and columns, from pixels that begin at (y0, x0)."""
+        import numpy as np
+
+        def place(span, size, target, start, n):
+            scaled = np.arange(*span) * (size - 1 if target > 1 else 0)
+            at, rest = np.divmod(scaled, max(1, target - 1))
+            return at - start, np.minimum(at - start + 1, n - 1), rest, max(1, target - 1)
+
+        a, b, r, dy = place(rows, h, to_h, y0, pixels.shape[0])
+        p, q, s, dx = place(cols, w, to_w, x0, pixels.shape[1])
+        v = pixels.astype(np.int64)
+        r, s = r[:, None, None], s[None, :, None]
+        down = v[a] * (dy - r) + v[b] * r
+        both = down[:, p] * (dx - s) + down[:, q] * s
+        return ((2 * both + dy * dx) // (2 * dy * dx)).astype(np.uint8)
+
+    def inside(batches):
+        import numpy as np
+
+        for batch in batches:
+            made = []
+            for t in batch.to_pylist():
+                rows, cols = targets(t["y0"], t["y0"] + t["h"] - 1, h, to_h), targets(t["x0"], t["x0"] + t["w"] - 1, w, to_w)
+                if rows[0] < rows[1] and cols[0] < cols[1]:
+                    part = zoomed(np.frombuffer(t["payload"], np.uint8).reshape(t["h"], t["w"], t["c"]), t["y0"], t["x0"], rows, cols)
+                    made.append((t["slide_id"], t["ty"], t["tx"], rows[0], cols[0], *part.shape, part.tobytes(), True))
+            yield record(made)
+
+    def strips(batches):
+        import numpy as np
+
+        for batch in batches:
+            made = []
+            for t in batch.to_pylist():
+                pixels = np.frombuffer(t["payload"], np.uint8).reshape(t["h"], t["w"], t["c"])
+                y0, x0, y1, x1 = t["y0"], t["x0"], t["y0"] + t["h"], t["x0"] + t["w"]
+                to_itself = [(0, 0, pixels[-1:], y1 - 1, x0), (0, 0, pixels[:, -1:], y0, x1 - 1)]
+                to_others = [(-1, 0, pixels[:1], y0, x0), (0, -1, pixels[:, :1], y0, x0), (-1, -1, pixels[:1, :1], y0, x0)]
+                for dy, dx, strip, y, x in to_itself + to_others:
+                    if t["ty"] + dy >= 0 and t["tx"] + dx >= 0:
+                        made.append((t["slide_id"], t["ty"] + dy, t["tx"] + dx, y, x, *strip.shape, strip.tobytes(), not dy and not dx))
+            yield record(made)
+
+    def between(table):
+        import numpy as np
+        import pyarrow as pa
+
+        met = table.to_pylist()
+        first = met[0]
+        own = [r for r in met if r["own"]]
+        made = []
+        if own:
+            y0, x0 = min(r["y0"] for r in own), min(r["x0"] for r in own)
+            y1, x1 = max(r["y0"] + r["h"] for r in own), max(r["x0"] + r["w"] for r in own)
+
+            def band(a, p, rows, cols):
+                out = np.zeros((rows, cols, first["c"]), np.uint8)
+                for r in met:
+                    y, x, z, q = max(a, r["y0"]), max(p, r["x0"]), min(a + rows, r["y0"] + r["h"]), min(p + cols, r["x0"] + r["w"])
+                    if y < z and x < q:
+                        pixels = np.frombuffer(r["payload"], np.uint8).reshape(r["h"], r["w"], r["c"])
+                        out[y - a : z - a, x - p : q - p] = pixels[y - r["y0"] : z - r["y0"], x - r["x0"] : q - r["x0"]]
+                return out
+
+            # the last row with its corner, then the last column above it
+            spans = [((y1 - 1, y1), (x0, x1)), ((y0, y1 - 1), (x1 - 1, x1))]
+            for (a, z), (p, q) in spans:
+                rows, cols = targets(a, z, h, to_h), targets(p, q, w, to_w)
+                if rows[0] < rows[1] and cols[0] < cols[1]:
+                    part = zoomed(band(a, p, z - a + 1, q - p + 1), a, p, rows, cols)
+                    made.append((first["slide_id"], first["ty"], first["tx"], rows[0], cols[0], *part.shape, part.tobytes(), True))
+        return pa.Table.from_batches([record(made)])
 
-    def weights(n: int, m: int):
-        at = np.arange(n)[None, :]
-        if kernel == "area":
-            a, b = np.arange(m)[:, None] * n / m, (np.arange(m)[:, None] + 1) * n / m
-            made = np.clip(np.minimum(b, at + 1) - np.maximum(a, at), 0, None)
-        else:
-            scale = max(1.0, n / m)
-            centre = (np.arange(m)[:, None] + 0.5) * n / m - 0.5
-            made = kernels[kernel][1]((at - centre) / scale)
-        return made / made.sum(axis=1, keepdims=True)
-
-    out = np.tensordot(weights(image.shape[0], to_h), image.astype(float), (1, 0))
-    out = np.moveaxis(np.tensordot(weights(image.shape[1], to_w), out, (1, 1)), 0, 1)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8) if image.dtype == np.uint8 else out
+    held = tiles.select(*[F.col(n).cast(k) for n, k in (x.split() for x in TILE.split(", "))])
+    edges = held.mapInArrow(strips, kind).groupBy("slide_id", "ty", "tx").applyInArrow(between, kind)
+    return held.mapInArrow(inside, kind).unionByName(edges).drop("own")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import grid, magic
 from mosaiq.operators import cells as cell_ops
-from mosaiq.operators import reduce, regrid, resample
+from mosaiq.operators import pyramid, regrid, resample, tile_pyramid
 from mosaiq.sources import codecs, dicom, files, tiff, zarr
 from mosaiq.sources.slide import Slide, decode_tiles, encode_tiles
 
@@ -81,17 +81,16 @@ def convert(spark: SparkSession, source: str, target: str, tile: tuple[int, int]
     try:
         same = (read.tile_h, read.tile_w) == tile
         first = base if same else regrid.regrid_tiles(base, *tile, read.height, read.width)
-        tiles, below, factor_below = encode_tiles(first, made, 0, codec_level), base, 1
-        cells = cell_ops.tiles_to_cells(base)
-        for k, factor in enumerate(levels[1:], 1):
-            h, w = read.level_shape(factor)
-            source_cells, step = (below, factor // factor_below) if cascade and k > 1 else (cells, factor)
-            sh, sw = (h * step, w * step) if cascade and k > 1 else (read.height, read.width)
-            pooled = source_cells.filter((F.col("y") < sh) & (F.col("x") < sw)).groupBy("slide_id", grid.whole_div(F.col("y"), step).alias("y"), grid.whole_div(F.col("x"), step).alias("x"), "c").agg(reduce.to_byte(F.avg("v")).alias("v"))
-            pooled = pooled.filter((F.col("y") < h) & (F.col("x") < w))
-            below, factor_below = pooled, factor
-            tiles = tiles.unionByName(encode_tiles(cell_ops.cells_to_tiles(pooled, *tile, h, w, read.channels), made, k, codec_level))
-        made.tiles = tiles
+        made.tiles = encode_tiles(first, made, 0, codec_level)
+        if tile_pyramid.divides(levels[1:], *tile):
+            above = tile_pyramid.tile_pyramid(first, levels[1:], *tile, read.height, read.width, cascade) if levels[1:] else None
+            reduced = [above.filter(F.col("level") == k).drop("level", "downsample") for k in range(1, len(levels))]
+        else:
+            cells = cell_ops.tiles_to_cells(base).drop("slide_id")
+            stacked = (pyramid.cascade if cascade else pyramid.direct)(cells, levels[1:], read.height, read.width).withColumn("slide_id", F.lit(read.slide_id))
+            reduced = [cell_ops.cells_to_tiles(stacked.filter(F.col("downsample") == f), *tile, *read.level_shape(f), read.channels) for f in levels[1:]]
+        for k, level in enumerate(reduced, 1):
+            made.tiles = made.tiles.unionByName(encode_tiles(level, made, k, codec_level))
         _write(made, target, writer, store, overwrite, codec_level)
     finally:
         base.unpersist()
@@ -117,7 +116,7 @@ def transcode(spark: SparkSession, source: str, target: str, store: str | None =
 def thumbnail_array(slide: Slide, shape: tuple[int, int], kernel: str | None = "bicubic"):
     """An image of the shape: block means by the largest factor that stays above it, then a resize.
 
-    The means are made on the executors; what reaches the driver is about the thumbnail's size.
+    Means and weights are applied on the executors; what reaches the driver is the thumbnail's cells.
     """
     import numpy as np
 
@@ -125,10 +124,14 @@ def thumbnail_array(slide: Slide, shape: tuple[int, int], kernel: str | None = "
     tiles = decode_tiles(slide)
     means = cell_ops.pool_tiles(tiles, factor, slide.tile_h, slide.tile_w)
     (h, w), _ = grid.block_downsample_shape((slide.height, slide.width), factor, (slide.tile_h, slide.tile_w))
-    out = np.zeros((h, w, slide.channels), np.uint8)
-    for t in means.toLocalIterator():
-        out[t.y0 : t.y0 + t.h, t.x0 : t.x0 + t.w] = np.frombuffer(bytes(t.payload), np.uint8).reshape(t.h, t.w, t.c)
-    return out if kernel is None else resample.resize(out, *shape, kernel)
+    cells = cell_ops.tiles_to_cells(means).drop("slide_id")
+    (to_h, to_w) = (h, w) if kernel is None else shape
+    made = cells if kernel is None else resample.resize(cells, h, w, to_h, to_w, kernel)
+    out = np.zeros((to_h, to_w, slide.channels), np.uint8)
+    for r in made.groupBy("y").agg(F.collect_list(F.struct("x", "c", "v")).alias("cells")).toLocalIterator():
+        for x, c, v in r.cells:
+            out[r.y, x, c] = v
+    return out
 
 
 def png(image) -> bytes:

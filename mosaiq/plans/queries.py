@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import grid, magic, svs, units, vocab
 from mosaiq.operators import cells as cell_ops
 from mosaiq.operators import frames as frame_ops
-from mosaiq.operators import coverage, order, pyramid, reduce, regrid, resample
+from mosaiq.operators import coverage, order, pyramid, reduce, regrid, resample, tile_pyramid
 from mosaiq.plans import fixtures as fx
 from mosaiq.sources import chunks, files
 
@@ -96,6 +96,13 @@ def pyramid_direct(spark, sf_dir):
     return pyramid.direct(fx.raster_e(spark, sf_dir), [2, 4], fx.height_e(spark, sf_dir), WIDTH)
 
 
+@query(f"WITH {CASCADE} SELECT CAST(2 AS BIGINT) AS downsample, y, x, v FROM a UNION ALL SELECT 4, y, x, v FROM b")
+def pyramid_tiles(spark, sf_dir):
+    levels = tile_pyramid.tile_pyramid(_tiles_e(spark, sf_dir).drop("level"), [2, 4], TILE_H, TILE_W, fx.height_e(spark, sf_dir), WIDTH)
+    # a level is a raster of its own; its downsample names it
+    return cell_ops.tiles_to_cells(levels.withColumn("slide_id", F.col("downsample").cast("string"))).select(F.col("slide_id").cast("bigint").alias("downsample"), "y", "x", "v")
+
+
 @query(f"""WITH {CASCADE}, {DIRECT.removeprefix(E + ",")}
     SELECT CAST(2 AS BIGINT) AS downsample, count(*) AS n_cells, CAST(count_if(a.v <> p.v) AS BIGINT) AS n_differ FROM a JOIN p USING (y, x)
     UNION ALL SELECT 4, count(*), CAST(count_if(b.v <> q.v) AS BIGINT) FROM b JOIN q USING (y, x)""")
@@ -352,6 +359,44 @@ def resample_stride(spark, sf_dir):
     return resample.stride(fx.raster_e(spark, sf_dir), 4)
 
 
+def _area(n: str, o: str, m: int) -> str:
+    """SQL of the area weights of one axis: o, s, w."""
+    return f"SELECT o, s, least((s + 1) * {m}, (o + 1) * {n}) - greatest(s * {m}, o * {n}) AS w FROM (SELECT o, n, unnest(range(o * {n} // {m}, ((o + 1) * {n} - 1) // {m} + 1)) AS s FROM {o})"
+
+
+def _linear(n: str, o: str, m: int) -> str:
+    """SQL of the bilinear weights of one axis, whole numbers: o, s, w."""
+    return f"SELECT * FROM (SELECT o, s, greatest(0, 2 * greatest({n}, {m}) - abs(2 * {m} * s - (2 * o + 1) * {n} + {m})) AS w FROM (SELECT o, n, unnest(range(0, {n})) AS s FROM {o})) WHERE w > 0"
+
+
+def _resized(axis, to_h: int, to_w: int) -> str:
+    return f"""WITH {E}, oy AS (SELECT h AS n, unnest(range(0, {to_h})) AS o FROM size), ox AS (SELECT w AS n, unnest(range(0, {to_w})) AS o FROM size),
+        wy AS ({axis("n", "oy", to_h)}), wx AS ({axis("n", "ox", to_w)}), dy AS (SELECT o, sum(w) AS d FROM wy GROUP BY o), dx AS (SELECT o, sum(w) AS d FROM wx GROUP BY o),
+        r AS (SELECT wy.o AS y, x, sum(CAST(v * w AS HUGEINT)) AS v FROM e JOIN wy ON s = y GROUP BY ALL), c AS (SELECT y, o AS x, sum(v * w) AS v FROM r JOIN wx ON s = x GROUP BY ALL)
+        SELECT c.y, c.x, CAST((2 * c.v + dy.d * dx.d) // (2 * dy.d * dx.d) AS BIGINT) AS v FROM c JOIN dy ON dy.o = c.y JOIN dx ON dx.o = c.x"""
+
+
+@query(_resized(_area, 77, 100))
+def resize_area(spark, sf_dir):
+    return resample.resize(fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir), WIDTH, 77, 100, "area").select("y", "x", "v")
+
+
+@query(_resized(_linear, 77, 100))
+def resize_bilinear(spark, sf_dir):
+    return resample.resize(fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir), WIDTH, 77, 100, "bilinear").select("y", "x", "v")
+
+
+@query(f"""WITH {E}, m AS (SELECT h, w, CAST(round_even(h / 3.0, 0) AS BIGINT) AS mh, CAST(round_even(w / 3.0, 0) AS BIGINT) AS mw FROM size),
+    ys AS (SELECT o, o * (h - 1) // (mh - 1) AS a, o * (h - 1) % (mh - 1) AS r, mh - 1 AS d FROM (SELECT h, mh, unnest(range(0, mh)) AS o FROM m)),
+    xs AS (SELECT o, o * (w - 1) // (mw - 1) AS a, o * (w - 1) % (mw - 1) AS r, mw - 1 AS d FROM (SELECT w, mw, unnest(range(0, mw)) AS o FROM m)),
+    wy AS (SELECT o, a AS s, d - r AS k, d FROM ys UNION ALL SELECT o, a + 1, r, d FROM ys WHERE r > 0), wx AS (SELECT o, a AS s, d - r AS k, d FROM xs UNION ALL SELECT o, a + 1, r, d FROM xs WHERE r > 0)
+    SELECT wy.o AS y, wx.o AS x, CAST((2 * sum(v * wy.k * wx.k) + any_value(wy.d * wx.d)) // (2 * any_value(wy.d * wx.d)) AS BIGINT) AS v FROM e JOIN wy ON wy.s = e.y JOIN wx ON wx.s = e.x GROUP BY wy.o, wx.o""")
+def spline_zoom(spark, sf_dir):
+    h = fx.height_e(spark, sf_dir)
+    made = resample.spline_zoom(_tiles_e(spark, sf_dir).drop("level"), h, WIDTH, round(h / 3), round(WIDTH / 3))
+    return cell_ops.tiles_to_cells(made).select("y", "x", "v")
+
+
 # frames and order
 
 

@@ -49,6 +49,11 @@ def remove(path: str) -> None:
         system.delete_file(name)
 
 
+def move(path: str, to: str) -> None:
+    system, name = open_fs(path)
+    system.move(name, open_fs(to)[1])
+
+
 def claim(path: str, overwrite: bool) -> None:
     """A sink's output path: an error if something is there, unless it may be replaced."""
     if exists(path):
@@ -75,3 +80,10 @@ def shared_path(spark, tag: str) -> str:
         found = _OWN.setdefault("dir", "") or tempfile.mkdtemp(prefix="mosaiq-rasters-")
         _OWN["dir"] = found
     return f"{found.rstrip('/')}/mosaiq/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df, tag: str):
+    """``df`` as Parquet in the shared folder, read back: it is made once, and no executor's loss undoes it."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

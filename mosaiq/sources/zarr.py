@@ -11,6 +11,7 @@ import json
 import re
 import sqlite3
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,23 +48,36 @@ def _metadata(slide: Slide, codec_level: int | None) -> dict[str, bytes]:
 
 
 def write_zarr(slide: Slide, path: str, store: str = "ndir", overwrite: bool = False, codec_level: int | None = None) -> None:
-    """Write the encoded tiles as they are. Single-file stores get them one after another."""
+    """Write the encoded tiles as they are. Single-file stores get them one after another.
+
+    A folder is made beside its place and moved there when it is whole; a failed job leaves what was there.
+    """
     if store not in STORES:
         raise ValueError(f"unknown store: {store}")
-    files.claim(path, overwrite)
+    if files.exists(path) and not overwrite:
+        raise FileExistsError(path)
     metadata = _metadata(slide, codec_level)
     tiles = slide.tiles.filter("payload is not null").select("level", "ty", "tx", "payload")
     if store in ("dir", "ndir"):
 
+        staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
+
         def write(rows):
             for r in rows:
-                files.write_bytes(f"{path}/{r.level}/{r.ty}/{r.tx}/0", bytes(r.payload))
-
-        tiles.foreachPartition(write)
-        for name, data in metadata.items():
-            files.write_bytes(f"{path}/{name}", data)
+                files.write_bytes(f"{staged}/{r.level}/{r.ty}/{r.tx}/0", bytes(r.payload))
+
+        try:
+            tiles.foreachPartition(write)
+            for name, data in metadata.items():
+                files.write_bytes(f"{staged}/{name}", data)
+        except BaseException:
+            files.remove(staged)
+            raise
+        files.claim(path, overwrite)
+        files.move(staged, path)
         return
     chunks = ((f"{r.level}/{r.ty}/{r.tx}/0", bytes(r.payload)) for r in tiles.toLocalIterator(prefetchPartitions=True))
+    files.claim(path, overwrite)
     with tempfile.NamedTemporaryFile() as held:
         if store == "zip":
             with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as z:

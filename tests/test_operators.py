@@ -177,18 +177,135 @@ def test_blanks_and_regions(spark):
     assert cell_ops.region(cells, slice(4, 99), slice(None, 2), 6, 5).count() == 4
 
 
-@settings(max_examples=30)
-@given(st.integers(1, 12), st.integers(1, 12), st.integers(1, 15), st.integers(1, 15), st.sampled_from(["nearest", "bilinear", "bicubic", "box", "area", "lanczos"]))
-def test_resizing_keeps_constants_and_shape(h, w, to_h, to_w, kernel):
-    out = resample.resize(np.full((h, w, 3), 9, np.uint8), to_h, to_w, kernel)
-    assert out.shape == (to_h, to_w, 3) and (out == 9).all()
+def _plain_resize(image, to_h, to_w, kernel):
+    """Separable weights by their definition, normalised; whole numbers where they are exact."""
+    from fractions import Fraction
+
+    def weight(at, o, n, m):
+        if kernel == "area":
+            return max(Fraction(0), min(Fraction(o + 1) * n / m, at + 1) - max(Fraction(o) * n / m, at))
+        t = abs(at - (Fraction(2 * o + 1, 2) * n / m - Fraction(1, 2))) / max(Fraction(1), Fraction(n, m))
+        if kernel in ("box", "bilinear"):
+            return Fraction(t <= Fraction(1, 2)) if kernel == "box" else max(Fraction(0), 1 - t)
+        t = float(t)
+        if kernel == "bicubic":
+            return 1.5 * t**3 - 2.5 * t**2 + 1 if t < 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0
+        return float(np.sinc(t) * np.sinc(t / 3)) if t < 3 else 0
+
+    def axis(n, m):
+        made = [[weight(at, o, n, m) for at in range(n)] for o in range(m)]
+        return [[w / sum(row) for w in row] for row in made]
+
+    rows, cols = axis(image.shape[0], to_h), axis(image.shape[1], to_w)
+    out = [[sum(int(image[y, x]) * rows[i][y] * cols[j][x] for y in range(image.shape[0]) for x in range(image.shape[1]) if rows[i][y] and cols[j][x]) for j in range(to_w)] for i in range(to_h)]
+    return out
 
 
-def test_area_is_the_block_mean_and_names_are_checked():
-    image = _image(8, 6, 1)
-    assert np.abs(resample.resize(image.astype(float), 4, 3, "area") - image.reshape(4, 2, 3, 2, 1).mean(axis=(1, 3))).max() < 1e-9
+@pytest.mark.parametrize("kernel", ["area", "box", "bilinear", "bicubic", "lanczos"])
+@pytest.mark.parametrize("shape", [(9, 7, 4, 3), (5, 6, 11, 4), (1, 8, 3, 8)])
+def test_resizing_is_the_weighted_sum(spark, monkeypatch, kernel, shape):
+    h, w, to_h, to_w = shape
+    image = np.random.default_rng(h).integers(0, 256, (h, w), np.uint8)
+    if h == 5:
+        monkeypatch.setattr(resample, "BROADCAST_WEIGHTS", 0)
+    cells = spark.createDataFrame([(y, x, c, int(image[y, x]) if c else 9) for y in range(h) for x in range(w) for c in (0, 1)], "y bigint, x bigint, c bigint, v bigint")
+    found = {(r.y, r.x, r.c): r.v for r in resample.resize(cells, h, w, to_h, to_w, kernel).collect()}
+    assert len(found) == 2 * to_h * to_w and all(v == 9 for (_, _, c), v in found.items() if not c)
+    plain = _plain_resize(image, to_h, to_w, kernel)
+    for i in range(to_h):
+        for j in range(to_w):
+            exact = min(255, max(0, int(np.floor(plain[i][j] + (0.5 if isinstance(plain[i][j], float) else 1 / type(plain[i][j])(2))))))
+            # doubles may fall on either side of a half
+            assert abs(found[i, j, 1] - exact) <= (kernel in ("bicubic", "lanczos") and abs(plain[i][j] % 1 - 0.5) < 1e-9)
+
+
+def test_resizing_checks_names_and_sums_before_it_shuffles(spark):
+    cells = _cells(spark, _image(8, 6, 1))
     with pytest.raises(KeyError):
-        resample.resize(image, 2, 2, "sharp")
+        resample.resize(cells, 8, 6, 2, 2, "sharp")
+    with pytest.raises(ValueError, match="resize"):
+        resample.resize(cells, 8, 6, 0, 2)
+    plan = resample.resize(cells, 8, 6, 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_sum(") >= 2 and "SortMergeJoin" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def _packed(spark, image, th, tw, keep=lambda ty, tx: True):
+    h, w = image.shape[:2]
+    rows = []
+    for ty in range(-(-h // th)):
+        for tx in range(-(-w // tw)):
+            part = image[ty * th : (ty + 1) * th, tx * tw : (tx + 1) * tw]
+            if keep(ty, tx):
+                rows.append(("s", ty, tx, ty * th, tx * tw, *part.shape, bytearray(part.tobytes())))
+    return spark.createDataFrame(rows, cell_ops.TILE).repartition(3)
+
+
+def _unpacked(tiles, h, w, c):
+    out, seen = np.zeros((h, w, c), np.uint8), np.zeros((h, w), int)
+    for t in tiles.collect():
+        out[t.y0 : t.y0 + t.h, t.x0 : t.x0 + t.w] = np.frombuffer(bytes(t.payload), np.uint8).reshape(t.h, t.w, t.c)
+        seen[t.y0 : t.y0 + t.h, t.x0 : t.x0 + t.w] += 1
+    return out, seen
+
+
+@pytest.mark.parametrize(("th", "tw", "to_h", "to_w"), [(8, 5, 9, 11), (4, 4, 40, 50), (30, 30, 7, 7), (1, 3, 1, 5), (5, 8, 29, 1), (3, 1, 29, 31)])
+def test_a_spline_zoom_is_linear_between_corners(spark, th, tw, to_h, to_w):
+    h, w = 29, 31
+    image = np.random.default_rng(6).integers(0, 256, (h, w, 2), np.uint8)
+    found, seen = _unpacked(resample.spline_zoom(_packed(spark, image, th, tw), h, w, to_h, to_w), to_h, to_w, 2)
+    assert (seen == 1).all()
+    at = lambda n, m: [divmod(o * (n - 1 if m > 1 else 0), max(1, m - 1)) for o in range(m)]
+    for i, (a, r) in enumerate(at(h, to_h)):
+        for j, (p, s) in enumerate(at(w, to_w)):
+            d, e = max(1, to_h - 1), max(1, to_w - 1)
+            v = image.astype(int)
+            b, q = min(a + 1, h - 1), min(p + 1, w - 1)
+            both = (v[a, p] * (d - r) + v[b, p] * r) * (e - s) + (v[a, q] * (d - r) + v[b, q] * r) * s
+            assert (found[i, j] == (2 * both + d * e) // (2 * d * e)).all(), (i, j)
+
+
+@pytest.mark.parametrize("cascade", [True, False])
+@pytest.mark.parametrize(("factors", "missing"), [([2, 4, 8], False), ([3, 6], False), ([2, 4], True)])
+def test_a_tile_pyramid_equals_pooling(spark, monkeypatch, cascade, factors, missing):
+    from mosaiq.operators import tile_pyramid
+
+    th, tw = (24, 48) if factors[0] == 2 else (12, 18)
+    h, w = 24 * 5 + 7, 48 * 3 + 5
+    image = np.random.default_rng(7).integers(0, 256, (h, w, 3), np.uint8)
+    keep = (lambda ty, tx: (ty + tx) % 2 == 0) if missing else (lambda ty, tx: True)
+    if missing:
+        monkeypatch.setattr(tile_pyramid, "OPEN", 2)
+        for ty in range(-(-h // th)):
+            for tx in range(-(-w // tw)):
+                if not keep(ty, tx):
+                    image[ty * th : (ty + 1) * th, tx * tw : (tx + 1) * tw] = 0
+    made = tile_pyramid.tile_pyramid(_packed(spark, image, th, tw, keep), factors, th, tw, h, w, cascade)
+    pool = lambda a, f: (a[: a.shape[0] // f * f, : a.shape[1] // f * f].reshape(a.shape[0] // f, f, a.shape[1] // f, f, 3).astype(int).sum(axis=(1, 3)) // (f * f)).astype(np.uint8)
+    below, before = image, 1
+    for k, f in enumerate(factors, 1):
+        below = pool(below, f // before) if cascade else pool(image, f)
+        below, before = below[: h // f, : w // f], f
+        level = made.filter(F.col("level") == k)
+        found, seen = _unpacked(level, h // f, w // f, 3)
+        assert (found == below).all() and (missing or (seen == 1).all())
+        assert {(r.h, r.w) for r in level.collect()} <= {(min(th, h // f - y), min(tw, w // f - x)) for y in range(0, h // f, th) for x in range(0, w // f, tw)}
+
+
+def test_a_tile_pyramid_shuffles_parts_of_cut_parents_only(spark):
+    from mosaiq.operators import tile_pyramid
+
+    image = np.zeros((16 * 16, 16 * 16, 1), np.uint8)
+    tiles = _packed(spark, image, 16, 16)
+    for bad, said in (([4, 2], "growing"), ([2, 3], "growing"), ([2, 4, 8, 16, 32], "no multiples")):
+        with pytest.raises(ValueError, match=said):
+            tile_pyramid.tile_pyramid(tiles, bad, 16, 16, 256, 256)
+    made = tile_pyramid.tile_pyramid(tiles, [2, 4, 8], 16, 16, 256, 256)
+    stored = spark.read.parquet(made.inputFiles()[0].rsplit("/", 1)[0])
+    assert made.count() == 64 + 16 + 4
+    # 4 ranges of 256 tiles: all but the parents at their edges are whole where they were made
+    assert stored.filter("NOT whole").count() < 0.2 * (3 * 256)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
 
 
 @pytest.mark.parametrize("chunk", [3, 7, 1 << 16])
