@@ -5,9 +5,10 @@ free after each piece, so nothing that shifts by one crosses a piece. Each word
 language has a position bitmap there, of 16-position blocks of which only those with a bit
 are kept. A phrase's bitmap marks where it ends: shifted by one and ANDed with the bitmaps of
 the words in the same block it gives all its extensions, whose counts are popcounts. Spark sums them
-over the shards; a phrase of k words is looked for only where both its parts of k - 1 words are frequent,
-and each shard is told only of frequent phrases that it holds. Within a shard the phrases under
-some first words are followed to the end before the next ones are begun, so memory is bounded.
+over the shards, in three passes: pairs of frequent words, then phrases of three words whose pairs are
+frequent, then those of four and more, all of whose runs of three are. Each shard is told only of
+frequent phrases that it holds. Within a shard the phrases under some first words are followed to the end
+before the next ones are begun, so memory is bounded. Nothing is sent to all executors.
 
 Phrases are arrays of word ids, so equal keys are equal phrases. Languages and words can be as skewed as
 they like: shards are cut by size, and what is summed is one row a phrase and shard.
@@ -27,12 +28,13 @@ SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 SLICE_BYTES, SHARD_WORDS = 4 << 20, 1 << 19
 #: Positions of a block, and bit pairs of one comparison.
 BLOCK, COMPARED = 16, 1 << 19
-#: Lists that are sent to all have so many rows and bytes at most; longer ones are joined by shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1 << 19, 16 << 20
 
 SHARD = "shard bigint, lang string, n_words bigint, words array<string>, counts array<int>, positions binary"
 BITMAPS = "shard bigint, ids array<bigint>, sizes array<int>, blocks binary, masks binary"
-FOUND = "shard bigint, p bigint, w bigint, n bigint"
+
+
+def _found_schema(words: int) -> str:
+    return "shard bigint, " + ", ".join(f"w{k} bigint" for k in range(1, words + 1)) + ", n bigint"
 
 
 def _cut(words, fresh, most: int):
@@ -172,25 +174,25 @@ class Bitmaps:
 class Phrases:
     """A trie of the listed phrases of a shard, all of one length; a node's key is parent * words + word."""
 
-    def __init__(self, bitmaps: Bitmaps, phrases, ids):
+    def __init__(self, bitmaps: Bitmaps, phrases):
         import numpy as np
 
         words = np.searchsorted(bitmaps.ids, phrases)
-        self.w = len(bitmaps.ids)
+        self.w, self.depth = len(bitmaps.ids), words.shape[1]
         self.keys = [np.arange(self.w)]
         node = words[:, 0]
-        for k in range(1, words.shape[1]):
+        for k in range(1, self.depth):
             key = node * self.w + words[:, k]
             self.keys.append(np.unique(key))
             node = np.searchsorted(self.keys[-1], key)
-        self.ids = np.full(len(self.keys[-1]), -1, np.int64)
-        self.ids[node] = ids
+        self.words = np.zeros((len(self.keys[-1]), self.depth), np.int64)
+        self.words[node] = words
         # where a leaf's last words, without its first one, stand in the trie
-        rest, alive = words[:, 1], np.ones(len(words), bool)
-        for k in range(2, words.shape[1]):
+        rest, alive = words[:, 1] if self.depth > 1 else np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        for k in range(2, self.depth):
             rest, found = self.child(k - 1, np.where(alive, rest, 0), words[:, k])
             alive &= found
-        self.rest = np.full(len(self.ids), -1, np.int64)
+        self.rest = np.full(len(self.words), -1, np.int64)
         self.rest[node] = np.where(alive, rest, -1)
 
     def child(self, depth: int, node, word):
@@ -201,9 +203,19 @@ class Phrases:
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         return at, keys[at] == key
 
+    def moved(self, leaf, word):
+        """(the leaf of the last words when ``word`` follows, whether it is listed)."""
+        import numpy as np
+
+        if self.depth == 1:
+            return word.astype(np.int64), np.ones(len(word), bool)
+        rest = self.rest[leaf]
+        to, found = self.child(self.depth - 1, np.maximum(rest, 0), word)
+        return to, found & (rest >= 0)
 
-def _count(bitmaps: Bitmaps, trie: Phrases | None):
-    """(id of phrase, id of word, number) of all extensions that may be frequent, by groups of first words."""
+
+def _count(bitmaps: Bitmaps, trie: Phrases, longest: int):
+    """(words of phrases, numbers) of phrases longer than the listed ones, all of whose runs of their length are listed."""
     import numpy as np
 
     from mosaiq.llm.words import sums_by_key
@@ -213,64 +225,74 @@ def _count(bitmaps: Bitmaps, trie: Phrases | None):
     while at < w:
         at = max(at + 1, int(np.searchsorted(bitmaps.ends, (bitmaps.ends[at - 1] if at else 0) + COMPARED, "right")))
         bounds.append(at)
-    depth = len(trie.keys) if trie else 1
-
-    def follow(k, phrase, block, mask):
-        """Counts of the extensions of phrases of ``k`` words that lead to a leaf."""
-        for parts in bitmaps.extend(phrase, block, mask):
-            node, word, at, both = parts
-            node = node.astype(np.int64)  # a key is of two of them
-            if k < depth:
-                child, found = trie.child(k, node, word)
-                yield from follow(k + 1, child[found], at[found], both[found])
+
+    def down(k, node, block, mask):
+        """(leaf, block, mask) of the listed phrases under nodes of ``k`` words."""
+        if k == trie.depth:
+            yield node, block, mask
+            return
+        for node_, word, block_, both in bitmaps.extend(node, block, mask):
+            child, found = trie.child(k, node_.astype(np.int64), word)
+            yield from down(k + 1, child[found], block_[found], both[found])
+
+    def beyond(words, leaf, phrase, block, mask):
+        """Extensions of phrases: their ``words``, the leaf of their last ones, and (phrase, block, mask) of their ends."""
+        for phrase_, word, block_, both in bitmaps.extend(phrase, block, mask):
+            to, found = trie.moved(leaf[phrase_], word)
+            phrase_, word, block_, both, to = phrase_[found].astype(np.int64), word[found], block_[found], both[found], to[found]
+            key = phrase_ * w + word
+            every, _, n = sums_by_key(key, np.bitwise_count(both).astype(np.int64))
+            if not len(every):
                 continue
-            if trie:
-                rest = trie.rest[node]
-                keep = rest >= 0
-                keep[keep] = trie.child(depth - 1, rest[keep], word[keep])[1]
-                node, word, both = node[keep], word[keep], both[keep]
-            yield sums_by_key(node * w + word, np.bitwise_count(both).astype(np.int64))
+            longer = np.hstack((words[every // w], (every % w)[:, None]))
+            yield longer, n
+            if longer.shape[1] < longest:
+                at = np.searchsorted(every, key)
+                leaves = np.zeros(len(every), np.int64)
+                leaves[at] = to
+                yield from beyond(longer, leaves, at, block_, both)
 
     for first, last in zip(bounds, bounds[1:], strict=False):
-        counted = [(key, n) for key, _, n in follow(1, *bitmaps.of_words(first, last)) if len(key)]
-        if counted:
-            key, _, n = sums_by_key(np.concatenate([k for k, _ in counted]), np.concatenate([n for _, n in counted]))
-            yield (trie.ids if trie else bitmaps.ids)[key // w], bitmaps.ids[key % w], n
+        for leaf, block, mask in down(1, *bitmaps.of_words(first, last)):
+            if len(leaf):
+                yield from beyond(trie.words, np.arange(len(trie.words)), leaf, block, mask)
 
 
-def _found(bitmaps: Bitmaps, trie: Phrases | None):
+def _found(bitmaps: Bitmaps, trie: Phrases, longest: int):
     import numpy as np
     import pyarrow as pa
 
-    for p, w, n in _count(bitmaps, trie):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bitmaps.shard)), pa.array(p), pa.array(w), pa.array(n)], [x.split()[0] for x in FOUND.split(", ")])
+    names = [x.split()[0] for x in _found_schema(longest).split(", ")]
+    for words, n in _count(bitmaps, trie, longest):
+        ids = bitmaps.ids[words]
+        columns = [pa.array(ids[:, k]) if k < ids.shape[1] else pa.nulls(len(n), pa.int64()) for k in range(longest)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), bitmaps.shard)), *columns, pa.array(n)], names)
 
 
 def _pairs(batches):
     for batch in batches:
         for at in range(batch.num_rows):
-            yield from _found(Bitmaps(batch.slice(at, 1)), None)
+            bitmaps = Bitmaps(batch.slice(at, 1))
+            yield from _found(bitmaps, Phrases(bitmaps, bitmaps.ids[:, None]), 2)
     trim_memory()
 
 
-def _longer(shard, listed):
-    import numpy as np
-    import pyarrow as pa
-
-    empty = pa.table([pa.array([], pa.int64())] * 4, [x.split()[0] for x in FOUND.split(", ")])
-    if not shard.num_rows or not listed.num_rows:
-        return empty
-    phrases = listed["ws"].combine_chunks().flatten().to_numpy().reshape(listed.num_rows, -1)
-    bitmaps = Bitmaps(shard)
-    made = pa.Table.from_batches([*empty.to_batches(), *_found(bitmaps, Phrases(bitmaps, phrases, listed["id"].to_numpy()))], empty.schema)
-    trim_memory()
-    return made
+def _longer(longest: int):
+    def find(shard, listed):
+        import numpy as np
+        import pyarrow as pa
 
+        names = [x.split()[0] for x in _found_schema(longest).split(", ")]
+        empty = pa.table([pa.array([], pa.int64())] * len(names), names)
+        if not shard.num_rows or not listed.num_rows:
+            return empty
+        phrases = np.stack([listed[c].to_numpy() for c in listed.column_names if c.startswith("w")], axis=1)
+        bitmaps = Bitmaps(shard)
+        made = pa.Table.from_batches([*empty.to_batches(), *_found(bitmaps, Phrases(bitmaps, phrases), longest)], empty.schema)
+        trim_memory()
+        return made
 
-def _sent(df: DataFrame, size) -> DataFrame:
-    """``df`` with a hint to send it to all, if it is as small as the bounds say."""
-    rows, size = df.agg(F.count("*"), F.sum(size)).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    return find
 
 
 def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -279,30 +301,33 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     shards = materialise(cut_shards(docs), "collocation-shards")
     langs = materialise(shards.groupBy("lang").agg(F.sum("n_words").alias("n")), "collocation-langs")
     listed = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "t")).select("shard", "lang", "code", F.col("t.words").alias("word"), F.col("t.counts").cast("bigint").alias("n"))
-    summed = listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    words = materialise(summed.select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"), "collocation-words")
-    here = listed.join(_sent(words, F.octet_length("word") + 24), ["lang", "word"]).select("shard", "code", "id")
+    # all shards' rows of a word meet, and each frequent one goes back with the word's id and sum
+    of_word = Window.partitionBy("lang", "word")
+    dealt = listed.repartition("lang", "word").withColumn("row", F.monotonically_increasing_id())
+    summed = dealt.withColumns({"f": F.sum("n").over(of_word), "id": F.min("row").over(of_word)}).filter(F.col("f") >= least)
+    told = materialise(summed.select("shard", "code", "lang", "word", "f", "id", (F.col("row") == F.col("id")).alias("first")), "collocation-told-1")
+    words = told.filter("first").select("id", "lang", "word", "f")
     # texts' positions are dealt by shard once; bitmaps of frequent words alone go on
-    maps = materialise(shards.select(F.col("shard").alias("no"), "counts", "positions").groupBy("no").cogroup(here.groupBy("shard")).applyInArrow(_bitmaps, BITMAPS), "collocation-bitmaps")
-    levels = [words.select("id", F.array("id").alias("ws"), "f")]
-    for k in range(2, longest + 1):
-        if k == 2:
-            met = maps.mapInArrow(_pairs, FOUND)
-        else:
-            told = found.join(_sent(levels[-1].select("id", "p", "w", "ws"), F.lit(64)), ["p", "w"]).select("shard", "id", "ws")  # noqa: F821
-            met = maps.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_longer, FOUND)
-        found = materialise(met, f"collocation-found-{k}")
-        sums = found.groupBy("p", "w").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        sums = materialise(sums.select(F.monotonically_increasing_id().alias("id"), "p", "w", "f"), f"collocation-sums-{k}")
-        before = levels[-1].select(F.col("id").alias("p"), F.col("ws").alias("before"))
-        levels.append(materialise(sums.join(before, "p").select("id", "p", "w", F.concat("before", F.array("w")).alias("ws"), "f"), f"collocation-phrases-{k}"))
+    maps = materialise(shards.select(F.col("shard").alias("no"), "counts", "positions").groupBy("no").cogroup(told.select("shard", "code", "id").groupBy("shard")).applyInArrow(_bitmaps, BITMAPS), "collocation-bitmaps")
+    remove_path(spark, shards.__dict__["mosaiq_path"])
+    phrases = words.select(F.array("id").alias("ws"), "f")
+    for k in range(2, min(longest, 3) + 1):
+        names = [f"w{i}" for i in range(1, k + 1)]
+        met = maps.mapInArrow(_pairs, _found_schema(2)) if k == 2 else maps.groupBy("shard").cogroup(told.select("shard", *names[:-1]).groupBy("shard")).applyInArrow(_longer(k), _found_schema(k))
+        of_phrase = Window.partitionBy(*names)
+        summed = met.withColumns({"f": F.sum("n").over(of_phrase), "first": F.row_number().over(of_phrase.orderBy("shard")) == 1})
+        told = materialise(summed.filter(F.col("f") >= least).select("shard", *names, "f", "first"), f"collocation-told-{k}")
+        phrases = phrases.unionByName(told.filter("first").select(F.array(*names).alias("ws"), "f"))
+        del met, summed
         release_shuffles(spark)
-    for made in (shards, maps):
-        remove_path(spark, made.__dict__["mosaiq_path"])
-    phrases = levels[0].select("ws", "f")
-    for level in levels[1:]:
-        phrases = phrases.unionByName(level.select("ws", "f"))
-    return words, materialise(phrases, "collocation-phrases"), langs
+    if longest > 3:
+        names = [f"w{i}" for i in range(1, longest + 1)]
+        met = maps.groupBy("shard").cogroup(told.select("shard", *names[:3]).groupBy("shard")).applyInArrow(_longer(longest), _found_schema(longest))
+        sums = met.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        phrases = phrases.unionByName(sums.select(F.filter(F.array(*names), lambda w: w.isNotNull()).alias("ws"), "f"))
+    phrases = materialise(phrases, "collocation-phrases")
+    remove_path(spark, maps.__dict__["mosaiq_path"])
+    return words, phrases, langs
 
 
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, share: int = 100, most: int = 2000) -> DataFrame:

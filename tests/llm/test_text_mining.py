@@ -134,7 +134,6 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, least, share, most,
     from mosaiq.llm import collocations
 
     monkeypatch.setattr(collocations, "SHARD_WORDS", words)
-    monkeypatch.setattr(collocations, "BROADCAST_ROWS", words - 16)
     found = collocations.collocations(_docs(spark, PHRASES), 5, least, share, most).collect()
     got = [tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in found]
     assert len(got) == len(set(got))
@@ -169,17 +168,23 @@ def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
     made = c._bitmaps(shard, pa.table({"code": pa.array([0, 1, 2, 3], pa.int32()), "id": [40, 10, 30, 20]}))
     ids = dict(zip("abcd", (40, 10, 30, 20), strict=True))
     bitmaps = c.Bitmaps(made)
-    plain = Counter(tuple(ids[w] for w in p[i : i + m]) for p in pieces for m in range(1, 5) for i in range(len(p) - m + 1))
-    got = {(p, w): n for a in c._count(bitmaps, None) for p, w, n in zip(*map(list, a), strict=True)}
-    assert got == {k: n for k, n in plain.items() if len(k) == 2}
-    # of the phrases of three words some are listed; extensions need both parts to be
+    plain = Counter(tuple(ids[w] for w in p[i : i + m]) for p in pieces for m in range(1, 6) for i in range(len(p) - m + 1))
+
+    def counted(trie, longest):
+        out = Counter()
+        for phrases, n in c._count(bitmaps, trie, longest):
+            for p, k in zip(bitmaps.ids[phrases].tolist(), n.tolist(), strict=True):
+                out[tuple(p)] += k
+        return out
+
+    assert counted(c.Phrases(bitmaps, bitmaps.ids[:, None]), 2) == {k: n for k, n in plain.items() if len(k) == 2}
+    # of the phrases of two and three words some are listed; longer ones need all their runs to be
     import numpy as np
 
-    listed = [k for k in plain if len(k) == 3 and plain[k] > 2]
-    trie = c.Phrases(bitmaps, np.array(listed), np.arange(len(listed)) + 100)
-    got = {(*listed[p - 100], w): n for a in c._count(bitmaps, trie) for p, w, n in zip(*map(list, a), strict=True)}
-    assert got == {k: n for k, n in plain.items() if len(k) == 4 and k[:3] in listed and k[1:] in listed}
-    assert len(got) > 20
+    for depth, longest in ((2, 3), (3, 5)):
+        listed = [k for k in plain if len(k) == depth and plain[k] > 2]
+        expected = {k: n for k, n in plain.items() if depth < len(k) <= longest and all(k[i : i + depth] in listed for i in range(len(k) - depth + 1))}
+        assert counted(c.Phrases(bitmaps, np.array(listed)), longest) == expected and len(expected) > 15
 
 
 # operator 13
