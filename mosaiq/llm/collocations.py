@@ -289,6 +289,8 @@ def _longer(longest: int):
         phrases = np.stack([listed[c].to_numpy() for c in listed.column_names if c.startswith("w")], axis=1)
         bitmaps = Bitmaps(shard)
         made = pa.Table.from_batches([*empty.to_batches(), *_found(bitmaps, Phrases(bitmaps, phrases), longest)], empty.schema)
+        # a phrase may be met in several of the runs that are followed one by one
+        made = made.group_by(names[:-1]).aggregate([("n", "sum")]).rename_columns(names)
         trim_memory()
         return made
 
@@ -307,9 +309,12 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     summed = dealt.withColumns({"f": F.sum("n").over(of_word), "id": F.min("row").over(of_word)}).filter(F.col("f") >= least)
     told = materialise(summed.select("shard", "code", "lang", "word", "f", "id", (F.col("row") == F.col("id")).alias("first")), "collocation-told-1")
     words = told.filter("first").select("id", "lang", "word", "f")
+    del dealt, summed
+    release_shuffles(spark)
     # texts' positions are dealt by shard once; bitmaps of frequent words alone go on
     maps = materialise(shards.select(F.col("shard").alias("no"), "counts", "positions").groupBy("no").cogroup(told.select("shard", "code", "id").groupBy("shard")).applyInArrow(_bitmaps, BITMAPS), "collocation-bitmaps")
     remove_path(spark, shards.__dict__["mosaiq_path"])
+    release_shuffles(spark)
     phrases = words.select(F.array("id").alias("ws"), "f")
     for k in range(2, min(longest, 3) + 1):
         names = [f"w{i}" for i in range(1, k + 1)]
