@@ -5,9 +5,8 @@ free after each piece, so nothing that shifts by one crosses a piece. Each word
 language has a position bitmap there, of 16-position blocks of which only those with a bit
 are kept. A phrase's bitmap marks where it ends: shifted by one and ANDed with the bitmaps of
 the words in the same block it gives all its extensions, whose counts are popcounts. Spark sums them
-over the shards, in three passes: pairs of frequent words, then phrases of three words whose pairs are
-frequent, then those of four and more, all of whose runs of three are. Each shard is told only of
-frequent phrases that it holds. Within a shard the phrases under some first words are followed to the end
+over the shards; a phrase of k words is looked for only where both its parts of k - 1 words are frequent,
+and each shard is told only of frequent phrases that it holds. Within a shard the phrases under some first words are followed to the end
 before the next ones are begun, so memory is bounded. Nothing is sent to all executors.
 
 Phrases are arrays of word ids, so equal keys are equal phrases. Languages and words can be as skewed as
@@ -77,7 +76,7 @@ def cut_shards(docs: DataFrame) -> DataFrame:
                 order = np.argsort(codes, kind="stable")
                 positions = (np.arange(len(codes)) + np.cumsum(fresh[begin:end]))[order].astype(np.uint32)
                 counts = np.bincount(codes, minlength=len(coded.dictionary)).astype(np.int32)
-                cells = [number, lang, len(codes), coded.dictionary, counts, np.diff(positions, prepend=np.uint32(0)).astype(np.uint32).tobytes()]
+                cells = [number, lang, len(codes), coded.dictionary, counts, _squeezed(np.diff(positions, prepend=np.uint32(0)).astype(np.uint32))]
                 kinds_of = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, kinds_of, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
                 number, begin = number + 1, end
@@ -113,7 +112,7 @@ def _bitmaps(shard, listed):
     if not shard.num_rows or not listed.num_rows:
         return pa.table([pa.array([], t) for t in kinds], names)
     counts = shard["counts"].combine_chunks().values.to_numpy().astype(np.int64)
-    positions = np.cumsum(np.frombuffer(shard["positions"][0].as_py(), np.uint32), dtype=np.uint32).astype(np.int64)
+    positions = np.cumsum(_restored(shard["positions"][0].as_py(), int(counts.sum()), np.uint32), dtype=np.uint32).astype(np.int64)
     listed = listed.sort_by("id")
     codes = listed["code"].to_numpy()
     ends = np.cumsum(counts)
@@ -123,11 +122,28 @@ def _bitmaps(shard, listed):
     block, bit = at // BLOCK, np.left_shift(1, at % BLOCK)
     first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (block[1:] != block[:-1]))))
     masks = np.add.reduceat(bit, first).astype(np.uint16)
-    cells = [shard["no"][0].as_py(), listed["id"].to_numpy(), np.bincount(of[first], minlength=len(codes)).astype(np.int32), block[first].astype(np.uint32).tobytes(), masks.tobytes()]
+    cells = [shard["no"][0].as_py(), listed["id"].to_numpy(), np.bincount(of[first], minlength=len(codes)).astype(np.int32), _squeezed(np.diff(block[first].astype(np.uint32), prepend=np.uint32(0))), _squeezed(masks)]
     trim_memory()
     return pa.table([pa.array([c], t) for c, t in zip(cells, kinds, strict=True)], names)
 
 
+def _squeezed(values) -> bytes:
+    """Steps of whole numbers, low bytes first and high ones after, compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, kind):
+    import numpy as np
+    import pyarrow as pa
+
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 class Bitmaps:
     """Bitmaps of a shard (a row of ``BITMAPS``), opened: by word, and by block for the words that stand in it."""
 
@@ -138,7 +154,9 @@ class Bitmaps:
         sizes = row["sizes"][0].values.to_numpy()
         self.word = np.repeat(np.arange(len(self.ids), dtype=np.int32), sizes)
         self.ends = np.cumsum(sizes, dtype=np.int64)
-        self.block, self.mask = np.frombuffer(row["blocks"][0].as_py(), np.uint32).astype(np.int32), np.frombuffer(row["masks"][0].as_py(), np.uint16)
+        n = int(sizes.sum())
+        self.block = np.cumsum(_restored(row["blocks"][0].as_py(), n, np.uint32), dtype=np.uint32).astype(np.int32)
+        self.mask = _restored(row["masks"][0].as_py(), n, np.uint16)
         self.by_block = np.argsort(self.block, kind="stable").astype(np.int32)
         n = int(self.block.max()) + 3 if len(self.block) else 3
         self.begins = np.searchsorted(self.block[self.by_block], np.arange(n))
@@ -316,7 +334,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     remove_path(spark, shards.__dict__["mosaiq_path"])
     release_shuffles(spark)
     phrases = words.select(F.array("id").alias("ws"), "f")
-    for k in range(2, min(longest, 3) + 1):
+    for k in range(2, longest + 1):
         names = [f"w{i}" for i in range(1, k + 1)]
         met = maps.mapInArrow(_pairs, _found_schema(2)) if k == 2 else maps.groupBy("shard").cogroup(told.select("shard", *names[:-1]).groupBy("shard")).applyInArrow(_longer(k), _found_schema(k))
         of_phrase = Window.partitionBy(*names)
@@ -325,11 +343,6 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
         phrases = phrases.unionByName(told.filter("first").select(F.array(*names).alias("ws"), "f"))
         del met, summed
         release_shuffles(spark)
-    if longest > 3:
-        names = [f"w{i}" for i in range(1, longest + 1)]
-        met = maps.groupBy("shard").cogroup(told.select("shard", *names[:3]).groupBy("shard")).applyInArrow(_longer(longest), _found_schema(longest))
-        sums = met.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        phrases = phrases.unionByName(sums.select(F.filter(F.array(*names), lambda w: w.isNotNull()).alias("ws"), "f"))
     phrases = materialise(phrases, "collocation-phrases")
     remove_path(spark, maps.__dict__["mosaiq_path"])
     return words, phrases, langs

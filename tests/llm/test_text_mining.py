@@ -163,8 +163,10 @@ def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
             at += 1
         at += 1
     ordered = [p for w in "abcd" for p in positions[w]]
-    steps = [p - q for p, q in zip(ordered, [0, *ordered], strict=False)]
-    shard = pa.table({"no": [3], "counts": pa.array([[len(positions[w]) for w in "abcd"]], pa.list_(pa.int32())), "positions": [b"".join((s % 2**32).to_bytes(4, "little") for s in steps)]})
+    import numpy as np
+
+    steps = np.diff(np.array(ordered, np.uint32), prepend=np.uint32(0))
+    shard = pa.table({"no": [3], "counts": pa.array([[len(positions[w]) for w in "abcd"]], pa.list_(pa.int32())), "positions": [c._squeezed(steps)]})
     made = c._bitmaps(shard, pa.table({"code": pa.array([0, 1, 2, 3], pa.int32()), "id": [40, 10, 30, 20]}))
     ids = dict(zip("abcd", (40, 10, 30, 20), strict=True))
     bitmaps = c.Bitmaps(made)
@@ -179,8 +181,6 @@ def test_bitmaps_follow_phrases_over_blocks_and_not_over_pieces(monkeypatch):
 
     assert counted(c.Phrases(bitmaps, bitmaps.ids[:, None]), 2) == {k: n for k, n in plain.items() if len(k) == 2}
     # of the phrases of two and three words some are listed; longer ones need all their runs to be
-    import numpy as np
-
     for depth, longest in ((2, 3), (3, 5)):
         listed = [k for k in plain if len(k) == depth and plain[k] > 2]
         expected = {k: n for k, n in plain.items() if depth < len(k) <= longest and all(k[i : i + depth] in listed for i in range(len(k) - depth + 1))}
