@@ -13,6 +13,7 @@ from mosaiq.operators import frames as frame_ops
 from mosaiq.operators import coverage, order, pyramid, reduce, regrid, resample, tile_pyramid
 from mosaiq.plans import fixtures as fx
 from mosaiq.sources import chunks, files
+from mosaiq.streaming import reorder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -512,3 +513,36 @@ def tile_regrid(spark, sf_dir):
     cells = fx.raster_e(spark, sf_dir).withColumns({"slide_id": F.lit("e"), "c": F.lit(0).cast("bigint")})
     tiles = cell_ops.cells_to_tiles(cells, TILE_H, TILE_W, h, WIDTH, 1)
     return cell_ops.tiles_to_cells(regrid.regrid_tiles(tiles, YIELD_H, YIELD_W, h, WIDTH)).select("y", "x", "v")
+
+
+# streams
+
+
+def _ended(stream: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """What a stream has written when nothing is left to read."""
+    running = stream.writeStream.format("parquet").outputMode("append").options(path=f"{path}/out", checkpointLocation=f"{path}/checkpoint").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM events), e AS (SELECT event_id % 8 AS s, event_id // 8 AS i, (n + 7 - event_id % 8) // 8 AS m FROM events, n)
+    SELECT 's' || CAST(s AS VARCHAR) AS slide_id, (i * 7919) % m AS k, (i * 7919) % m AS place FROM e""")
+def stream_release(spark, sf_dir):
+    """Events as tiles of eight slides, each of which leaves in order, whatever the order in which they come."""
+    n = fx.table(spark, sf_dir, "events").count()
+    events = spark.readStream.schema("event_id bigint").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+    slide, i = F.col("event_id") % 8, grid.whole_div(F.col("event_id"), 8)
+    m = grid.whole_div(n + 7 - slide, 8)
+    tiles = events.select(F.concat(F.lit("s"), slide.cast("string")).alias("slide_id"), ((i * 7919) % m).alias("k"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("payload"), m.alias("n_tiles"))
+    return _ended(reorder.release_in_order(tiles), spark, files.shared_path(spark, "release")).select("slide_id", "k", "place")
+
+
+@query(f"WITH {E} SELECT y, x, v FROM e")
+def stream_bounded(spark, sf_dir):
+    """Raster E from its packs as a stream of at most eight tiles a micro-batch."""
+    path = files.shared_path(spark, "stream")
+    tiles = chunks.stream_chunks(spark, _stored_e(spark, sf_dir), 8, f"{path}/checkpoint")
+    return cell_ops.tiles_to_cells(_ended(tiles, spark, path)).select("y", "x", "v")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from mosaiq.functions.grid import morton
 from mosaiq.sources import files
@@ -227,8 +227,6 @@ class ChunkReader(DataSourceReader):
         return index
 
     def read(self, partition: Planned) -> Iterator:
-        import pyarrow as pa
-
         for name, newer in partition.packs:
             index = self._index(name)
             for other in newer:
@@ -236,21 +234,94 @@ class ChunkReader(DataSourceReader):
                     index = index.join(self._index(other).select(KEY), list(KEY), join_type="left anti")
             if not index.num_rows:
                 continue
-            index = index.sort_by("offset").combine_chunks()
-            offsets, sizes = index["offset"].to_pylist(), index["size"].to_pylist()
-            system, inside = files.open_fs(f"{self.path}/packs/{name}.pack")
-            with system.open_input_file(inside) as f:
-                at = 0
-                while at < len(offsets):
-                    to = at + 1
-                    while to < len(offsets) and offsets[to] - offsets[to - 1] - sizes[to - 1] <= GAP_BYTES and offsets[to] + sizes[to] - offsets[at] <= BATCH_BYTES:
-                        to += 1
-                    f.seek(offsets[at])
-                    run = f.read(offsets[to - 1] + sizes[to - 1] - offsets[at])
-                    payloads = [run[o - offsets[at] : o - offsets[at] + n] for o, n in zip(offsets[at:to], sizes[at:to], strict=True)]
-                    part = index.slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([*[part[n].combine_chunks() for n in _schema().names[:-1]], pa.array(payloads, pa.binary())], schema=_schema())
-                    at = to
+            yield from _rows(self.path, index, name)
+
+
+def _rows(path: str, index, name: str) -> Iterator:
+    """Batches of a pack's tiles that an index lists, by runs of the file."""
+    import pyarrow as pa
+
+    index = index.sort_by("offset").combine_chunks()
+    offsets, sizes = index["offset"].to_pylist(), index["size"].to_pylist()
+    system, inside = files.open_fs(f"{path}/packs/{name}.pack")
+    with system.open_input_file(inside) as f:
+        at = 0
+        while at < len(offsets):
+            to = at + 1
+            while to < len(offsets) and offsets[to] - offsets[to - 1] - sizes[to - 1] <= GAP_BYTES and offsets[to] + sizes[to] - offsets[at] <= BATCH_BYTES:
+                to += 1
+            f.seek(offsets[at])
+            run = f.read(offsets[to - 1] + sizes[to - 1] - offsets[at])
+            payloads = [run[o - offsets[at] : o - offsets[at] + n] for o, n in zip(offsets[at:to], sizes[at:to], strict=True)]
+            part = index.slice(at, to - at)
+            yield pa.RecordBatch.from_arrays([*[part[n].combine_chunks() for n in _schema().names[:-1]], pa.array(payloads, pa.binary())], schema=_schema())
+            at = to
+
+
+@dataclass
+class Admitted(InputPartition):
+    """Rows of one pack, by their place in its index, that a micro-batch takes."""
+
+    name: str
+    first: int
+    last: int
+
+
+class ChunkStream(DataSourceStreamReader):
+    """Offsets count tiles over all packs, oldest first; one batch is under way at a time."""
+
+    def __init__(self, path: str, most_tiles: int, checkpoint: str):
+        if most_tiles < 1:
+            raise ValueError("most_tiles has to be 1 at least")
+        self.path, self.most = path, most_tiles
+        self.at = self._logged(checkpoint)
+
+    @staticmethod
+    def _logged(checkpoint: str) -> int:
+        """The last offset that the query planned, which it will finish first."""
+        from pyarrow import fs
+
+        system, name = files.open_fs(f"{checkpoint}/offsets")
+        found = [f for f in system.get_file_info(fs.FileSelector(name, allow_not_found=True)) if f.base_name.isdigit()]
+        if not found:
+            return 0
+        last = max(found, key=lambda f: int(f.base_name))
+        with system.open_input_file(last.path) as f:
+            lines = f.read().decode().splitlines()
+        offsets = [json.loads(x) for x in lines[2:] if x.startswith("{")]
+        return next((x["tiles"] for x in offsets if "tiles" in x), 0)
+
+    def initialOffset(self) -> dict:
+        return {"tiles": 0}
+
+    def latestOffset(self) -> dict:
+        there = sum(p["rows"] for p in manifest(self.path)) if versions(self.path) else 0
+        if there < self.at:
+            raise RuntimeError(f"{self.path} has been overwritten while a stream read it")
+        return {"tiles": min(there, self.at + self.most)}
+
+    def partitions(self, start: dict, end: dict) -> list[Admitted]:
+        self.at = max(self.at, end["tiles"])
+        made, before = [], 0
+        for p in manifest(self.path) if end["tiles"] > start["tiles"] else []:
+            first, last = max(0, start["tiles"] - before), min(p["rows"], end["tiles"] - before)
+            if first < last:
+                made.append(Admitted(p["name"], first, last))
+            before += p["rows"]
+        return made
+
+    def read(self, partition: Admitted) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        index = pq.read_table(pa.BufferReader(files.read_bytes(f"{self.path}/packs/{partition.name}.index")))
+        yield from _rows(self.path, index.slice(partition.first, partition.last - partition.first), partition.name)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+    def stop(self) -> None:
+        pass
 
 
 def _meet(a: dict, b: dict) -> bool:
@@ -258,7 +329,7 @@ def _meet(a: dict, b: dict) -> bool:
 
 
 class ChunkSource(DataSource):
-    """Options: path; of readers version (the last one) and task_bytes; of writers pack_bytes."""
+    """Options: path; of readers version (the last one) and task_bytes; of writers pack_bytes; of streams most_tiles and checkpoint."""
 
     @classmethod
     def name(cls) -> str:
@@ -271,6 +342,9 @@ class ChunkSource(DataSource):
         version = self.options.get("version")
         return ChunkReader(self.options["path"], int(version) if version else None, int(self.options.get("task_bytes", TASK_BYTES)))
 
+    def streamReader(self, schema) -> ChunkStream:
+        return ChunkStream(self.options["path"], int(self.options["most_tiles"]), self.options["checkpoint"])
+
     def writer(self, schema, overwrite: bool) -> ChunkWriter:
         return ChunkWriter(self.options["path"], overwrite, int(self.options.get("pack_bytes", PACK_BYTES)))
 
@@ -304,6 +378,12 @@ def read_chunks(spark: SparkSession, path: str, version: int | None = None, task
     return (reader if version is None else reader.option("version", str(version))).load()
 
 
+def stream_chunks(spark: SparkSession, path: str, most_tiles: int, checkpoint: str) -> DataFrame:
+    """``TILES`` of a folder as a stream, at most so many a micro-batch; ``checkpoint`` is the query's checkpointLocation."""
+    register(spark)
+    return spark.readStream.format(FORMAT).options(path=path, most_tiles=str(most_tiles), checkpoint=checkpoint).load()
+
+
 def read_tile(spark: SparkSession, path: str, slide_id: str, level: int, ty: int, tx: int) -> DataFrame:
     """The one tile, or no row; its pack alone is opened."""
     return read_chunks(spark, path).filter((F.col("slide_id") == slide_id) & (F.col("level") == level) & (F.col("ty") == ty) & (F.col("tx") == tx))

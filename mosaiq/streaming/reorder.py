@@ -1,7 +1,9 @@
 """Ordered release on a stream: a tile leaves when all before it have arrived.
 
-State is per slide: the next index, and the tiles that wait for it. A slide that makes no progress
-for ``timeout_ms`` of processing time fails the query; a negative timeout waits for ever.
+State is per slide: the next index as a value, and the tiles that wait for it in a map by index, so a batch
+touches what arrives and what leaves, whatever else is waiting. A processing-time timer runs while
+tiles wait; if it ends before the next one comes the query fails, and a negative time waits for ever.
+When a slide's last tile has left nothing of it is kept.
 """
 
 from __future__ import annotations
@@ -9,35 +11,79 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 RELEASED = "slide_id string, k bigint, payload binary, place bigint"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def release_in_order(tiles: DataFrame, timeout_ms: int = -1) -> DataFrame:
-    """``RELEASED`` of a stream (slide_id, k, payload); ``place`` counts what has left, from 0.
+class Reorder(StatefulProcessor):
+    """State variables: ``following`` (the next index) and ``waiting`` (index to payload)."""
 
-    Indices run from 0 without gaps; one that arrives again after it left is dropped.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.following = handle.getValueState("following", "k bigint")
+        self.waiting = handle.getMapState("waiting", "k bigint", "payload binary")
 
-    def step(key, batches: Iterator, state: GroupState):
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        following, waiting = state.get if state.exists else (0, [])
-        held = {k: bytes(p) for k, p in waiting}
-        if state.hasTimedOut:
-            raise TimeoutError(f"slide {key[0]}: tile {following} has not arrived")
-        for batch in batches:
-            held.update((int(k), bytes(p)) for k, p in zip(batch["k"], batch["payload"], strict=True) if k >= following)
+        first = following = self.following.get()[0] if self.following.exists() else 0
+        come, n_tiles = {}, None
+        for batch in rows:
+            n_tiles = next((int(n) for n in batch["n_tiles"] if n == n and n is not None), n_tiles)
+            come.update((int(k), bytes(p)) for k, p in zip(batch["k"], batch["payload"], strict=True) if k >= following)
         out = []
-        while following in held:
-            out.append((key[0], following, held.pop(following), following))
+        while True:
+            if following in come:
+                payload = come.pop(following)
+                if self.waiting.containsKey((following,)):  # it came twice
+                    self.waiting.removeKey((following,))
+            elif self.waiting.containsKey((following,)):
+                payload = bytes(self.waiting.getValue((following,))[0])
+                self.waiting.removeKey((following,))
+            else:
+                break
+            out.append((key[0], following, payload, following))
             following += 1
-        state.update((following, sorted(held.items())))
-        if held and timeout_ms >= 0:
-            state.setTimeoutDuration(max(1, timeout_ms))
+        for k, payload in come.items():
+            self.waiting.updateValue((k,), (payload,))
+        ended = n_tiles is not None and following >= n_tiles
+        if self.timeout_ms >= 0:
+            timers = list(self.handle.listTimers())
+            if following > first or ended:
+                for timer in timers:
+                    self.handle.deleteTimer(timer)
+                timers = []
+            if not ended and not timers and next(iter(self.waiting.keys()), None) is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        if ended:
+            self.following.clear()
+            self.waiting.clear()
+        else:
+            self.following.update((following,))
         yield pd.DataFrame(out, columns=["slide_id", "k", "payload", "place"])
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms >= 0 else GroupStateTimeout.NoTimeout
-    named = tiles.select("slide_id", "k", "payload")
-    return named.groupBy("slide_id").applyInPandasWithState(step, RELEASED, "following bigint, waiting array<struct<k:bigint,payload:binary>>", "append", timeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        raise TimeoutError(f"slide {key[0]}: tile {self.following.get()[0]} has not arrived")
+
+    def close(self) -> None:
+        pass
+
+
+def release_in_order(tiles: DataFrame, timeout_ms: int = -1) -> DataFrame:
+    """``RELEASED`` of a stream (slide_id, k, payload[, n_tiles]); ``place`` counts what has left, from 0.
+
+    Indices run from 0 without gaps; one that arrives again after it left is dropped. ``n_tiles`` says how many a slide
+    has; its state ends with the last one, and a repeat that comes even later waits as the begin of a new slide.
+    Without it the state of a slide, one number, stays. The session's state store becomes RocksDB, which this needs.
+    """
+    tiles.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    n_tiles = F.col("n_tiles").cast("bigint") if "n_tiles" in tiles.columns else F.lit(None).cast("bigint")
+    named = tiles.select("slide_id", "k", "payload", n_tiles.alias("n_tiles"))
+    mode = "ProcessingTime" if timeout_ms >= 0 else "None"
+    return named.groupBy("slide_id").transformWithStateInPandas(Reorder(timeout_ms), RELEASED, "Append", mode)

@@ -12,7 +12,6 @@ from mosaiq.operators import cells as cell_ops
 from mosaiq.plans import convert as plans
 from mosaiq.sources import codecs, dicom, tiff, zarr
 from mosaiq.sources.slide import Slide, decode_tiles, encode_tiles
-from mosaiq.streaming.reorder import release_in_order
 
 H, W = 75, 53
 
@@ -200,15 +199,3 @@ def test_command_line(spark, image, tmp_path, capsys):
     assert cli.main(["thumbnail", "-i", first, "-o", str(tmp_path / "t.png"), "-s", "10", "12"]) == 0
     with pytest.raises(SystemExit):
         cli.main(["thumbnail", "-i", first, "-o", "x.png"])
-
-
-def test_stream_releases_in_order(spark, tmp_path):
-    order = list(range(12))
-    random.Random(3).shuffle(order)
-    for k in range(0, 12, 4):
-        spark.createDataFrame([("s", i, bytearray([i])) for i in order[k : k + 4]], "slide_id string, k bigint, payload binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("slide_id string, k bigint, payload binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = release_in_order(stream).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert query.awaitTermination(90)
-    got = spark.table("released").orderBy("place").collect()
-    assert [(r.k, bytes(r.payload)) for r in got] == [(i, bytes([i])) for i in range(12)]
