@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.functions import grid, magic, svs, units, vocab
+from mosaiq.functions import expectations, grid, magic, svs, units, vocab
 from mosaiq.operators import cells as cell_ops
 from mosaiq.operators import frames as frame_ops
-from mosaiq.operators import coverage, order, pyramid, reduce, regrid, resample, tile_pyramid
+from mosaiq.operators import coverage, order, pyramid, reduce, reducers, regrid, resample, table_functions, tile_pyramid
 from mosaiq.plans import fixtures as fx
 from mosaiq.sources import chunks, files
 from mosaiq.streaming import reorder
@@ -488,7 +488,16 @@ def layout_missing_runs(spark, sf_dir):
     return coverage.missing_runs(tiles, h, w, 2, 2).select("first", "last")
 
 
-@query()
+DATASETS = " || ',' || ".join(
+    f"""json_object('path', '{k}', 'coordinateTransformations', CASE WHEN id % 5 > 0 THEN json_array(json_object('type', 'scale', 'scale', json_array(mpp * {d}, mpp * {d}, 1.0::DOUBLE))) ELSE json_array(json_object('type', 'identity')) END)"""
+    for k, d in ((0, 1), (1, 2), (2, 4))
+)
+CHANNELS = ",".join(f'{{"active":true,"coefficient":1.0,"color":"{color}","family":"linear","inverted":false,"label":"{label}","window":{{"end":255.0,"max":255.0,"min":0.0,"start":0.0}}}}' for label, color in (("Red", "FF0000"), ("Green", "00FF00"), ("Blue", "0000FF")))
+ZATTRS = f"""'{{"_creator":{{"name":"mosaiq","version":"0.1.0"}},"multiscales":[{{"axes":[{{"name":"y","type":"space","unit":"micrometer"}},{{"name":"x","type":"space","unit":"micrometer"}},{{"name":"c","type":"channel"}}],"datasets":['
+    || {DATASETS} || '],"version":"0.4"}}],"_ARRAY_DIMENSIONS":["y","x","c"],"omero":{{"name":"image","id":1,"channels":[{CHANNELS}],"rdefs":{{"defaultT":0,"defaultZ":0,"model":"color"}},"version":"0.4"}}}}'"""
+
+
+@query(f"WITH {R} SELECT id, {ZATTRS} AS zattrs FROM r")
 def ngff_metadata(spark, sf_dir):
     from mosaiq.functions.ngff import zattrs_json
 
@@ -515,6 +524,58 @@ def tile_regrid(spark, sf_dir):
     return cell_ops.tiles_to_cells(regrid.regrid_tiles(tiles, YIELD_H, YIELD_W, h, WIDTH)).select("y", "x", "v")
 
 
+# expectations, reducers and table functions
+
+SLIDES = """s AS (SELECT p_partkey AS id, 16 * (p_size % 5 + 1) + CASE WHEN p_partkey % 7 = 0 THEN 8 ELSE 0 END AS tile_h, 16 * (p_size % 3 + 1) AS tile_w,
+    CASE WHEN p_partkey % 5 > 0 THEN p_size / 20.0::DOUBLE END AS mpp, CASE p_partkey % 3 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'Zstd' END AS codec, p_partkey % 4 AS k FROM part)"""
+
+
+def _slides(spark, sf_dir):
+    """Headers of slides, one a part."""
+    part, id_ = fx.table(spark, sf_dir, "part"), F.col("p_partkey")
+    tile_h = 16 * (F.col("p_size") % 5 + 1) + F.when(id_ % 7 == 0, 8).otherwise(0)
+    mpp = F.when(id_ % 5 > 0, F.col("p_size") / 20.0)
+    levels = F.when(id_ % 4 == 0, F.array()).when(id_ % 4 == 1, F.array(F.lit(2), F.lit(4))).when(id_ % 4 == 2, F.array(F.lit(2), F.lit(8))).otherwise(F.array(F.lit(4)))
+    sides = F.when(id_ % 4 == 3, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))
+    return part.select(
+        id_.alias("id"), tile_h.alias("tile_h"), (16 * (F.col("p_size") % 3 + 1)).alias("tile_w"), mpp.alias("mpp_y"), mpp.alias("mpp_x"), F.when(id_ % 3 == 0, "JPEG").when(id_ % 3 == 1, "Zstd").alias("codec"),
+        F.lit(96).alias("read_tile_h"), F.lit(96).alias("read_tile_w"), levels.cast("array<int>").alias("downsamples"), sides.alias("size"), F.array(F.lit(1), F.lit(2)).alias("tile"),
+        (F.col("p_size") * 2).alias("ppu_y"), (F.col("p_size") % 9).alias("ppu_x"), (id_ % 2 + 2).alias("unit"),
+    )
+
+
+@query(f"""WITH {SLIDES} SELECT id, tile_h % 16 = 0 AND tile_w % 16 = 0 AS tile_sides, mpp IS NOT NULL AS has_resolution,
+    coalesce(NOT ((1.0::DOUBLE / mpp) * 1e3 = 1 OR (1.0::DOUBLE / mpp) * 1e4 = 1 OR (1.0::DOUBLE / mpp) * 25400.0 IN (1, 72, 150, 300, 1200, 2400) OR mpp > 5), TRUE) AS resolution,
+    k < 2 AS powers_of_two, coalesce(codec <> 'JPEG', TRUE) OR 96 % tile_h = 0 AND 96 % tile_w = 0 AS whole_lossy_tiles, k <> 3 AS ranks,
+    NOT (id % 2 + 2 = 2 AND (p_size * 2 = 72 OR p_size % 9 = 72)) AS no_default_ppi, p_size * 2 <> 0 AND p_size % 9 <> 0 AS no_zero FROM s JOIN part ON p_partkey = id""")
+def slide_validation(spark, sf_dir):
+    """Every rule on every header in one pass; what breaks is counted by an observation of the same job."""
+    rules = {r.name: r for found in (expectations.tiff_rules(), expectations.dicom_rules(), expectations.pyramid_rules(), expectations.lossy_rules(), expectations.resolution_tag_rules()) for r in found}
+    return expectations.verdicts(_slides(spark, sf_dir), list(rules.values()), ["id"])
+
+
+@query(f"""WITH {E}, r AS (SELECT y // 5 AS y, x // 3 AS x, v, row_number() OVER (PARTITION BY y // 5, x // 3 ORDER BY v) AS k, count(*) OVER (PARTITION BY y // 5, x // 3) AS n FROM e)
+    SELECT y, x, v FROM r WHERE k = (n + 1) // 2""")
+def block_reduce_custom(spark, sf_dir):
+    return reducers.block_reduce_custom(fx.raster_e(spark, sf_dir), 5, 3, reducers.Median())
+
+
+@query(f"WITH {GRID_E} SELECT * FROM grid")
+def tile_cover(spark, sf_dir):
+    table_functions.register(spark)
+    sized = fx.table(spark, sf_dir, "embeddings").agg(F.count("*").alias("h"))
+    return spark.sql(f"SELECT t.* FROM {{sized}} s, LATERAL tile_cover(s.h, {WIDTH}, {TILE_H}, {TILE_W}) t", sized=sized)
+
+
+@query(f"""WITH {L}, t AS (SELECT DISTINCT 's' || CAST(y // 2 % 3 AS VARCHAR) AS slide_id, y // 2 AS ty, x // 2 AS tx FROM l)
+    SELECT slide_id, ty, tx, row_number() OVER (PARTITION BY slide_id ORDER BY ty, tx) - 1 AS place, tx - coalesce(lag(tx) OVER (PARTITION BY slide_id, ty ORDER BY tx), -1) - 1 AS gap FROM t""")
+def tile_walk(spark, sf_dir):
+    table_functions.register(spark)
+    tiles, _, _ = _sparse_l(spark, sf_dir)
+    tiles = tiles.withColumn("slide_id", F.concat(F.lit("s"), (F.col("ty") % 3).cast("string"))).drop("level")
+    return spark.sql("SELECT * FROM tile_walk(TABLE({tiles}))", tiles=tiles)
+
+
 # streams
 
 

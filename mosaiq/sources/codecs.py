@@ -104,13 +104,57 @@ DECODE = {
 }
 
 
+#: A session's setting that names a codec's functions, as module:encode and module:decode.
+SETTING = "spark.mosaiq.codec."
+
+
+def register(spark, name: str, encode: str | None, decode: str | None, module_files: tuple[str, ...] = ()) -> None:
+    """Makes a codec known to a session and, with it, to the executors that work for it.
+
+    Functions are named as ``module:function``, of (bytes, level) and of bytes; they are looked up where they are
+    needed. ``module_files`` are sent to the executors, unless these have the modules anyway.
+    """
+    for which in filter(None, (encode, decode)):
+        if which.count(":") != 1:
+            raise ValueError(f"codec {name}: {which} is not module:function")
+    for file in module_files:
+        spark.sparkContext.addPyFile(file)
+    spark.conf.set(f"{SETTING}{name}", f"{encode or ''},{decode or ''}")
+
+
+def _setting(codec: str) -> str | None:
+    """In a task what its session has set, on the driver what the active session has."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    if context is not None:
+        return context.getLocalProperty(f"{SETTING}{codec}")
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    return session.conf.get(f"{SETTING}{codec}", None) if session else None
+
+
+def _resolve(codec: str, which: int):
+    import importlib
+
+    named = (_setting(codec) or ",").split(",")[which]
+    if not named:
+        return None
+    module, function = named.split(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"codec {codec}: {named} is not to be found here") from e
+
+
 def encode(codec: str, data: bytes, level: int | None = None) -> bytes:
-    return ENCODE.get(codec, _refuse)(data, level)
+    return (ENCODE.get(codec) or _resolve(codec, 0) or _refuse)(data, level)
 
 
 def decode(codec: str, data: bytes) -> bytes:
-    return DECODE.get(codec, _refuse)(data)
+    return (DECODE.get(codec) or _resolve(codec, 1) or _refuse)(data)
 
 
 def can_decode(codec: str) -> bool:
-    return codec in DECODE
+    return codec in DECODE or bool((_setting(codec) or ",").split(",")[1])

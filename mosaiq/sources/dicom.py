@@ -49,6 +49,7 @@ def dataset(slide: Slide, about: dict | None = None) -> bytes:
 
 def write_dicom(slide: Slide, path: str, overwrite: bool = False, about: dict | None = None) -> None:
     """Frames in row-major order, as encoded; every tile of the first level is needed."""
+    check_resolution(slide.mpp, required=True)
     header = dataset(slide, about)
     files.claim(path, overwrite)
     across, expected = slide.mosaic[1], slide.mosaic[0] * slide.mosaic[1]

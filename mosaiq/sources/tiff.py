@@ -115,6 +115,7 @@ def check_tiff(slide: Slide) -> None:
 def write_tiff(slide: Slide, path: str, overwrite: bool = False, description: str = "") -> None:
     """A BigTIFF of the encoded tiles. The driver only passes encoded bytes on, one by one."""
     check_tiff(slide)
+    check_resolution(slide.mpp)
     files.claim(path, overwrite)
     system, name = files.open_fs(path)
     if "/" in name:
