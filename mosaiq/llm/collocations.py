@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise, release_shuffles, remove_path, trim_memory
+from mosaiq.llm.common import materialise, remove_path, settle_shuffles, trim_memory
 
 SPACES, STOPS = b" \t", b".,;:!?\n\x0b\x0c\r"
 SLICE_BYTES, SHARD_WORDS = 4 << 20, 1 << 19
@@ -328,11 +328,11 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
     told = materialise(summed.select("shard", "code", "lang", "word", "f", "id", (F.col("row") == F.col("id")).alias("first")), "collocation-told-1")
     words = told.filter("first").select("id", "lang", "word", "f")
     del dealt, summed
-    release_shuffles(spark)
+    settle_shuffles(spark)
     # texts' positions are dealt by shard once; bitmaps of frequent words alone go on
     maps = materialise(shards.select(F.col("shard").alias("no"), "counts", "positions").groupBy("no").cogroup(told.select("shard", "code", "id").groupBy("shard")).applyInArrow(_bitmaps, BITMAPS), "collocation-bitmaps")
     remove_path(spark, shards.__dict__["mosaiq_path"])
-    release_shuffles(spark)
+    settle_shuffles(spark)
     phrases = words.select(F.array("id").alias("ws"), "f")
     for k in range(2, longest + 1):
         names = [f"w{i}" for i in range(1, k + 1)]
@@ -342,7 +342,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 5, least: int = 100) -> tup
         told = materialise(summed.filter(F.col("f") >= least).select("shard", *names, "f", "first"), f"collocation-told-{k}")
         phrases = phrases.unionByName(told.filter("first").select(F.array(*names).alias("ws"), "f"))
         del met, summed
-        release_shuffles(spark)
+        settle_shuffles(spark)
     phrases = materialise(phrases, "collocation-phrases")
     remove_path(spark, maps.__dict__["mosaiq_path"])
     return words, phrases, langs

@@ -6,6 +6,7 @@ import contextlib
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -88,6 +89,16 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle_shuffles(spark: SparkSession) -> None:
+    """Lets the shuffle files of all jobs so far go, those of the last one too.
+
+    Spark holds on to its last job until another follows, so an empty one does; its cleaner gets a second.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    release_shuffles(spark)
+    time.sleep(1)
+
+
 def trim_memory() -> None:
     """In a worker: give freed memory back to the system, which reused workers else keep.
 
