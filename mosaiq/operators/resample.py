@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions.grid import whole_div
 from mosaiq.operators.cells import TILE
+from mosaiq.operators.reduce import mean_pool
 
 
 def sample_index(spark, size: int, target: int, name: str) -> DataFrame:
@@ -37,14 +38,16 @@ BROADCAST_WEIGHTS = 1 << 20
 
 # half widths of the kernels, in source cells or, where the image shrinks, in target cells
 REACH = {"box": 0.5, "bilinear": 1.0, "bicubic": 2.0, "lanczos": 3.0}
-KERNELS = ("nearest", "area", *REACH)
+KERNELS = ("nearest", "area", "spline", *REACH)
+#: Kernels whose weights are whole numbers.
+EXACT = ("area", "box", "bilinear", "spline")
 
 
 def axis_weights(spark: SparkSession, size: int, target: int, kernel: str) -> DataFrame:
     """(o, s, weight) of each target index ``o`` and source index ``s``, one row a pair that counts.
 
-    Weights of area, box and bilinear are whole numbers, whose quotient by their sum is exact; the others are doubles.
-    Kernels widen where the image shrinks, and are cut off at its edges.
+    Weights of area, box, bilinear and spline are whole numbers, whose quotient by their sum is exact; the others are doubles.
+    Kernels widen where the image shrinks, and are cut off at its edges; a spline is linear between cells and keeps corners.
     """
     if kernel not in KERNELS or kernel == "nearest":
         raise KeyError(kernel)
@@ -54,6 +57,11 @@ def axis_weights(spark: SparkSession, size: int, target: int, kernel: str) -> Da
         # in units of 1 / target of a source cell
         first, last = whole_div(o * size, target), whole_div((o + 1) * size - 1, target)
         weight = F.least((s + 1) * target, (o + 1) * size) - F.greatest(s * target, o * size)
+    elif kernel == "spline":
+        step, most = (size - 1 if target > 1 else 0), max(1, target - 1)
+        first = whole_div(o * step, most)
+        last, rest = F.least(first + 1, F.lit(size - 1).cast("bigint")), (o * step) % most
+        weight = F.when(s == first, most - rest).otherwise(rest)
     else:
         wide = max(size, target)
         # distance of the cells' centres, of which 2 * wide make one of the kernel
@@ -84,7 +92,7 @@ def resize(cells: DataFrame, h: int, w: int, to_h: int, to_w: int, kernel: str =
     if min(h, w, to_h, to_w) < 1:
         raise ValueError(f"no resize of {h} by {w} to {to_h} by {to_w}")
     keys = [c for c in cells.columns if c not in ("y", "x", "v")]
-    held = cells.select(*keys, "y", "x", F.col("v").cast("bigint" if kernel in ("area", "box", "bilinear") else "double").alias("v"))
+    held = cells.select(*keys, "y", "x", F.col("v").cast("bigint" if kernel in EXACT else "double").alias("v"))
     axes = sorted((("y", h, to_h), ("x", w, to_w)), key=lambda a: a[2] / a[1])
     for name, size, target in axes:
         weights = axis_weights(cells.sparkSession, size, target, kernel).withColumnsRenamed({"s": name, "o": f"to_{name}"})
@@ -97,13 +105,55 @@ def resize(cells: DataFrame, h: int, w: int, to_h: int, to_w: int, kernel: str =
         total = axis_weights(cells.sparkSession, size, target, kernel).groupBy(F.col("o").alias(name)).agg(F.sum("weight").alias(f"total_{name}"))
         held = held.join(F.broadcast(total) if target <= BROADCAST_WEIGHTS else total, name)
     total = F.col("total_y") * F.col("total_x")
-    if kernel in ("area", "box", "bilinear"):
+    if kernel in EXACT:
         v = F.expr("(2 * v + total_y * total_x) div (2 * total_y * total_x)")
     else:
         v = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(F.col("v") / total + 0.5)))
     return held.select("y", "x", *keys, v.cast("bigint").alias("v"))
 
 
+#: Ways to downsample by a whole factor.
+METHODS = ("mean", "area", "box", "spline")
+
+
+def downsample(cells: DataFrame, h: int, w: int, factor: int, method: str = "mean") -> DataFrame:
+    """Cells of the raster reduced by a factor.
+
+    ``mean`` leaves out what fills no block and truncates; ``area`` and ``box`` resize to the whole part of
+    the quotient and round; ``spline`` resizes to the quotient rounded half to even.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown method: {method}")
+    if method == "mean":
+        return mean_pool(cells, factor, h, w)
+    to = [round(n / factor) if method == "spline" else n // factor for n in (h, w)]
+    return resize(cells, h, w, *to, method)
+
+
+def thumbnail_shape(h: int, w: int, most_h: int, most_w: int) -> tuple[int, int]:
+    """Sides of the largest image of the same shape within others, rounded down; 1 at least."""
+    # the smaller quotient, compared without dividing
+    if most_h * w <= most_w * h:
+        return max(1, most_h), max(1, w * most_h // h)
+    return max(1, h * most_w // w), max(1, most_w)
+
+
+def svs_thumbnail_shape(h: int, w: int, tile_h: int, tile_w: int) -> tuple[int, int]:
+    """Sides of the thumbnail that a slide file carries: within the mosaic's, or 1024 where that is more."""
+    return thumbnail_shape(h, w, max(h // tile_h, 1024), max(w // tile_w, 1024))
+
+
+def thumbnail_fit(cells: DataFrame, h: int, w: int, most_h: int, most_w: int) -> DataFrame:
+    """An image that keeps its shape within the sides: every 2^k-th cell, of which a bilinear resize is made.
+
+    2^k is the largest power of two that leaves the strided image no smaller than the thumbnail.
+    """
+    step = 1
+    while 2 * step * most_h <= h or 2 * step * most_w <= w:
+        step *= 2
+    return resize(stride(cells, step), -(-h // step), -(-w // step), *thumbnail_shape(h, w, most_h, most_w), "bilinear")
+
+
 def spline_zoom(tiles: DataFrame, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
     """Order-1 spline zoom of packed tiles: rectangles of the new raster, which together cover it.
 

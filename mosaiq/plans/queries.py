@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -360,44 +361,67 @@ def resample_stride(spark, sf_dir):
     return resample.stride(fx.raster_e(spark, sf_dir), 4)
 
 
-def _area(n: str, o: str, m: int) -> str:
-    """SQL of the area weights of one axis: o, s, w."""
-    return f"SELECT o, s, least((s + 1) * {m}, (o + 1) * {n}) - greatest(s * {m}, o * {n}) AS w FROM (SELECT o, n, unnest(range(o * {n} // {m}, ((o + 1) * {n} - 1) // {m} + 1)) AS s FROM {o})"
+def _area(o: str) -> str:
+    """SQL of the area weights of an axis of n cells and m targets: o, s, w."""
+    return f"SELECT o, s, least((s + 1) * m, (o + 1) * n) - greatest(s * m, o * n) AS w FROM (SELECT o, n, m, unnest(range(o * n // m, ((o + 1) * n - 1) // m + 1)) AS s FROM {o})"
 
 
-def _linear(n: str, o: str, m: int) -> str:
-    """SQL of the bilinear weights of one axis, whole numbers: o, s, w."""
-    return f"SELECT * FROM (SELECT o, s, greatest(0, 2 * greatest({n}, {m}) - abs(2 * {m} * s - (2 * o + 1) * {n} + {m})) AS w FROM (SELECT o, n, unnest(range(0, {n})) AS s FROM {o})) WHERE w > 0"
+def _kernel(weight: str):
+    """SQL of the weights, whole numbers, of a kernel that widens where the image shrinks."""
+    return lambda o: f"SELECT * FROM (SELECT o, s, {weight} AS w FROM (SELECT *, abs(2 * m * s - (2 * o + 1) * n + m) AS far FROM (SELECT o, n, m, unnest(range(0, n)) AS s FROM {o}))) WHERE w > 0"
 
 
-def _resized(axis, to_h: int, to_w: int) -> str:
-    return f"""WITH {E}, oy AS (SELECT h AS n, unnest(range(0, {to_h})) AS o FROM size), ox AS (SELECT w AS n, unnest(range(0, {to_w})) AS o FROM size),
-        wy AS ({axis("n", "oy", to_h)}), wx AS ({axis("n", "ox", to_w)}), dy AS (SELECT o, sum(w) AS d FROM wy GROUP BY o), dx AS (SELECT o, sum(w) AS d FROM wx GROUP BY o),
-        r AS (SELECT wy.o AS y, x, sum(CAST(v * w AS HUGEINT)) AS v FROM e JOIN wy ON s = y GROUP BY ALL), c AS (SELECT y, o AS x, sum(v * w) AS v FROM r JOIN wx ON s = x GROUP BY ALL)
+_linear, _box = _kernel("greatest(0, 2 * greatest(n, m) - far)"), _kernel("CASE WHEN far <= greatest(n, m) THEN 1 ELSE 0 END")
+
+
+def _spline(o: str) -> str:
+    """SQL of the weights between corners."""
+    at = f"SELECT o, o * (n - 1) // (m - 1) AS a, o * (n - 1) % (m - 1) AS r, m - 1 AS d FROM {o}"
+    return f"SELECT o, a AS s, d - r AS w FROM ({at}) UNION ALL SELECT o, a + 1, r FROM ({at}) WHERE r > 0"
+
+
+def _resized(axis, to_h: object, to_w: object, cells: str = "e", size: str = "size") -> str:
+    """SQL of a resize of ``cells``, whose sides ``size`` has as h and w."""
+    return f"""oy AS (SELECT h AS n, {to_h} AS m, unnest(range(0, {to_h})) AS o FROM {size}), ox AS (SELECT w AS n, {to_w} AS m, unnest(range(0, {to_w})) AS o FROM {size}),
+        wy AS ({axis("oy")}), wx AS ({axis("ox")}), dy AS (SELECT o, sum(w) AS d FROM wy GROUP BY o), dx AS (SELECT o, sum(w) AS d FROM wx GROUP BY o),
+        r AS (SELECT wy.o AS y, x, sum(CAST(v * w AS HUGEINT)) AS v FROM {cells} JOIN wy ON s = y GROUP BY ALL), c AS (SELECT y, o AS x, sum(v * w) AS v FROM r JOIN wx ON s = x GROUP BY ALL)
         SELECT c.y, c.x, CAST((2 * c.v + dy.d * dx.d) // (2 * dy.d * dx.d) AS BIGINT) AS v FROM c JOIN dy ON dy.o = c.y JOIN dx ON dx.o = c.x"""
 
 
-@query(_resized(_area, 77, 100))
+@query(f"WITH {E}, {_resized(_area, 77, 100)}")
 def resize_area(spark, sf_dir):
     return resample.resize(fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir), WIDTH, 77, 100, "area").select("y", "x", "v")
 
 
-@query(_resized(_linear, 77, 100))
+@query(f"WITH {E}, {_resized(_linear, 77, 100)}")
 def resize_bilinear(spark, sf_dir):
     return resample.resize(fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir), WIDTH, 77, 100, "bilinear").select("y", "x", "v")
 
 
-@query(f"""WITH {E}, m AS (SELECT h, w, CAST(round_even(h / 3.0, 0) AS BIGINT) AS mh, CAST(round_even(w / 3.0, 0) AS BIGINT) AS mw FROM size),
-    ys AS (SELECT o, o * (h - 1) // (mh - 1) AS a, o * (h - 1) % (mh - 1) AS r, mh - 1 AS d FROM (SELECT h, mh, unnest(range(0, mh)) AS o FROM m)),
-    xs AS (SELECT o, o * (w - 1) // (mw - 1) AS a, o * (w - 1) % (mw - 1) AS r, mw - 1 AS d FROM (SELECT w, mw, unnest(range(0, mw)) AS o FROM m)),
-    wy AS (SELECT o, a AS s, d - r AS k, d FROM ys UNION ALL SELECT o, a + 1, r, d FROM ys WHERE r > 0), wx AS (SELECT o, a AS s, d - r AS k, d FROM xs UNION ALL SELECT o, a + 1, r, d FROM xs WHERE r > 0)
-    SELECT wy.o AS y, wx.o AS x, CAST((2 * sum(v * wy.k * wx.k) + any_value(wy.d * wx.d)) // (2 * any_value(wy.d * wx.d)) AS BIGINT) AS v FROM e JOIN wy ON wy.s = e.y JOIN wx ON wx.s = e.x GROUP BY wy.o, wx.o""")
+THIRDS = "CAST(round_even(h / 3.0, 0) AS BIGINT)", "CAST(round_even(w / 3.0, 0) AS BIGINT)"
+
+
+@query(f"WITH {E}, {_resized(_spline, *THIRDS)}")
 def spline_zoom(spark, sf_dir):
     h = fx.height_e(spark, sf_dir)
     made = resample.spline_zoom(_tiles_e(spark, sf_dir).drop("level"), h, WIDTH, round(h / 3), round(WIDTH / 3))
     return cell_ops.tiles_to_cells(made).select("y", "x", "v")
 
 
+@query(f"""WITH {E} SELECT 'mean' AS method, y // 3 AS y, x // 3 AS x, {BYTE_MEAN} AS v FROM e, size WHERE y < h // 3 * 3 AND x < w // 3 * 3 GROUP BY ALL
+    UNION ALL SELECT 'area', * FROM (WITH {_resized(_area, "h // 3", "w // 3")}) UNION ALL SELECT 'box', * FROM (WITH {_resized(_box, "h // 3", "w // 3")}) UNION ALL SELECT 'spline', * FROM (WITH {_resized(_spline, *THIRDS)})""")
+def downsample_methods(spark, sf_dir):
+    cells, h = fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir)
+    made = [resample.downsample(cells, h, WIDTH, 3, m).select(F.lit(m).alias("method"), "y", "x", "v") for m in resample.METHODS]
+    return functools.reduce(DataFrame.unionByName, made)
+
+
+@query(f"""WITH {E}, fit AS (SELECT h, w, CAST(pow(2, floor(log2(greatest(h / 100.0, w / 16.0)))) AS BIGINT) AS step, CASE WHEN 100 * w <= 16 * h THEN 100 ELSE h * 16 // w END AS th, CASE WHEN 100 * w <= 16 * h THEN w * 100 // h ELSE 16 END AS tw FROM size),
+    strided AS (SELECT y // step AS y, x // step AS x, v FROM e, fit WHERE y % step = 0 AND x % step = 0), sides AS (SELECT CAST(ceil(h / step) AS BIGINT) AS h, CAST(ceil(w / step) AS BIGINT) AS w, th, tw FROM fit), {_resized(_linear, "th", "tw", "strided", "sides")}""")
+def thumbnail_fit(spark, sf_dir):
+    return resample.thumbnail_fit(fx.raster_e(spark, sf_dir), fx.height_e(spark, sf_dir), WIDTH, 100, 16).select("y", "x", "v")
+
+
 # frames and order
 
 

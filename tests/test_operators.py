@@ -264,6 +264,27 @@ def test_a_spline_zoom_is_linear_between_corners(spark, th, tw, to_h, to_w):
             assert (found[i, j] == (2 * both + d * e) // (2 * d * e)).all(), (i, j)
 
 
+def test_splines_of_cells_and_of_tiles_agree(spark):
+    image = np.random.default_rng(9).integers(0, 256, (13, 11, 1), np.uint8)
+    cells = _cells(spark, image)
+    for to_h, to_w in ((5, 20), (13, 1), (1, 4)):
+        found, _ = _unpacked(resample.spline_zoom(_packed(spark, image, 4, 3), 13, 11, to_h, to_w), to_h, to_w, 1)
+        assert {(r.y, r.x): r.v for r in resample.resize(cells, 13, 11, to_h, to_w, "spline").collect()} == {(y, x): found[y, x, 0] for y in range(to_h) for x in range(to_w)}
+
+
+def test_methods_of_downsampling_and_shapes_of_thumbnails(spark):
+    image = _image(9, 8, 1)
+    cells = _cells(spark, image)
+    with pytest.raises(ValueError, match="unknown method"):
+        resample.downsample(cells, 9, 8, 2, "sharp")
+    sides = {m: {(r.y, r.x) for r in resample.downsample(cells, 9, 8, 2, m).collect()} for m in resample.METHODS}
+    assert all(len(sides[m]) == 4 * 4 for m in resample.METHODS)  # 9 / 2 is rounded to even
+    assert resample.thumbnail_shape(500, 64, 100, 16) == (100, 12) and resample.thumbnail_shape(64, 500, 100, 16) == (2, 16) and resample.thumbnail_shape(10, 10, 30, 20) == (20, 20)
+    assert resample.svs_thumbnail_shape(50_000, 30_000, 16, 16) == (3125, 1875) and resample.svs_thumbnail_shape(4096, 2048, 256, 256) == (1024, 512)
+    fit = {(r.y, r.x): r.v for r in resample.thumbnail_fit(cells, 9, 8, 3, 3).collect()}
+    assert {k for k in fit} == {(y, x) for y in range(3) for x in range(2)}
+
+
 @pytest.mark.parametrize("cascade", [True, False])
 @pytest.mark.parametrize(("factors", "missing"), [([2, 4, 8], False), ([3, 6], False), ([2, 4], True)])
 def test_a_tile_pyramid_equals_pooling(spark, monkeypatch, cascade, factors, missing):
