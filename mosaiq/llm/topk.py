@@ -27,8 +27,8 @@ BUCKET, QUERY_BLOCK = 2048, 512
 #: Local cosine threshold from which coordinates prune better than lengths.
 COORDINATE_FROM, FOCUS = 0.6, 6
 SEED_BUCKETS = 2
-#: Buckets that a block of queries meets together.
-CHUNK = 16
+#: Buckets that a block of queries meets together, at least; they are more where else there were too many chunks.
+CHUNK, MOST_CHUNKS = 16, 1 << 16
 
 PACKED = "bucket bigint, n bigint, width int, longest double, shortest double, ids binary, data binary"
 
@@ -152,19 +152,35 @@ def _candidates(queries: _Bucket, thresholds, bucket: _Bucket):
         yield some, candidates
 
 
-def _meetings(blocks: DataFrame, buckets: DataFrame) -> DataFrame:
+def _chunks(buckets: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(bucket, chunk) in the order of lengths, and each chunk's longest length (``MOST_CHUNKS`` numbers at most).
+
+    A bucket's number has its range and its place in it, so places need a count a range and no order over all buckets.
+    """
+    part, within = F.shiftright("bucket", 32), F.col("bucket").bitwiseAND(F.lit(0xFFFFFFFF))
+    held = buckets.select("bucket", "longest", part.alias("part"), within.alias("within"))
+    counts = held.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = max(CHUNK, -(-total // MOST_CHUNKS))
+    place = F.floor((F.col("base") + F.col("within")) / size)
+    dealt = materialise(held.join(bases, "part").select("bucket", "longest", place.alias("chunk")), "bucket-chunks")
+    heads = dict(dealt.groupBy("chunk").agg(F.max("longest")).collect())
+    reach = [heads[c] for c in range(len(heads))]
+    for c in range(len(reach) - 2, -1, -1):  # rounding must not hide a longer one behind
+        reach[c] = max(reach[c], reach[c + 1])
+    return dealt, reach
+
+
+def _meetings(blocks: DataFrame, buckets: DataFrame, dealt: DataFrame) -> DataFrame:
     """Blocks of the stated queries beside the buckets that are long enough for one of their queries.
 
-    Buckets are dealt to chunks in the order of their lengths (one narrow row a bucket), and a block goes to
-    the chunks that it needs: joins by chunk, each of whose sides Spark may send out if it is small.
+    A block goes to the first ``last`` chunks, which are those that it needs: joins by chunk, each of whose sides
+    Spark may send out if it is small.
     """
-    place = F.floor((F.row_number().over(Window.orderBy(F.desc("longest"), "bucket")) - 1) / CHUNK)
-    dealt = materialise(buckets.select("bucket", "longest", place.alias("chunk")), "bucket-chunks")
-    heads = dealt.groupBy("chunk").agg(F.max("longest").alias("reach"))
-    chunks = (dealt.agg(F.max("chunk")).first()[0] or 0) + 1
-    enough = F.col("reach") * (1 + 1e-9) >= F.col("need")
-    wanted = blocks.select("block", "need", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")).alias("chunk")).join(heads, "chunk").filter(enough)
-    asked = blocks.join(wanted.select("block", "chunk"), "block")
+    wanted = blocks.filter("last > 0").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - 1)).alias("chunk"))
+    asked = blocks.join(wanted, "block")
     return asked.join(buckets.join(dealt.select("bucket", "chunk"), "bucket"), "chunk").filter(F.col("longest") * (1 + 1e-9) >= F.col("need"))
 
 
@@ -175,6 +191,7 @@ def top_products(vectors: DataFrame, is_query: Column, id_column: str = "vec_id"
     buckets = materialise(_pack(whole, BUCKET), "norm-buckets")
     blocks = materialise(_pack(asked, QUERY_BLOCK), "query-blocks")
     seeds = [(r.n, r.width, bytes(r.ids), bytes(r.data)) for r in buckets.orderBy(F.desc("longest"), "bucket").limit(SEED_BUCKETS).collect()]
+    dealt, reach = _chunks(buckets)
     sent = vectors.sparkSession.sparkContext.broadcast(seeds)
 
     def seed(batches):
@@ -197,12 +214,14 @@ def top_products(vectors: DataFrame, is_query: Column, id_column: str = "vec_id"
                 floor = np.where(np.abs(floor) >= 2.0**53, np.nextafter(floor, -np.inf), floor)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(queries.lengths > 0, floor / queries.lengths, np.where(floor > 0, np.inf, -np.inf)).min()
-                cells = [row["bucket"], row["n"], row["width"], row["ids"], row["data"], floor.tobytes(), float(need)]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["block", "q_n", "q_width", "q_ids", "q_data", "floors", "need"])
-
-    seeded = blocks.mapInArrow(seed, "block bigint, q_n bigint, q_width int, q_ids binary, q_data binary, floors binary, need double")
-    pairs = _meetings(materialise(seeded, "query-blocks"), buckets)
+                # chunks are ordered, so those that are long enough come first
+                last = int((np.array(reach) * (1 + 1e-9) >= need).sum())
+                cells = [row["bucket"], row["n"], row["width"], row["ids"], row["data"], floor.tobytes(), float(need), last]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], ["block", "q_n", "q_width", "q_ids", "q_data", "floors", "need", "last"])
+
+    seeded = blocks.mapInArrow(seed, "block bigint, q_n bigint, q_width int, q_ids binary, q_data binary, floors binary, need double, last bigint")
+    pairs = _meetings(materialise(seeded, "query-blocks"), buckets, dealt)
 
     def search(batches):
         import numpy as np

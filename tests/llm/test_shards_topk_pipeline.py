@@ -146,6 +146,41 @@ def test_coordinates_prune_and_lose_nothing():
     assert seen < 5 * 300
 
 
+def test_blocks_of_queries_meet_the_first_chunks_only(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topk, "BUCKET", 4)
+    monkeypatch.setattr(topk, "CHUNK", 2)
+    monkeypatch.setattr(topk, "MOST_CHUNKS", 20)
+    rng = np.random.default_rng(5)
+    rows = [(k, (rng.normal(size=3) * (k % 23)).tolist()) for k in range(300)]
+    whole = topk._whole(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding", 256.0)
+    buckets = topk.materialise(topk._pack(whole, topk.BUCKET), "buckets")
+    dealt, reach = topk._chunks(buckets)
+    found = dealt.orderBy("chunk").collect()
+    n = len(found)
+    size = max(2, -(-n // 20))
+    assert len(reach) == -(-n // size) <= 20 and reach == sorted(reach, reverse=True)
+    assert sorted(r.bucket for r in found) == sorted(r.bucket for r in buckets.collect())
+    for r in found:
+        assert r.longest <= reach[r.chunk] and (r.chunk + 1 == len(reach) or r.longest >= reach[r.chunk + 1] * (1 - 1e-9))
+    # two blocks: one needs a prefix of the chunks, the other none
+    blocks = topk.materialise(spark.createDataFrame([(0, 3, float(reach[2])), (1, 0, float("inf"))], "block bigint, last bigint, need double"), "blocks")
+    met = topk._meetings(blocks, buckets, dealt).collect()
+    assert {r.bucket for r in met} == {r.bucket for r in found if r.longest * (1 + 1e-9) >= reach[2]} and {r.block for r in met} == {0}
+    assert {r.chunk for r in met} <= {0, 1, 2}
+
+
+def test_queries_of_one_id_are_rows_each(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.5]), (2, [0.5, 1.0]), (2, [0.5, 1.0])]
+    found = topk.top_products(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, k=2).collect()
+    plain = []
+    for i, q in rows[:2]:
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:2]
+        plain += [(i, k, j, -s) for k, (s, j) in enumerate(scores, 1)]
+    assert sorted(map(tuple, found)) == sorted(plain)
+
+
 def test_topk_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk.top_products(frame, F.col("vec_id") % 50 == 0).count() == 0
