@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import vocab
+from mosaiq.functions.expectations import check_resolution
 from mosaiq.operators.frames import frame_offsets
 from mosaiq.sources import files
 from mosaiq.sources.slide import ENCODED, Slide

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mosaiq import cli
 from mosaiq.operators import cells as cell_ops
@@ -163,6 +164,19 @@ def test_dicom_round_trip_and_transcoding_pass_payloads(spark, tmp_path):
         dicom.write_dicom(slide, str(tmp_path / "b.dcm"))
 
 
+def test_sinks_tell_of_doubtful_resolutions_and_folders_are_published_whole(spark, image, tmp_path):
+    with pytest.warns(UserWarning, match="print size"):
+        tiff.write_tiff(slide_of(spark, image, 16, 16, "DEFLATE", mpp=(25400 / 72, 0.5)), str(tmp_path / "a.tiff"))
+    path = str(tmp_path / "z.zarr")
+    zarr.write_zarr(slide_of(spark, image, 16, 16, "Zlib"), path)
+    broken = slide_of(spark, 255 - image, 16, 16, "Zlib")
+    broken.tiles = broken.tiles.withColumn("payload", F.when((F.col("ty") == 3) & (F.col("tx") == 1), F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("payload")))
+    with pytest.raises(Exception, match="lost"):
+        zarr.write_zarr(broken, path, overwrite=True)
+    assert (pixels(plans.open_slide(spark, path)) == image).all()
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".part")] == []
+
+
 def test_transcoding_refuses_what_cannot_pass(spark, image, tmp_path):
     tiff.write_tiff(slide_of(spark, image, 16, 16, "DEFLATE"), str(tmp_path / "a.tiff"))
     with pytest.raises(ValueError, match="cannot pass"):
