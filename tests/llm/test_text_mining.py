@@ -140,6 +140,15 @@ def test_collocations_equal_plain_counts(spark, monkeypatch, least, share, most,
     assert set(got) == _plain_collocations(PHRASES, 5, least, share, most)
 
 
+def test_op12_on_a_folder(spark, tmp_path):
+    from mosaiq.llm.queries import op12_collocations
+
+    rows = [(k, "one two three, four five six seven. one two! " + "alpha beta gamma delta epsilon zeta " * (k % 3), "en" if k % 5 else None, "s") for k in range(150)]
+    _docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op12_collocations(spark, str(tmp_path)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    assert set(map(tuple, found.collect())) == _plain_collocations(rows, 5, 100, 100, 2000)
+
+
 def test_collocations_of_no_rows(spark):
     from mosaiq.llm.collocations import collocations
 
