@@ -627,7 +627,7 @@ def stream_release(spark, sf_dir):
 
 @query(f"WITH {E} SELECT y, x, v FROM e")
 def stream_bounded(spark, sf_dir):
-    """Raster E from its packs as a stream of at most eight tiles a micro-batch."""
+    """Raster E from its packs as a stream of at most 64 tiles a micro-batch."""
     path = files.shared_path(spark, "stream")
-    tiles = chunks.stream_chunks(spark, _stored_e(spark, sf_dir), 8, f"{path}/checkpoint")
+    tiles = chunks.stream_chunks(spark, _stored_e(spark, sf_dir), 64, f"{path}/checkpoint")
     return cell_ops.tiles_to_cells(_ended(tiles, spark, path)).select("y", "x", "v")
