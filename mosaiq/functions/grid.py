@@ -78,7 +78,12 @@ def grid(spark: SparkSession, h: int, w: int, tile_h: int, tile_w: int) -> DataF
     """Every tile of an array in row-major order: ty, tx, y0, y1, x0, x1 (clamped)."""
     rows, cols = -(-h // tile_h), -(-w // tile_w)
     ids = spark.range(rows * cols).select(whole_div(F.col("id"), cols).alias("ty"), (F.col("id") % cols).alias("tx"))
-    return ids.select("ty", "tx", tile_start(F.col("ty"), tile_h).alias("y0"), tile_stop(F.col("ty"), tile_h, h).alias("y1"), tile_start(F.col("tx"), tile_w).alias("x0"), tile_stop(F.col("tx"), tile_w, w).alias("x1"))
+    return bounded(ids, h, w, tile_h, tile_w)
+
+
+def bounded(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
+    """ty, tx of tiles with their bounds: y0, y1, x0, x1 (clamped)."""
+    return tiles.select("ty", "tx", tile_start(F.col("ty"), tile_h).alias("y0"), tile_stop(F.col("ty"), tile_h, h).alias("y1"), tile_start(F.col("tx"), tile_w).alias("x0"), tile_stop(F.col("tx"), tile_w, w).alias("x1"))
 
 
 # twins

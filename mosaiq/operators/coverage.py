@@ -1,50 +1,88 @@
 """Which tiles of a grid are there: bitmaps of buckets, and the runs that are missing.
 
 Row-major indices go to buckets of 32768 bits. A bucket's bitmap and its inner gaps need only its own
-rows; the gaps between buckets need one row a bucket, ordered within a slide's level.
+rows, in any order and with repeats; the gaps between buckets need one row a bucket, ordered within a slide's level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions.grid import tile_start, tile_stop, tiles_across, whole_div
 
 LEVEL = ("slide_id", "level")
+#: A gap between buckets is laid out in pieces of so many tiles, and one task has pieces of about so many.
+PIECE, TASK_TILES = 1 << 16, 1 << 24
+
+
+def _held(tiles: DataFrame, across: Column | int, down: Column | int, keys: Sequence[str], partitions: int | None) -> DataFrame:
+    """keys, bucket and row-major index of the tiles within the grid, dealt by bucket; repeats stay."""
+    inside = tiles.filter((F.col("ty") >= 0) & (F.col("ty") < down) & (F.col("tx") >= 0) & (F.col("tx") < across))
+    held = inside.select(*keys, (F.col("ty").cast("bigint") * across + F.col("tx")).alias("idx"))
+    held = held.withColumn("bucket", F.bitmap_bucket_number(F.col("idx") + 1))  # bitmaps count from 1
+    return held.repartition(partitions, *keys, "bucket") if partitions else held
 
 
-def coverage(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
-    """slide_id, level, bucket, n_present, bitmap of the tiles (slide_id, level, ty, tx); repeats count once."""
-    idx = F.col("ty") * tiles_across(w, tile_w) + F.col("tx") + 1  # bitmaps count from 1
-    inside = tiles.filter((F.col("ty") >= 0) & (F.col("ty") < tiles_across(h, tile_h)) & (F.col("tx") >= 0) & (F.col("tx") < tiles_across(w, tile_w)))
-    bits = inside.select(*LEVEL, F.bitmap_bucket_number(idx).alias("bucket"), F.bitmap_bit_position(idx).alias("bit"))
-    made = bits.groupBy(*LEVEL, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    return made.select(*LEVEL, "bucket", F.bitmap_count("bitmap").alias("n_present"), "bitmap")
+def _bitmaps(held: DataFrame, keys: Sequence[str]) -> DataFrame:
+    bits = held.select(*keys, "bucket", F.bitmap_bit_position(F.col("idx") + 1).alias("bit"))
+    return bits.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).withColumn("n_present", F.bitmap_count("bitmap"))
 
 
-def missing_runs(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
+def _gaps(held: DataFrame, n: Column | int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """keys, first, last of the indices that are missing: within buckets, and between and after them.
+
+    Without keys all is one level, which may hold nothing.
+    """
+    of_bucket = Window.partitionBy(*keys, "bucket").orderBy("idx")
+    gaps = held.select(*keys, (F.lag("idx").over(of_bucket) + 1).alias("first"), (F.col("idx") - 1).alias("last"))
+    ends = held.groupBy(*keys, "bucket").agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
+    of_level = Window.partitionBy(*keys).orderBy("bucket")
+    between = ends.select(*keys, (F.coalesce(F.lag("high").over(of_level), F.lit(-1)) + 1).alias("first"), (F.col("low") - 1).alias("last"))
+    tail = ends.groupBy(*keys).agg((F.coalesce(F.max("high"), F.lit(-1)) + 1).alias("first")).select(*keys, "first", (F.lit(n) - 1).cast("bigint").alias("last"))
+    some = F.col("first") <= F.col("last")
+    return gaps.filter(some), between.unionByName(tail).filter(some)
+
+
+def coverage(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
+    """slide_id, level, bucket, n_present, bitmap of the tiles (slide_id, level, ty, tx); repeats count once.
+
+    ``partitions``, here and below: among how many tasks buckets are dealt, for tiles too many for as many as Spark picks.
+    """
+    held = _held(tiles, tiles_across(w, tile_w), tiles_across(h, tile_h), LEVEL, partitions)
+    return _bitmaps(held, LEVEL).select(*LEVEL, "bucket", "n_present", "bitmap")
+
+
+def missing_runs(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
     """slide_id, level, first, last: the maximal runs of row-major indices of which there is no tile.
 
     A level of which there is no tile at all is no level here.
     """
-    across, n = tiles_across(w, tile_w), tiles_across(h, tile_h) * tiles_across(w, tile_w)
-    idx = F.col("ty") * across + F.col("tx")
-    inside = tiles.filter((F.col("ty") >= 0) & (F.col("ty") < tiles_across(h, tile_h)) & (F.col("tx") >= 0) & (F.col("tx") < across))
-    held = inside.select(*LEVEL, idx.alias("idx")).distinct().withColumn("bucket", F.bitmap_bucket_number(F.col("idx") + 1))
-    of_bucket = Window.partitionBy(*LEVEL, "bucket").orderBy("idx")
-    gaps = held.select(*LEVEL, (F.lag("idx").over(of_bucket) + 1).alias("first"), (F.col("idx") - 1).alias("last"))
-    ends = held.groupBy(*LEVEL, "bucket").agg(F.min("idx").alias("low"), F.max("idx").alias("high"))
-    of_level = Window.partitionBy(*LEVEL).orderBy("bucket")
-    between = ends.select(*LEVEL, (F.coalesce(F.lag("high").over(of_level), F.lit(-1)) + 1).alias("first"), (F.col("low") - 1).alias("last"))
-    tail = ends.groupBy(*LEVEL).agg((F.max("high") + 1).alias("first")).select(*LEVEL, "first", (n - 1).alias("last"))
-    return gaps.unionByName(between).unionByName(tail).filter(F.col("first") <= F.col("last"))
-
-
-def layout_summary(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
+    across, down = tiles_across(w, tile_w), tiles_across(h, tile_h)
+    inner, outer = _gaps(_held(tiles, across, down, LEVEL, partitions), across * down, LEVEL)
+    return inner.unionByName(outer)
+
+
+def blanks(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
+    """ty, tx of the grid's tiles that ``tiles`` (ty, tx) lacks; the grid itself is neither made nor shuffled.
+
+    Gaps are laid out where they are found; those between buckets, which may be long, are dealt in pieces.
+    """
+    down, across = -(-h // tile_h), -(-w // tile_w)
+    inner, outer = _gaps(_held(tiles, across, down, (), partitions), down * across, ())
+    starts = outer.select(F.explode(F.sequence("first", "last", F.lit(PIECE))).alias("first"), "last")
+    pieces = starts.select("first", F.least("last", F.col("first") + (PIECE - 1)).alias("last"))
+    n = max(tiles.sparkSession.sparkContext.defaultParallelism, -(-down * across // TASK_TILES))
+    idx = inner.unionByName(pieces.repartition(n)).select(F.explode(F.sequence("first", "last")).alias("idx"))
+    return idx.select(whole_div(F.col("idx"), across).alias("ty"), (F.col("idx") % across).alias("tx"))
+
+
+def layout_summary(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
     """slide_id, level, n_tiles, n_present, n_runs, whole: what is there of each level, and whether all is."""
-    present = coverage(tiles, h, w, tile_h, tile_w).groupBy(*LEVEL).agg(F.sum("n_present").alias("n_present"))
-    runs = missing_runs(tiles, h, w, tile_h, tile_w).groupBy(*LEVEL).agg(F.count("*").alias("n_runs"))
+    present = coverage(tiles, h, w, tile_h, tile_w, partitions).groupBy(*LEVEL).agg(F.sum("n_present").alias("n_present"))
+    runs = missing_runs(tiles, h, w, tile_h, tile_w, partitions).groupBy(*LEVEL).agg(F.count("*").alias("n_runs"))
     n = tiles_across(h, tile_h) * tiles_across(w, tile_w)
     joined = present.join(runs, list(LEVEL), "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0).cast("bigint")))
     return joined.select(*LEVEL, n.alias("n_tiles"), "n_present", "n_runs", (F.col("n_present") == n).alias("whole"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions.grid import whole_div
+
 TILE_H, TILE_W, WIDTH = 48, 24, 64
+#: Rows that one task of a raster of rows takes.
+TASK_ROWS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +27,27 @@ def height_e(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "embeddings").count()
 
 
-def raster_l(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by parts, sparse, three channels in rows: y, x, c, v."""
-    grouped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x")).agg(F.sum("l_quantity").cast("bigint").alias("a"), F.sum("l_linenumber").cast("bigint").alias("b"), F.count("*").alias("n"))
+def partitions_l(spark: SparkSession, sf_dir: str) -> int:
+    """Among how many tasks the rows of raster L are dealt, so that no task's tables and sorts grow with the input."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
+
+
+def raster_l(spark: SparkSession, sf_dir: str, block_h: int = 1, block_w: int = 1) -> DataFrame:
+    """Suppliers by parts, sparse, three channels in rows: by, bx, y, x, c, v.
+
+    Dealt by block (by, bx), so that what groups by it needs no other shuffle.
+    """
+    y, x = F.col("l_suppkey"), F.col("l_partkey")
+    rows = table(spark, sf_dir, "lineitem").select(whole_div(y, block_h).alias("by"), whole_div(x, block_w).alias("bx"), y.alias("y"), x.alias("x"), "l_quantity", "l_linenumber")
+    dealt = rows.repartition(partitions_l(spark, sf_dir), "by", "bx")
+    grouped = dealt.groupBy("by", "bx", "y", "x").agg(F.sum("l_quantity").cast("bigint").alias("a"), F.sum("l_linenumber").cast("bigint").alias("b"), F.count("*").alias("n"))
     stacked = F.posexplode(F.array(F.col("a") % 256, F.col("b") % 256, F.col("n") % 256)).alias("c", "v")
-    return grouped.select("y", "x", stacked).withColumn("c", F.col("c").cast("bigint"))
+    return grouped.select("by", "bx", "y", "x", stacked).withColumn("c", F.col("c").cast("bigint"))
+
+
+def places_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y, x of the cells that raster L has, some more than once."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("y"), F.col("l_partkey").alias("x"))
 
 
 def extent_l(spark: SparkSession, sf_dir: str) -> tuple[int, int]:

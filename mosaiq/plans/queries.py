@@ -494,22 +494,22 @@ SPARSE = """n AS (SELECT CAST(ceil(h / 2) AS BIGINT) AS down, CAST(ceil(w / 2) A
 
 
 def _sparse_l(spark, sf_dir):
-    """The tiles of two by two cells that raster L has, and its extents."""
-    cells = fx.raster_l(spark, sf_dir).filter("c = 0")
-    tiles = cells.select(F.lit("l").alias("slide_id"), F.lit(0).alias("level"), grid.whole_div(F.col("y"), 2).alias("ty"), grid.whole_div(F.col("x"), 2).alias("tx")).distinct()
+    """The tiles of two by two cells that raster L has, some more than once, and its extents."""
+    cells = fx.places_l(spark, sf_dir)
+    tiles = cells.select(F.lit("l").alias("slide_id"), F.lit(0).alias("level"), grid.whole_div(F.col("y"), 2).alias("ty"), grid.whole_div(F.col("x"), 2).alias("tx"))
     return tiles, *fx.extent_l(spark, sf_dir)
 
 
 @query(f"WITH {L}, {SPARSE} SELECT 'l' AS slide_id, CAST(0 AS INTEGER) AS level, down * across AS n_tiles, (SELECT count(*) FROM have) AS n_present, (SELECT count(*) FROM runs) AS n_runs, (SELECT count(*) FROM have) = down * across AS whole FROM n")
 def layout_coverage(spark, sf_dir):
     tiles, h, w = _sparse_l(spark, sf_dir)
-    return coverage.layout_summary(tiles, h, w, 2, 2)
+    return coverage.layout_summary(tiles, h, w, 2, 2, fx.partitions_l(spark, sf_dir))
 
 
 @query(f"WITH {L}, {SPARSE} SELECT first, last FROM runs")
 def layout_missing_runs(spark, sf_dir):
     tiles, h, w = _sparse_l(spark, sf_dir)
-    return coverage.missing_runs(tiles, h, w, 2, 2).select("first", "last")
+    return coverage.missing_runs(tiles, h, w, 2, 2, fx.partitions_l(spark, sf_dir)).select("first", "last")
 
 
 DATASETS = " || ',' || ".join(
@@ -596,7 +596,7 @@ def tile_cover(spark, sf_dir):
 def tile_walk(spark, sf_dir):
     table_functions.register(spark)
     tiles, _, _ = _sparse_l(spark, sf_dir)
-    tiles = tiles.withColumn("slide_id", F.concat(F.lit("s"), (F.col("ty") % 3).cast("string"))).drop("level")
+    tiles = tiles.withColumn("slide_id", F.concat(F.lit("s"), (F.col("ty") % 3).cast("string"))).drop("level").distinct()
     return spark.sql("SELECT * FROM tile_walk(TABLE({tiles}))", tiles=tiles)
 
 
