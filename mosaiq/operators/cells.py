@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.functions.grid import grid, whole_div
+from mosaiq.functions.grid import bounded, grid, whole_div
+from mosaiq.operators.coverage import blanks
 
 TILE = "slide_id string, ty bigint, tx bigint, y0 bigint, x0 bigint, h bigint, w bigint, c bigint, payload binary"
 
@@ -73,9 +74,9 @@ def pool_tiles(tiles: DataFrame, factor: int, tile_h: int, tile_w: int) -> DataF
     return tiles.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in TILE.split(", ")]).mapInArrow(pool, TILE)
 
 
-def blank_tiles(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
-    """Tiles of the grid that ``tiles`` lacks."""
-    return grid(tiles.sparkSession, h, w, tile_h, tile_w).join(tiles.select("ty", "tx").distinct(), ["ty", "tx"], "left_anti")
+def blank_tiles(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
+    """Tiles of the grid that ``tiles`` lacks; what is shuffled grows with ``tiles``, not with the grid."""
+    return bounded(blanks(tiles, h, w, tile_h, tile_w, partitions), h, w, tile_h, tile_w)
 
 
 def fill_blanks(tiles: DataFrame, value: str, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
