@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.functions.grid import bounded, grid, whole_div
+from mosaiq.functions.grid import bounded, whole_div
 from mosaiq.operators.coverage import blanks
 
 TILE = "slide_id string, ty bigint, tx bigint, y0 bigint, x0 bigint, h bigint, w bigint, c bigint, payload binary"
@@ -79,10 +79,12 @@ def blank_tiles(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, part
     return bounded(blanks(tiles, h, w, tile_h, tile_w, partitions), h, w, tile_h, tile_w)
 
 
-def fill_blanks(tiles: DataFrame, value: str, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
+def fill_blanks(tiles: DataFrame, value: str, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
     """Every tile of the grid; 0 where there is none."""
-    whole = grid(tiles.sparkSession, h, w, tile_h, tile_w).select("ty", "tx")
-    return whole.join(tiles.select("ty", "tx", value), ["ty", "tx"], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    inside = F.col("ty").between(0, -(-h // tile_h) - 1) & F.col("tx").between(0, -(-w // tile_w) - 1)
+    held = tiles.filter(inside).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"), F.coalesce(value, F.lit(0)).alias(value))
+    missing = blanks(tiles, h, w, tile_h, tile_w, partitions)
+    return held.unionByName(missing.select("ty", "tx", F.lit(0).cast(held.schema[value].dataType).alias(value)))
 
 
 def region(cells: DataFrame, rows: slice, columns: slice, h: int, w: int) -> DataFrame:

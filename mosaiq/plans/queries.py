@@ -341,7 +341,7 @@ def blank_tiles(spark, sf_dir):
 
 @query(f"WITH {L}, {GRID_L} SELECT ty, tx, coalesce(v, 0) AS v FROM grid LEFT JOIN t USING (ty, tx)")
 def blank_fill(spark, sf_dir):
-    return cell_ops.fill_blanks(_tiles_l(spark, sf_dir), "v", *fx.extent_l(spark, sf_dir), 8, 8)
+    return cell_ops.fill_blanks(_tiles_l(spark, sf_dir), "v", *fx.extent_l(spark, sf_dir), 8, 8, fx.partitions_l(spark, sf_dir))
 
 
 @query(f"WITH {E} SELECT y, x, v FROM e WHERE y >= 17 AND y < 400 AND x >= 5")
