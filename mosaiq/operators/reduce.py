@@ -19,9 +19,12 @@ def trim(cells: DataFrame, h: int, w: int, block_h: int, block_w: int) -> DataFr
 
 
 def block_reduce(cells: DataFrame, block_h: int, block_w: int, aggregates: list[Column]) -> DataFrame:
-    """Any aggregates of each block; the reducer is the caller's (pooled min, max, a UDAF, ...)."""
-    keys = [whole_div(F.col("y"), block_h).alias("y"), whole_div(F.col("x"), block_w).alias("x")]
-    return cells.groupBy(*keys, *(["c"] if "c" in cells.columns else [])).agg(*aggregates)
+    """Any aggregates of each block; the reducer is the caller's (pooled min, max, a UDAF, ...).
+
+    Cells that already have their block as ``by`` and ``bx`` are not shuffled where they are dealt by it.
+    """
+    named = cells if {"by", "bx"} <= set(cells.columns) else cells.withColumns({"by": whole_div(F.col("y"), block_h), "bx": whole_div(F.col("x"), block_w)})
+    return named.groupBy("by", "bx", *(["c"] if "c" in cells.columns else [])).agg(*aggregates).withColumnsRenamed({"by": "y", "bx": "x"})
 
 
 def mean_pool(cells: DataFrame, factor: int, h: int | None = None, w: int | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ def thumbnail_tiled(spark, sf_dir):
 @query(f"WITH {L} SELECT y // 4 AS y, x // 4 AS x, c, {BYTE_MEAN} AS v FROM l, size WHERE y < h // 4 * 4 AND x < w // 4 * 4 GROUP BY ALL")
 def pool_channels(spark, sf_dir):
     h, w = fx.extent_l(spark, sf_dir)
-    return reduce.mean_pool(fx.raster_l(spark, sf_dir), 4, h, w)
+    return reduce.mean_pool(fx.raster_l(spark, sf_dir, 4, 4), 4, h, w)
 
 
 CASCADE = f"""{E}, a AS (SELECT y // 2 AS y, x // 2 AS x, {BYTE_MEAN} AS v FROM e, size WHERE y < h // 2 * 2 AND x < w // 2 * 2 GROUP BY ALL),
