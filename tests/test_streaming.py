@@ -128,3 +128,44 @@ def test_a_stream_needs_a_bound(spark, tmp_path):
         chunks.ChunkStream(str(tmp_path), 0, str(tmp_path))
     empty = chunks.ChunkStream(str(tmp_path / "none"), 5, str(tmp_path / "cp"))
     assert empty.latestOffset() == {"tiles": 0} and empty.partitions({"tiles": 0}, {"tiles": 0}) == []
+
+
+def test_what_can_leave_in_its_batch_never_touches_the_state():
+    import pandas as pd
+
+    from mosaiq.streaming.reorder import Reorder
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, v: setattr(self, "held", v)
+        clear = lambda self: setattr(self, "held", None)
+
+    class Waiting(dict):
+        touched = 0
+
+        def containsKey(self, k):
+            self.touched += 1
+            return k in self
+
+        def updateValue(self, k, v):
+            self.touched += 1
+            self[k] = v
+
+        def getValue(self, k):
+            return self[k]
+
+        def removeKey(self, k):
+            del self[k]
+
+    made = Reorder(-1)
+    made.following, made.waiting = Value(), Waiting()
+    ks = random.Random(5).sample(range(1000), 1000)
+    frame = lambda ks, mark=b"": pd.DataFrame({"k": ks, "payload": [mark + b"%d" % k for k in ks], "n_tiles": [None] * len(ks)})
+    out = pd.concat(made.handleInputRows(("a",), iter([frame([3], b"old"), frame(ks)]), None))
+    assert list(out["k"]) == list(out["place"]) == list(range(1000)) and list(out["payload"]) == [b"%d" % k for k in range(1000)]
+    assert made.waiting.touched == 0 and made.following.held == (1000,)
+    assert not list(made.handleInputRows(("a",), iter([frame([1001, 1003, 1004, 7])]), None)) and sorted(made.waiting) == [(1001,), (1003,), (1004,)]
+    out = pd.concat(made.handleInputRows(("a",), iter([frame([1000, 1002, 1003], b"new")]), None))
+    assert list(out["payload"]) == [b"new1000", b"1001", b"new1002", b"new1003", b"1004"] and not made.waiting
