@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.types import IntegralType, LongType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
+from mosaiq.functions.grid import whole_div
+
+#: Rows of tiles of a band.
+BAND = 64
+
 
 class TileCover:
     """``tile_cover(h, w, tile_h, tile_w)``: ty, tx, y0, y1, x0, x1 of every tile, row-major, clamped. For LATERAL joins."""
@@ -37,7 +43,9 @@ class TileWalk:
     """A walk over the tiles of each slide in row-major order; subclasses say what a tile gives.
 
     ``SELECT * FROM name(TABLE(tiles))``: the table needs slide_id, ty and tx. Spark deals it by slide and
-    sorts it, one slide goes by one tile at a time, and ``visit`` keeps what it likes in between.
+    sorts it, one slide goes by one tile at a time, and ``visit`` keeps what it likes in between. A table with
+    ``band`` and ``first_place`` (see ``banded``) is dealt by slide and band: each band is a walk of its own
+    whose places go on from those of the bands before it.
     """
 
     #: Columns of the result, as DDL.
@@ -52,6 +60,8 @@ class TileWalk:
         yield tile["slide_id"], tile["ty"], tile["tx"], self.place, gap
 
     def eval(self, tile: Row) -> Iterator[tuple]:
+        if self.before is None and "first_place" in tile:
+            self.place = tile["first_place"]
         yield from self.visit(tile)
         self.place, self.before = self.place + 1, (tile["ty"], tile["tx"])
 
@@ -65,11 +75,25 @@ def _handler(walk: type[TileWalk]) -> type[TileWalk]:
         def analyze(tiles: AnalyzeArgument) -> AnalyzeResult:
             if not tiles.isTable or not {"slide_id", "ty", "tx"} <= set(tiles.dataType.names):
                 raise ValueError("a table with slide_id, ty and tx is needed")
-            return AnalyzeResult(returns, partitionBy=[PartitioningColumn("slide_id")], orderBy=[OrderingColumn("ty"), OrderingColumn("tx")])
+            by = ["slide_id", *(["band"] if {"band", "first_place"} <= set(tiles.dataType.names) else [])]
+            return AnalyzeResult(returns, partitionBy=[PartitioningColumn(n) for n in by], orderBy=[OrderingColumn("ty"), OrderingColumn("tx")])
 
     return Walk
 
 
+def banded(tiles: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Distinct tiles with their ``band`` of rows and its ``first_place``, for walks that need nothing of the rows before.
+
+    One row a slide and band is broadcast. ``partitions``: among how many tasks the bands are dealt.
+    """
+    named = tiles.withColumn("band", whole_div(F.col("ty"), BAND))
+    held = (named.repartition(partitions, "slide_id", "band") if partitions else named).distinct()
+    before = Window.partitionBy("slide_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    counts = held.groupBy("slide_id", "band").agg(F.count("*").alias("n"))
+    firsts = counts.select(F.col("slide_id").alias("_slide"), F.col("band").alias("_band"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_place"))
+    return held.join(F.broadcast(firsts), F.col("slide_id").eqNullSafe(F.col("_slide")) & F.col("band").eqNullSafe(F.col("_band"))).drop("_slide", "_band")
+
+
 def register(spark: SparkSession, walks: dict[str, type[TileWalk]] | None = None) -> None:
     """Makes ``tile_cover``, ``tile_walk`` and walks of the caller's own known to SQL."""
     spark.udtf.register("tile_cover", udtf(TileCover))

@@ -596,7 +596,8 @@ def tile_cover(spark, sf_dir):
 def tile_walk(spark, sf_dir):
     table_functions.register(spark)
     tiles, _, _ = _sparse_l(spark, sf_dir)
-    tiles = tiles.withColumn("slide_id", F.concat(F.lit("s"), (F.col("ty") % 3).cast("string"))).drop("level").distinct()
+    tiles = tiles.withColumn("slide_id", F.concat(F.lit("s"), (F.col("ty") % 3).cast("string"))).drop("level")
+    tiles = table_functions.banded(tiles, fx.partitions_l(spark, sf_dir))
     return spark.sql("SELECT * FROM tile_walk(TABLE({tiles}))", tiles=tiles)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from mosaiq.operators import cells as cell_ops
-from mosaiq.operators import coverage, reduce
+from mosaiq.operators import coverage, reduce, table_functions
 from mosaiq.plans import fixtures as fx
 from mosaiq.plans import queries
 
@@ -48,3 +50,13 @@ def test_rows_of_raster_l_are_dealt_once_by_block_to_as_many_tasks_as_they_need(
     cells, (h, w) = fx.raster_l(spark, sf_dir), fx.extent_l(spark, sf_dir)
     by_cells = reduce.mean_pool(cells.drop("by", "bx"), 4, h, w)
     assert sorted(map(tuple, pooled.collect())) == sorted(map(tuple, by_cells.collect()))
+
+
+def test_a_walk_is_dealt_by_bands_of_a_slide(spark):
+    places = [(s, ty, tx) for s in "ab" for ty in range(0, 300, 7) for tx in (1, 4, 5)]
+    tiles = spark.createDataFrame(places + places[:9], "slide_id string, ty bigint, tx bigint").repartition(3)
+    table_functions.register(spark)
+    walked = spark.sql("SELECT * FROM tile_walk(TABLE({tiles}))", tiles=table_functions.banded(tiles, 8))
+    gaps = {1: 1, 4: 2, 5: 0}
+    assert sorted(tuple(r) for r in walked.collect()) == [(s, ty, tx, k % 129, gaps[tx]) for k, (s, ty, tx) in enumerate(places)]
+    assert re.search(r"hashpartitioning\(slide_id#\d+, band#\d+L?, 8\)", _plan(walked))
