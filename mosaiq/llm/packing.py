@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import materialise, trim_memory
 
 PIECES = (
     "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
@@ -27,6 +27,10 @@ PIECES = (
 REST_BASE = 1 << 60
 
 
+#: Texts of a batch that are held as Python strings at once.
+TEXTS = 256
+
+
 class _Packer:
     """Places pieces of one partition; ``out`` collects pieces of emitted sequences."""
 
@@ -103,11 +107,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int =
 
         from mosaiq.llm.tokens import encoder
 
+        if not encoder.cache_info().currsize:
+            trim_memory()  # a worker of other stages holds what they freed
         encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         packer = _Packer(part, size, windows)
         held = 0
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 packer.add(doc_id, ids := encode(text or "") + end)
                 held += len(ids)
