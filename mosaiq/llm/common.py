@@ -84,8 +84,10 @@ def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of frames that nothing refers to any more.
 
     It does so when the driver collects its garbage, which may be long after a lineage was cut.
+    This process gives its own freed memory back, too.
     """
     gc.collect()
+    trim_memory()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -100,7 +102,7 @@ def settle_shuffles(spark: SparkSession) -> None:
 
 
 def trim_memory() -> None:
-    """In a worker: give freed memory back to the system, which reused workers else keep.
+    """Give freed memory back to the system, which the driver and reused workers else keep.
 
     Encoders go too, with the words' ids that they keep: what calls this does not tokenise.
     """

@@ -9,8 +9,8 @@ text's end, so they overlap and cover every word; a text has the score of its wo
 
 Training reads all labelled texts that are not held out, whole. The first component of each vector
 starts at its smoothed log-odds in all of them. A text teaches by its worst window, as its score
-is that window's. A common start is learnt in numpy on the
-driver, from at most ``SAMPLE`` texts of each label, those with the smallest hashes of their ids,
+is that window's. A common start is learnt in numpy by one
+task, from at most ``SAMPLE`` texts of each label, those with the smallest hashes of their ids,
 none longer than ``SAMPLE_BYTES``, with ``SAMPLE_WINDOWS`` more windows of clean texts at most: at first by the windows with the highest log-odds, then by those that
 the network itself finds worst. If that is not all there is, the start names the worst windows of
 every text, and in each of ``FULL_ROUNDS`` rounds every partition trains on its own; the mean of the
@@ -139,6 +139,17 @@ class Network:
         p |= {"look": draw(2 * h, ATTENTION, scale=0.3), "look_bias": np.zeros(ATTENTION, np.float32), "weigh": draw(ATTENTION, scale=0.3), "out": draw(2 * h, scale=0.3), "out_bias": np.full(1, -1, np.float32)}
         return cls(p)
 
+    def packed(self, names: list[str]) -> bytes:
+        return b"".join(self.p[k].astype("<f4").tobytes() for k in names)
+
+    def unpacked(self, data: bytes, names: list[str]) -> Network:
+        """A network of this one's shapes."""
+        import numpy as np
+
+        shapes = [self.p[k].shape for k in names]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+        return Network({k: part.reshape(s).copy() for k, s, part in zip(names, shapes, np.split(np.frombuffer(data, "<f4"), ends), strict=True)})
+
     def project(self, inputs: Inputs):
         x = inputs.vectors(self.p["words"], self.p["heads"], self.p["grams"])
         return x, {s: x @ self.p[f"in_{s}"] + self.p[f"bias_{s}"] for s in "fb"}
@@ -379,14 +390,20 @@ def _known(labels: DataFrame, modulus: int) -> DataFrame:
     return known.where(~held_out(F.col("doc_id"), modulus)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> tuple[list, list]:
-    """Texts and labels to start from; bounded, so they fit on the driver."""
+def _sample_rows(docs: DataFrame, labels: DataFrame, modulus: int, sample: int) -> DataFrame:
+    """text and label (0 or 1) of the rows to start from, in one partition and in order; 2 * sample at most."""
     known = _known(labels, modulus)
     parts = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows at most, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).select("text", "toxic").collect()
-    return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
+    first = texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample)
+    return first.select("text", (F.col("toxic") > 0).cast("int").alias("label"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> tuple[list, list]:
+    """Texts and labels to start from; bounded, so they fit on the driver."""
+    rows = _sample_rows(docs, labels, modulus, sample).collect()
+    return [r.text for r in rows], [r.label for r in rows]
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, modulus: int = 4) -> DataFrame:
@@ -463,7 +480,7 @@ def _train_round(windows: DataFrame, network: Network, seed: int) -> Network:
     """The mean of the networks that each partition learns from its own windows."""
     import numpy as np
 
-    names, shapes = list(network.p), [v.shape for v in network.p.values()]
+    names = list(network.p)
     sent = windows.sparkSession.sparkContext.broadcast(network.p)
 
     def train(batches):
@@ -490,7 +507,7 @@ def _train_round(windows: DataFrame, network: Network, seed: int) -> Network:
         if texts:
             seen += learn()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([b"".join(mine.p[k].astype("<f4").tobytes() for k in names)], pa.binary())], ["seen", "model"])
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([mine.packed(names)], pa.binary())], ["seen", "model"])
         trim_memory()
 
     def mean(x, y):
@@ -502,19 +519,44 @@ def _train_round(windows: DataFrame, network: Network, seed: int) -> Network:
 
     trained = windows.mapInArrow(train, "seen bigint, model binary").rdd.map(lambda r: (r[0], bytes(r[1])))
     seen, data = trained.treeAggregate((0, b""), mean, mean, 3)
-    if not seen:
-        return network
-    ends = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-    return Network({k: part.reshape(s).copy() for k, s, part in zip(names, shapes, np.split(np.frombuffer(data, "<f4"), ends), strict=True)})
+    return network.unpacked(data, names) if seen else network
+
+
+def learn_start(rows: DataFrame, tally: tuple) -> tuple[int, Network]:
+    """How many texts ``rows`` (text, label, one partition) has, and ``train_network`` of them.
+
+    A task learns: the driver holds neither the texts nor what learning needs, some hundred MB.
+    """
+    blank = Network.start()
+    names = list(blank.p)
+    sent = rows.sparkSession.sparkContext.broadcast(tally)
+
+    def train(batches):
+        import pyarrow as pa
+
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch["text"].to_pylist()
+            labels += batch["label"].to_pylist()
+        if texts:
+            made = train_network(texts, labels, tally=sent.value).packed(names)
+            yield pa.RecordBatch.from_arrays([pa.array([len(texts)], pa.int64()), pa.array([made], pa.binary())], ["seen", "model"])
+        del texts
+        trim_memory()
+
+    found = rows.mapInArrow(train, "seen bigint, model binary").collect()
+    if not found:
+        return 0, train_network([], [], tally=tally)
+    (row,) = found
+    return row.seen, blank.unpacked(bytes(row.model), names)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, sample: int = SAMPLE) -> Network:
     """A network learnt from every labelled text that is not held out."""
     training = training_texts(docs, labels, modulus)
     texts, seen = tally_texts(training)
-    known = training_sample(docs, labels, modulus, sample)
-    network = train_network(*known, tally=(texts, seen))
-    if texts.sum() == len(known[0]):
+    known, network = learn_start(_sample_rows(docs, labels, modulus, sample), (texts, seen))
+    if texts.sum() == known:
         return network
     windows = materialise(_worst_windows(training, network), "toxic-windows")
     for k in range(FULL_ROUNDS):

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -231,3 +232,36 @@ def test_toxicity_learns_from_texts_beyond_the_sample(spark, make_docs, monkeypa
     scores = [{r.doc_id: r.score for r in toxicity.score_toxicity(docs, n).collect() if held[r.doc_id]} for n in networks]
     right, of_sample = [np.mean([(s >= toxicity.THRESHOLD) == marks[k] for k, s in one.items()]) for one in scores]
     assert right > 0.85 and of_sample < 0.75
+
+
+def test_the_start_is_learnt_by_a_task(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", (1, 1))
+    texts, marks = _texts(60, 5)
+    docs, labels = make_docs(texts), spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    tally = toxicity.tally_texts(toxicity.training_texts(docs, labels))
+    want = toxicity.train_network(*toxicity.training_sample(docs, labels), tally=tally)
+    driver, real = os.getpid(), toxicity.train_network
+
+    def elsewhere(*args, **more):
+        assert os.getpid() != driver, "the driver holds what learning needs"
+        return real(*args, **more)
+
+    monkeypatch.setattr(toxicity, "train_network", elsewhere)
+    got = toxicity.learn_toxicity(docs, labels)
+    assert all(np.allclose(got.p[k], v, rtol=1e-4, atol=1e-6) for k, v in want.p.items())
+
+
+def test_the_driver_gives_memory_back(spark):
+    from mosaiq.llm.common import release_shuffles
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) // 1024
+
+    cells = [np.zeros(4000, np.uint8) for _ in range(25_000)]  # small enough to stay with the C library
+    for cell in cells:
+        cell[:] = 1
+    kept, before = cells[::100], held()
+    del cells, cell
+    release_shuffles(spark)
+    assert held() < before - 60 and len(kept) == 250
