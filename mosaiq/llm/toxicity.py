@@ -24,6 +24,9 @@ are no inputs. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,11 @@ THRESHOLD = 0.3
 #: Words that a task gathers before it scores their windows.
 BLOCK_WORDS = 100_000
 WINDOWS_AT_ONCE = 2048
+#: Windows that go through the network at once, in arrays of always this shape, and a multiple of 48, for matrix
+#: products to take all rows alike: its company does not change how a window's sums are rounded, and equal texts have equal scores.
+SCORED = 384
+#: Words whose parts of the gates a task keeps before it starts anew, and words that it takes up at once.
+KEPT_WORDS, LEARNT_WORDS = 1 << 17, 1 << 14
 #: Texts whose buckets are marked at once.
 TALLIED = 64
 
@@ -189,15 +197,6 @@ class Network:
         pooled = (weight[:, :, None] * states).sum(axis=0)
         return looked, weight, pooled, pooled @ self.p["out"] + self.p["out_bias"]
 
-    def logits(self, projected, index, mask=None):
-        import numpy as np
-
-        parts = [np.empty(0, np.float32)]
-        for k in range(0, len(index), 2048):
-            m = None if mask is None else mask[k : k + 2048]
-            parts.append(self.pool(self.states(projected, index[k : k + 2048], m), m)[3])
-        return np.concatenate(parts)
-
     def gradients(self, inputs: Inputs, index, mask, labels):
         import numpy as np
 
@@ -244,15 +243,23 @@ class Network:
         return g
 
 
+def _numbers() -> defaultdict:
+    """Numbers words in the order in which they are first asked for."""
+    return defaultdict(count().__next__)
+
+
 class _Windows:
-    """Windows of a list of texts: distinct words, word numbers by window, mask, owner."""
+    """Windows of a list of texts: distinct words, word numbers by window, mask, owner.
+
+    ``number``: that of words met before, to go on from.
+    """
 
-    def __init__(self, docs: list[list[bytes]]):
+    def __init__(self, docs: list[list[bytes]], number: defaultdict | None = None):
         import numpy as np
 
-        number: dict[bytes, int] = {}
+        number = _numbers() if number is None else number
         sizes = np.array([len(d) for d in docs], np.int64)
-        self.flat = np.fromiter((number.setdefault(w, len(number)) for d in docs for w in d), np.int32, sizes.sum())
+        self.flat = np.fromiter(map(number.__getitem__, chain.from_iterable(docs)), np.int32, sizes.sum())
         self.begins, self.sizes = np.cumsum(sizes) - sizes, sizes
         starts = [window_starts(n) for n in sizes.tolist()]
         self.owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
@@ -269,17 +276,122 @@ class _Windows:
         return [self.words[w] for w in distinct.tolist()], index.reshape(mask.shape), mask
 
     def logits(self, network: Network):
+        return Reader(network).logits(self)
+
+
+class Reader:
+    """Scores windows by one network; what a word gives to the gates is worked out once."""
+
+    def __init__(self, network: Network):
         import numpy as np
 
-        out = np.empty(len(self.owner), np.float32)
-        for k in range(0, len(out), WINDOWS_AT_ONCE):
-            words, index, mask = self.cut(some := np.arange(k, min(k + WINDOWS_AT_ONCE, len(out))))
-            _, projected = network.project(Inputs(words))
-            whole = mask.all(axis=1)
-            out[some[whole]] = network.logits(projected, index[whole])
-            out[some[~whole]] = network.logits(projected, index[~whole], mask[~whole])
+        p, h = network.p, HIDDEN
+        self.network, self.in_both = network, np.concatenate((p["in_f"], p["in_b"]), axis=1)
+        self.bias = np.concatenate((p["bias_f"], p["bias_b"]))
+        # exp(-x) of the gates and exp(2x) of the new state's tanh: their factors go into the weights
+        factors = np.repeat(np.array([-1, -1, 2], np.float32), h)
+        self.in_both, self.bias = self.in_both * np.tile(factors, 2), self.bias * np.tile(factors, 2)
+        both = np.stack((p["state_f"], p["state_b"])) * factors
+        self.state_in = [np.ascontiguousarray(both[:, :, k * h : (k + 1) * h]) for k in range(3)]
+        self.clear()
+
+    def clear(self):
+        import numpy as np
+
+        self.number, self.gates = _numbers(), np.empty((3, 0, 2, HIDDEN), np.float32)
+
+    def windows(self, docs: list[list[bytes]]) -> _Windows:
+        """Windows whose words are numbered as this reader knows them."""
+        if len(self.number) > KEPT_WORDS:
+            self.clear()
+        return _Windows(docs, self.number)
+
+    def _gates(self, words: list[bytes]):
+        """(gate, word, side, hidden) parts that words give to the gates."""
+        import numpy as np
+
+        p, parts = self.network.p, [np.empty((3, 0, 2, HIDDEN), np.float32)]
+        for k in range(0, len(words), LEARNT_WORDS):
+            x = Inputs(words[k : k + LEARNT_WORDS]).vectors(p["words"], p["heads"], p["grams"])
+            # unlike a product of matrices, this sums a row alike wherever it stands
+            given = np.einsum("ij,jk->ik", x, self.in_both) + self.bias
+            parts.append(given.reshape(-1, 2, 3, HIDDEN).transpose(2, 0, 1, 3))
+        return np.concatenate(parts, axis=1)
+
+    def logits(self, windows: _Windows):
+        """Of windows that ``windows`` gave."""
+        import numpy as np
+
+        if len(windows.words) <= 2 * KEPT_WORDS:
+            new = windows.words[self.gates.shape[1] :]
+            if new:
+                self.gates = np.concatenate((self.gates, self._gates(new)), axis=1)
+            size = np.minimum(windows.sizes[windows.owner], WINDOW)
+            return self._scores(self.gates, windows.flat, windows.begins[windows.owner] + windows.start, size)
+        out = np.empty(len(windows.owner), np.float32)
+        for k in range(0, len(out), WINDOWS_AT_ONCE):  # a text of very many words: nothing is kept
+            words, index, mask = windows.cut(some := np.arange(k, min(k + WINDOWS_AT_ONCE, len(out))))
+            out[some] = self._scores(self._gates(words), index.ravel(), np.arange(len(some)) * WINDOW, mask.sum(axis=1))
+        return out
+
+    def _scores(self, gates, flat, begin, size):
+        """Logits of windows, each ``size`` word numbers of ``flat`` from ``begin`` on."""
+        import numpy as np
+
+        out = np.empty(len(begin), np.float32)
+        whole, short = np.flatnonzero(size == WINDOW), np.flatnonzero(size < WINDOW)
+        short = short[np.argsort(size[short], kind="stable")]
+        for some in [part[k : k + SCORED] for part in (whole, short) for k in range(0, len(part), SCORED)]:
+            chosen = np.resize(some, SCORED)
+            steps = np.arange(size[some[-1]])[:, None]
+            on = None if size[some[0]] == WINDOW else steps < size[chosen]
+            index = flat[begin[chosen] + (steps if on is None else np.where(on, steps, 0))]
+            with np.errstate(over="ignore"):  # an infinite exp is a gate that is shut
+                out[some] = self._forward(gates, index, on)[: len(some)]
         return out
 
+    def _forward(self, gates, index, on):
+        """Logits of SCORED windows; (time, windows) word numbers, and which places have a word (None: all)."""
+        import numpy as np
+
+        (steps, n), h, p = index.shape, HIDDEN, self.network.p
+        # forward rows, then those of the way back, which takes the times from the last on
+        rows = np.concatenate((2 * index, 2 * index[::-1] + 1), axis=1)
+        tables = gates.reshape(3, -1, h)
+        both = None if on is None else np.stack((on, on[::-1]), axis=1).astype(np.float32)[..., None]
+        z, r, new, told = np.empty((4, 2, n, h), np.float32)
+        state, states = np.zeros((2, n, h), np.float32), np.empty((steps, 2, n, h), np.float32)
+        for t in range(steps):
+            for table, gate in zip(tables, (z, r, new), strict=True):
+                np.take(table, rows[t], axis=0, out=gate.reshape(2 * n, h), mode="clip")
+            for weights, gate in zip(self.state_in, (z, r), strict=False):
+                gate += np.matmul(state, weights, out=told)
+                np.exp(gate, out=gate)
+                gate += 1
+            np.matmul(state, self.state_in[2], out=told)
+            told /= r
+            new += told
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1  # tanh(x) is 1 - 2 / (1 + exp(2x))
+            state -= new
+            state /= z
+            state += new
+            if both is not None:
+                state *= both[t]  # the way back starts from nothing at a text's last word
+            states[t] = state
+        forth, back = states[:, 0], states[::-1, 1]
+        looked = forth @ p["look"][:h]
+        looked += back @ p["look"][h:]
+        looked += p["look_bias"]
+        weight = np.tanh(looked, out=looked) @ p["weigh"]
+        if on is not None:
+            weight = np.where(on, weight, -1e9)
+        weight = np.exp(weight - weight.max(axis=0))
+        told = forth @ p["out"][:h] + back @ p["out"][h:]
+        return (weight * told).sum(axis=0) / weight.sum(axis=0) + p["out_bias"]
+
 
 def _tally(windows: _Windows, labels):
     """Texts by label, and by label those with each bucket: of words, heads and grams, one after another."""
@@ -463,10 +575,10 @@ def _worst_windows(training: DataFrame, network: Network) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        network = Network(sent.value)
+        reader = Reader(Network(sent.value))
         for texts, labels in _blocks(batches):
-            windows, label = _Windows(texts), np.array(labels)
-            order = np.lexsort((-windows.logits(network), windows.owner))
+            windows, label = reader.windows(texts), np.array(labels)
+            order = np.lexsort((-reader.logits(windows), windows.owner))
             owner, first = np.unique(windows.owner, return_index=True)
             start = windows.start[order[first]]
             made = [b" ".join(texts[d][a : a + WINDOW]).decode() for d, a in zip(owner.tolist(), start.tolist(), strict=True)]
@@ -574,11 +686,11 @@ def score_toxicity(docs: DataFrame, network: Network, carry: list[str] | None =
         import numpy as np
         import pyarrow as pa
 
-        network = Network(sent.value)
+        reader = Reader(Network(sent.value))
 
         def scored(batch, texts):
-            windows = _Windows(texts)
-            logit = windows.logits(network).astype(np.float64)
+            windows = reader.windows(texts)
+            logit = reader.logits(windows).astype(np.float64)
             n = np.bincount(windows.owner, minlength=len(texts))
             made, first = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             has = n > 0

@@ -207,6 +207,45 @@ def test_blocks_do_not_change_scores(make_docs, monkeypatch):
     assert all(math.isclose(whole[k], 1 / (1 + math.exp(-worst[k])), rel_tol=1e-4) for k in whole)
 
 
+def test_equal_texts_have_equal_scores_in_any_company():
+    network, (texts, _) = toxicity.Network.start(3), _texts(700, 9)
+    docs = [toxicity.words_of(t) for t in [*texts, " ".join(texts)]]
+
+    def logits(some):
+        windows = toxicity._Windows([docs[k] for k in some])
+        found = windows.logits(network)
+        return {(some[d], s): v for d, s, v in zip(windows.owner.tolist(), windows.start.tolist(), found.tolist(), strict=True)}
+
+    want = logits(range(len(docs)))
+    for some in (range(300, 301), range(0, 700, 7), [*range(650, 200, -1)], [700, 3]):
+        got = logits(some)
+        assert got and got == {k: want[k] for k in got}
+
+
+def test_a_word_is_worked_out_once(monkeypatch):
+    network, seen, real = toxicity.Network.start(3), Counter(), toxicity.Inputs
+
+    def counted(words):
+        seen.update(words)
+        return real(words)
+
+    monkeypatch.setattr(toxicity, "Inputs", counted)
+    windows = toxicity._Windows([[b"w%d" % (k % 100) for k in range(3 * toxicity.WINDOWS_AT_ONCE * toxicity.STRIDE)]])
+    windows.logits(network)
+    assert len(seen) == 100 and set(seen.values()) == {1}
+
+
+def test_what_is_kept_of_words_does_not_change_scores(monkeypatch):
+    network, (texts, _) = toxicity.Network.start(3), _texts(90, 4)
+    docs = [toxicity.words_of(t) for t in [*texts, *texts[:30]]]
+    want = toxicity._Windows(docs).logits(network).tolist()
+    for kept in (1, 900, 1 << 17):
+        monkeypatch.setattr(toxicity, "KEPT_WORDS", kept)
+        reader = toxicity.Reader(network)
+        assert [x for k in range(0, 120, 8) for x in reader.logits(reader.windows(docs[k : k + 8])).tolist()] == want
+        assert reader.gates.shape[1] < 2 * kept + 1
+
+
 def test_toxicity_of_nothing(spark, make_docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     network = toxicity.train_network(*toxicity.training_sample(make_docs([]), none))
