@@ -52,7 +52,7 @@ WINDOWS_AT_ONCE = 2048
 #: products to take all rows alike: its company does not change how a window's sums are rounded, and equal texts have equal scores.
 SCORED = 384
 #: Words whose parts of the gates a task keeps before it starts anew, and words that it takes up at once.
-KEPT_WORDS, LEARNT_WORDS = 1 << 17, 1 << 14
+KEPT_WORDS, LEARNT_WORDS = 1 << 16, 1 << 12
 #: Texts whose buckets are marked at once.
 TALLIED = 64
 
