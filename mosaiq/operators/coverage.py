@@ -16,6 +16,9 @@ from mosaiq.functions.grid import tile_start, tile_stop, tiles_across, whole_div
 LEVEL = ("slide_id", "level")
 #: A gap between buckets is laid out in pieces of so many tiles, and one task has pieces of about so many.
 PIECE, TASK_TILES = 1 << 16, 1 << 24
+#: Blanks are laid out along lines of so many tiles, and dealt in buckets of so many: a file of them has few distinct
+#: ty and tx, in runs and cycles, and takes a small part of the bytes that rows of the whole grid take.
+BAND, BUCKET = 1 << 8, 1 << 18
 
 
 def _held(tiles: DataFrame, across: Column | int, down: Column | int, keys: Sequence[str], partitions: int | None) -> DataFrame:
@@ -68,15 +71,27 @@ def missing_runs(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, par
 def blanks(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
     """ty, tx of the grid's tiles that ``tiles`` (ty, tx) lacks; the grid itself is neither made nor shuffled.
 
-    Gaps are laid out where they are found; those between buckets, which may be long, are dealt in pieces.
+    The grid is cut into bands of columns, whose rows are lines, one band's after another's. Gaps along the lines are laid
+    out where they are found; those between buckets, which may be long, are dealt in pieces, neighbours together.
     """
     down, across = -(-h // tile_h), -(-w // tile_w)
-    inner, outer = _gaps(_held(tiles, across, down, (), partitions), down * across, ())
+    wide = max(1, min(BAND, across))  # the last band may be narrower; what its lines lack is cut off below
+    lines = -(-across // wide) * down
+    inside = tiles.filter(F.col("ty").between(0, down - 1) & F.col("tx").between(0, across - 1)).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"))
+    idx = (whole_div(F.col("tx"), wide) * down + F.col("ty")) * wide + F.col("tx") % wide
+    held = inside.select(idx.alias("idx")).withColumn("bucket", whole_div(F.col("idx"), BUCKET))
+    inner, outer = _gaps(held.repartition(partitions, "bucket") if partitions else held, lines * wide, ())
     starts = outer.select(F.explode(F.sequence("first", "last", F.lit(PIECE))).alias("first"), "last")
     pieces = starts.select("first", F.least("last", F.col("first") + (PIECE - 1)).alias("last"))
-    n = max(tiles.sparkSession.sparkContext.defaultParallelism, -(-down * across // TASK_TILES))
-    idx = inner.unionByName(pieces.repartition(n)).select(F.explode(F.sequence("first", "last")).alias("idx"))
-    return idx.select(whole_div(F.col("idx"), across).alias("ty"), (F.col("idx") % across).alias("tx"))
+    n = max(tiles.sparkSession.sparkContext.defaultParallelism, -(-lines * wide // TASK_TILES))
+    gaps = inner.unionByName(pieces.repartitionByRange(n, "first"))
+    ends = gaps.select("first", "last", whole_div(F.col("first"), wide).alias("top"), whole_div(F.col("last"), wide).alias("end"))
+    parts = ends.select("*", F.explode(F.sequence("top", "end")).alias("line")).select("*", whole_div(F.col("line"), max(1, down)).alias("band"))
+    left, line = F.col("band") * wide, F.col("line")
+    low = left + F.when(line == F.col("top"), F.col("first") - line * wide).otherwise(0)
+    high = F.least(left + F.when(line == F.col("end"), F.col("last") - line * wide).otherwise(wide - 1), F.lit(across - 1))
+    spans = parts.select((line - F.col("band") * down).alias("ty"), low.alias("low"), high.alias("high")).filter(F.col("low") <= F.col("high"))
+    return spans.select("ty", F.explode(F.sequence("low", "high")).alias("tx"))
 
 
 def layout_summary(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:

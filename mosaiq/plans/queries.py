@@ -330,13 +330,18 @@ def _tiles_l(spark, sf_dir):
     return cells.groupBy("by", "bx").agg(F.sum("v").alias("v")).withColumnsRenamed({"by": "ty", "bx": "tx"})
 
 
+def _places_l(spark, sf_dir):
+    """ty, tx of the tiles that raster L has, some more than once."""
+    return fx.places_l(spark, sf_dir).select(grid.whole_div(F.col("y"), 8).alias("ty"), grid.whole_div(F.col("x"), 8).alias("tx"))
+
+
 GRID_L = """grid AS (SELECT ty, tx FROM (SELECT unnest(range(0, CAST(ceil(h / 8) AS BIGINT))) AS ty FROM size), (SELECT unnest(range(0, CAST(ceil(w / 8) AS BIGINT))) AS tx FROM size)),
     t AS (SELECT y // 8 AS ty, x // 8 AS tx, CAST(sum(v) AS BIGINT) AS v FROM l GROUP BY ALL)"""
 
 
 @query(f"WITH {L}, {GRID_L} SELECT ty, tx FROM grid WHERE NOT EXISTS (FROM t WHERE t.ty = grid.ty AND t.tx = grid.tx)")
 def blank_tiles(spark, sf_dir):
-    return cell_ops.blank_tiles(_tiles_l(spark, sf_dir), *fx.extent_l(spark, sf_dir), 8, 8, fx.partitions_l(spark, sf_dir)).select("ty", "tx")
+    return cell_ops.blank_tiles(_places_l(spark, sf_dir), *fx.extent_l(spark, sf_dir), 8, 8, fx.partitions_l(spark, sf_dir)).select("ty", "tx")
 
 
 @query(f"WITH {L}, {GRID_L} SELECT ty, tx, coalesce(v, 0) AS v FROM grid LEFT JOIN t USING (ty, tx)")

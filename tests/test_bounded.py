@@ -42,6 +42,26 @@ def test_blanks_are_laid_out_without_a_join_with_the_grid(spark, monkeypatch, ro
     assert sorted(map(tuple, filled.collect())) == sorted(rows[:3] + [(y, x, 0) for y, x in grid - held])
 
 
+@pytest.mark.parametrize("band, bucket, h, w", [(3, 8, 7, 13), (4, 16, 9, 8), (256, 4, 5, 6), (1, 5, 4, 4), (3, 8, 0, 4), (3, 8, 4, 0)])
+def test_blanks_along_bands_are_the_grids(spark, monkeypatch, band, bucket, h, w):
+    for name, value in (("BAND", band), ("BUCKET", bucket), ("PIECE", 5)):
+        monkeypatch.setattr(coverage, name, value)
+    held = [(y, x) for y in range(h) for x in range(w) if (3 * y + 5 * x) % 7 == 0 and y != 2]
+    tiles = spark.createDataFrame(held + held[:2] + [(h, 0), (0, w), (-1, 0), (1, -2), (None, 0)], "ty int, tx int")
+    for partitions in (None, 3):
+        got = sorted(map(tuple, coverage.blanks(tiles, 2 * h, 2 * w, 2, 2, partitions).collect()))
+        assert got == [(y, x) for y in range(h) for x in range(w) if (y, x) not in held]
+
+
+def test_files_of_blanks_take_a_small_part_of_a_byte_a_tile(spark, tmp_path):
+    h, w, path = 40, 40_000, tmp_path / "blank"
+    tiles = spark.createDataFrame([(y, x) for y in range(5) for x in range(0, 2000, 3)], "ty bigint, tx bigint")
+    cell_ops.blank_tiles(tiles, h, w, 1, 1).select("ty", "tx").write.parquet(str(path))
+    n = h * w - tiles.count()
+    assert spark.read.parquet(str(path)).distinct().count() == n
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < n / 2
+
+
 def test_rows_of_raster_l_are_dealt_once_by_block_to_as_many_tasks_as_they_need(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(fx, "TASK_ROWS", 1000)
     n = -(-fx.table(spark, sf_dir, "lineitem").count() // 1000)
