@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.grid import bounded, whole_div
-from mosaiq.operators.coverage import blanks
+from mosaiq.operators.coverage import blanks, within
 
 TILE = "slide_id string, ty bigint, tx bigint, y0 bigint, x0 bigint, h bigint, w bigint, c bigint, payload binary"
 
@@ -80,9 +80,11 @@ def blank_tiles(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, part
 
 
 def fill_blanks(tiles: DataFrame, value: str, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
-    """Every tile of the grid; 0 where there is none."""
-    inside = F.col("ty").between(0, -(-h // tile_h) - 1) & F.col("tx").between(0, -(-w // tile_w) - 1)
-    held = tiles.filter(inside).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"), F.coalesce(value, F.lit(0)).alias(value))
+    """Every tile of the grid; 0 where there is none.
+
+    Both parts begin with the same filter, so that Spark shuffles what ``tiles`` come from once for both.
+    """
+    held = within(tiles, h, w, tile_h, tile_w).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"), F.coalesce(value, F.lit(0)).alias(value))
     missing = blanks(tiles, h, w, tile_h, tile_w, partitions)
     return held.unionByName(missing.select("ty", "tx", F.lit(0).cast(held.schema[value].dataType).alias(value)))
 

@@ -68,6 +68,11 @@ def missing_runs(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, par
     return inner.unionByName(outer)
 
 
+def within(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int) -> DataFrame:
+    """The tiles that lie in the grid."""
+    return tiles.filter(F.col("ty").between(0, -(-h // tile_h) - 1) & F.col("tx").between(0, -(-w // tile_w) - 1))
+
+
 def blanks(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partitions: int | None = None) -> DataFrame:
     """ty, tx of the grid's tiles that ``tiles`` (ty, tx) lacks; the grid itself is neither made nor shuffled.
 
@@ -77,7 +82,7 @@ def blanks(tiles: DataFrame, h: int, w: int, tile_h: int, tile_w: int, partition
     down, across = -(-h // tile_h), -(-w // tile_w)
     wide = max(1, min(BAND, across))  # the last band may be narrower; what its lines lack is cut off below
     lines = -(-across // wide) * down
-    inside = tiles.filter(F.col("ty").between(0, down - 1) & F.col("tx").between(0, across - 1)).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"))
+    inside = within(tiles, h, w, tile_h, tile_w).select(F.col("ty").cast("bigint"), F.col("tx").cast("bigint"))
     idx = (whole_div(F.col("tx"), wide) * down + F.col("ty")) * wide + F.col("tx") % wide
     held = inside.select(idx.alias("idx")).withColumn("bucket", whole_div(F.col("idx"), BUCKET))
     inner, outer = _gaps(held.repartition(partitions, "bucket") if partitions else held, lines * wide, ())

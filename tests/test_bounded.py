@@ -62,6 +62,21 @@ def test_files_of_blanks_take_a_small_part_of_a_byte_a_tile(spark, tmp_path):
     assert sum(f.stat().st_size for f in path.glob("*.parquet")) < n / 2
 
 
+def test_filled_tiles_shuffle_their_rows_once_and_take_little_room(spark, sf_dir, tmp_path):
+    h, w, path = 40, 40_000, tmp_path / "filled"
+    tiles = spark.createDataFrame([(y, x, 1 + y) for y in range(5) for x in range(0, 2000, 3)], "ty bigint, tx bigint, v bigint")
+    cell_ops.fill_blanks(tiles, "v", h, w, 1, 1).write.parquet(str(path))
+    filled = spark.read.parquet(str(path))
+    assert filled.select("ty", "tx").distinct().count() == filled.count() == h * w
+    assert sorted(map(tuple, filled.filter("v != 0").collect())) == sorted(map(tuple, tiles.collect()))
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < h * w / 2
+    query = queries.QUERIES["blank_fill"](spark, sf_dir)
+    query.collect()
+    final = _plan(query).split("== Initial Plan ==")[0].splitlines()
+    dealt = [line for line in final if "Exchange hashpartitioning(by#" in line]
+    assert len([line for line in dealt if "ReusedExchange" not in line]) == 1
+
+
 def test_rows_of_raster_l_are_dealt_once_by_block_to_as_many_tasks_as_they_need(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(fx, "TASK_ROWS", 1000)
     n = -(-fx.table(spark, sf_dir, "lineitem").count() // 1000)
